@@ -1,15 +1,26 @@
-"""Corpus pipeline; stages follow."""
+"""Corpus pipeline: documents to packed sequences, in five stages.
+
+Each stage takes ``(spark, docs, sf_dir)``, works on all that its predecessor kept, and returns a
+DataFrame; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from utterframe.llm import decontaminate, language_id, line_dedup, packing, simhash_dedup
+
 
-from utterframe.llm import line_dedup, packing, simhash_dedup
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or unlike every language, go."""
+    return language_id.keep_identified(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut the later occurrences of three-line windows; documents of which nothing is left go."""
-    return _as_documents(line_dedup.dedup_lines(docs).filter("n_removed = 0 or n_removed < n_lines"), docs)
+    """Later occurrences of three-line windows are cut; a document of which nothing is left goes."""
+    cleaned = line_dedup.dedup_lines(docs).filter("n_removed = 0 or n_removed < n_lines")
+    return cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,25 +28,30 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash_dedup.keep_one(docs)
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenise and pack what is left."""
-    return packing.pack_documents(docs).withColumnRenamed("id", "doc_id")
-
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.drop_leaking(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
-def _as_documents(df: DataFrame, docs: DataFrame) -> DataFrame:
-    from pyspark.sql import functions as F
 
-    return df.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left is tokenised, cut and packed."""
+    return packing.pack_documents(docs).withColumnRenamed("id", "doc_id")
 
 
-STAGES = [("line_dedup", dedup_lines), ("near_dedup", dedup_near), ("pack", pack)]
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", dedup_near),
+    ("decontaminate", decontaminate_benchmark),
+    ("pack", pack_sequences),
+]
 
-#: Hashing of shingles, model fitting and tokenisation are beyond SQL; a brute-force version is in the tests.
+#: Profiles, shingle hashes and tokenisation are beyond SQL; a brute-force version is in the tests.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over the documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterframe.llm import line_dedup, packing, simhash_dedup, url_filter
+from utterframe.llm import decontaminate, language_id, line_dedup, packing, simhash_dedup, url_filter
 from utterframe.llm.common import read_table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = url_filter.judge_urls(read_table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
     return found.select("page_id", "host", "path", "rule", "verdict")
@@ -43,7 +52,7 @@ FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_url_filter, op7_simhash_dedup, op9_best_fit_packing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op4_url_filter, op7_simhash_dedup, op9_best_fit_packing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
