@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterframe.llm import decontaminate, language_id, line_dedup, packing, simhash_dedup, url_filter
+from utterframe.llm import decontaminate, hmm_lm, language_id, line_dedup, packing, simhash_dedup, url_filter
 from utterframe.llm.common import read_table
 
 
@@ -25,6 +25,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -52,7 +56,7 @@ FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op4_url_filter, op7_simhash_dedup, op9_best_fit_packing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op4_url_filter, op5_hmm_scoring, op7_simhash_dedup, op9_best_fit_packing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
