@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterframe.llm import decontaminate, hmm_lm, language_id, line_dedup, packing, simhash_dedup, url_filter
+from utterframe.llm import decontaminate, hmm_lm, language_id, line_dedup, nearest, packing, simhash_dedup, url_filter
 from utterframe.llm.common import read_table
 
 
@@ -20,6 +20,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = url_filter.judge_urls(read_table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
     return found.select("page_id", "host", "path", "rule", "verdict")
@@ -56,7 +60,7 @@ FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op4_url_filter, op5_hmm_scoring, op7_simhash_dedup, op9_best_fit_packing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_nearest, op4_url_filter, op5_hmm_scoring, op7_simhash_dedup, op9_best_fit_packing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
