@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterframe.llm import decontaminate, hmm_lm, language_id, line_dedup, nearest, packing, simhash_dedup, url_filter
+from utterframe.llm import decontaminate, hmm_lm, language_id, license_scan, line_dedup, nearest, packing, pii, simhash_dedup, url_filter
 from utterframe.llm.common import read_table
 
 
@@ -33,11 +33,25 @@ def op5_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_lm.score(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal(read_table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    per_kind = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(F.col("id").alias("doc_id"), *per_kind, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"), F.col("added").alias("n_added"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(read_table(spark, sf_dir, "documents"))
+    starts = F.transform("places", lambda p: p["first"])
+    of = lambda *cols: F.array_join(F.array_sort(F.array_distinct(F.concat(*[F.transform(c, lambda p: p["label"]) for c in cols]))), ",")
+    return found.select(F.col("id").alias("doc_id"), "n_words", F.size("places").cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), of("places").alias("base_labels"), of("places", "regions").alias("labels"), "score")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -60,7 +74,7 @@ FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_nearest, op4_url_filter, op5_hmm_scoring, op7_simhash_dedup, op9_best_fit_packing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_nearest, op4_url_filter, op5_hmm_scoring, op6_pii, op7_simhash_dedup, op8_license_scan, op9_best_fit_packing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
