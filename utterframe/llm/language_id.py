@@ -28,41 +28,70 @@ UND = "und"
 #: Fit of a document to its nearest profile below which a filter rejects it.
 MIN_SCORE = 0.1
 WORD = re.compile(r"[^\W\d_]+")
-PAD = 1
-CACHE_WORDS = 200_000
-
-
-def grams(word: str) -> np.ndarray:
-    """Codes of the n-grams of a padded word; a code packs up to three code points, 21 bits each."""
-    c = np.array([PAD, *map(ord, word), PAD], dtype=np.int64)
-    return np.concatenate([c[1:-1], c[:-1] << 21 | c[1:], (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]])
-
-
-def counted(text: str, cache: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The whole text's different n-grams and their counts."""
-    words = Counter(WORD.findall(text.lower()))
-    if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    parts = []
-    for w in words:
-        g = cache.get(w)
-        if g is None:
-            g = grams(w)
-            if len(w) < 64:
-                cache[w] = g
-        parts.append(g)
-    codes = np.concatenate(parts)
-    weights = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(p) for p in parts])
-    order = np.argsort(codes, kind="stable")
-    codes, weights = codes[order], weights[order]
-    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
-    return codes[first], np.add.reduceat(weights, first)
+PAD = "\x01"
+CACHE_WORDS, CACHE_GRAMS = 200_000, 100_000
+
+
+class Numbers(dict):
+    """A number for each n-gram met, and its code: up to three code points, 21 bits each."""
+
+    def __init__(self) -> None:
+        self.codes: list[int] = []
+
+    def __missing__(self, gram: str) -> int:
+        code = 0
+        for c in gram:
+            code = code << 21 | ord(c)
+        self.codes.append(code)
+        self[gram] = len(self)
+        return self[gram]
+
+
+class Grams:
+    """The n-grams that a worker has met, and each word's as an array of numbers; emptied when it has grown large."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.words: dict[str, np.ndarray] = {}
+        self.numbers, self.codes, self.known = Numbers(), np.zeros(1024, np.int64), 0
+
+    def of(self, word: str) -> np.ndarray:
+        number, padded = self.numbers, f"{PAD}{word}{PAD}"
+        n = [number[c] for c in word]
+        n += [number[padded[i : i + 2]] for i in range(len(word) + 1)]
+        n += [number[padded[i : i + 3]] for i in range(len(word))]
+        out = np.array(n, dtype=np.int32)
+        if len(word) < 64:
+            self.words[word] = out
+        return out
+
+    def counted(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The whole text's different n-grams and their counts."""
+        words = Counter(WORD.findall(text.lower()))
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(self.words) > CACHE_WORDS or len(self.numbers) > CACHE_GRAMS:
+            self.clear()
+        get, of = self.words.get, self.of
+        parts = [p if (p := get(w)) is not None else of(w) for w in words]
+        weights = np.repeat(np.fromiter(words.values(), np.float64, len(words)), [len(p) for p in parts])
+        counts = np.bincount(np.concatenate(parts), weights)
+        if self.known < len(self.numbers):
+            if len(self.codes) < len(self.numbers):
+                self.codes = np.resize(self.codes, 2 * len(self.numbers))
+            self.codes[self.known : len(self.numbers)] = self.numbers.codes[self.known :]
+            self.known = len(self.numbers)
+        met = np.flatnonzero(counts)
+        return self.codes[met], counts[met].astype(np.int64)
 
 
 def ranked(codes: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent n-grams (ties: smaller code) and their ranks; equal counts share the middle rank."""
+    if len(counts) > most:
+        enough = counts >= np.partition(counts, len(counts) - most)[len(counts) - most]
+        codes, counts = codes[enough], counts[enough]
     order = np.lexsort((codes, -counts))[:most]
     c = counts[order]
     lo = np.searchsorted(-c, -c, side="left")
@@ -77,22 +106,21 @@ class Profiles:
         self.langs, self.size = sorted(ranks), size
         self.codes = np.array(sorted({g for r in ranks.values() for g in r}), dtype=np.int64)
         # the last column stands for an n-gram that no profile has
-        self.ranks = np.full((len(self.langs), len(self.codes) + 1), np.nan)
+        self.ranks = np.full((len(self.langs), len(self.codes) + 1), np.inf)
         at = {int(g): i for i, g in enumerate(self.codes)}
         for k, lang in enumerate(self.langs):
             for g, r in ranks[lang].items():
                 self.ranks[k, at[g]] = r
 
-    def predict(self, text: str | None, cache: dict[str, np.ndarray], most: int = DOCUMENT_SIZE) -> tuple[str, float]:
+    def predict(self, text: str | None, cache: Grams, most: int = DOCUMENT_SIZE) -> tuple[str, float]:
         """Language and fit (1: in place, 0: nothing in common); ties to the smaller name."""
-        codes, counts = counted(text or "", cache)
+        codes, counts = cache.counted(text or "")
         if not len(codes) or not self.langs:
             return UND, 0.0
         top, rank = ranked(codes, counts, most)
         i = np.searchsorted(self.codes, top)
         i = np.where((i < len(self.codes)) & (self.codes[np.minimum(i, len(self.codes) - 1)] == top), i, len(self.codes))
-        away = np.minimum(np.abs(self.ranks[:, i] - rank), self.size)
-        total = np.where(np.isnan(away), self.size, away).sum(axis=1)
+        total = np.minimum(np.abs(self.ranks[:, i] - rank), self.size).sum(axis=1)
         best = int(np.argmin(total))
         return self.langs[best], float(max(0.0, 1 - total[best] / (self.size * len(top))))
 
@@ -114,11 +142,11 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
         keep = keep | ((F.col(lang_col) == lang) & (F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) < int(s * 1_000_000) + (s >= 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, np.ndarray] = {}
+        cache = Grams()
         for langs, texts in slices(batches):
             sums: dict[str, Counter] = {}
             for lang, text in zip(langs, texts, strict=True):
-                codes, counts = counted(text, cache)
+                codes, counts = cache.counted(text)
                 c = sums.setdefault(lang, Counter())
                 for g, n in zip(codes.tolist(), counts.tolist(), strict=True):
                     c[g] += n
@@ -148,7 +176,7 @@ def predict(docs: DataFrame, profiles: Profiles, keep: Sequence[str], text_col:
     fields = [f for f in docs.select(*keep).schema.fields if f.name not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = shared.value, {}
+        model, cache = shared.value, Grams()
         for batch in batches:
             found = []
             for at in range(0, batch.num_rows, 256):
