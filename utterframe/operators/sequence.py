@@ -116,10 +116,15 @@ def equal_runs(words: DataFrame, by: str = "tok", within: Sequence[str] = ("rec_
     return runs.groupBy(*within, "run", by).agg(F.min("word_idx").alias("w_from"), F.max("word_idx").alias("w_to"), F.count("*").alias("run_len"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).filter("run_len >= 2").drop("run")
 
 
+def epoch(ts: str, unit: str = "MILLISECOND") -> Column:
+    """Whole units since 1970 of a timestamp without time zone, whatever the session's zone."""
+    return F.expr(f"timestampdiff({unit}, timestamp_ntz'1970-01-01 00:00:00', cast({ts} as timestamp_ntz))")
+
+
 def session_islands(events: DataFrame, gap_seconds: int, key: str = "user_id", ts: str = "ts") -> DataFrame:
     """W5 over events: sessions of a key that end with a pause longer than ``gap_seconds``."""
     w = Window.partitionBy(key).orderBy(ts, "event_id")
-    us = F.unix_micros(ts)
+    us = epoch(ts, "MICROSECOND")
     new = us - F.lag(us).over(w) > gap_seconds * 1_000_000
     runs = islands(events, new, [ts, "event_id"], "session", keys=(key,))
     return runs.groupBy(key, "session").agg(F.count("*").alias("n_events"), F.min("event_id").alias("first_event"), F.max_by("event_id", F.struct(F.col(ts), F.col("event_id"))).alias("last_event"))
