@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from utterframe.durable import durable
 from utterframe.operators import detect, intervals, sequence
 from utterframe.params import PARAMS
 from utterframe.queries import table
@@ -17,6 +18,11 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.timeline(table(spark, sf_dir, "conversations"))
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timeline as a cut of lineage, for plans that read it several times: it is laid out once."""
+    return durable(words(spark, sf_dir))
+
+
 def cuts(w: DataFrame) -> DataFrame:
     """Edits of three detectors, overlapping as they come."""
     return detect.leading_filler(w).unionByName(detect.stutter(w)).unionByName(detect.consecutive_filler(w))

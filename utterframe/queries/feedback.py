@@ -8,10 +8,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from utterframe.functions import formats
+from utterframe.durable import durable
 from utterframe.operators import align, audit, detect, evaluate, intervals, resolve, sequence, signal
 from utterframe.sources import readers
 from utterframe.queries import query, table
-from utterframe.queries.base import CUTS, MERGED, P, TL, cuts, numbered, quoted, segments, words
+from utterframe.queries.base import CUTS, MERGED, P, TL, cuts, numbered, quoted, segments, stored, words
 from utterframe.queries.words import KEPT, NUM, REP, RESCAN, SPK
 from utterframe.streaming import events as streams
 
@@ -36,7 +37,7 @@ SELECT CASE m WHEN 2 THEN 'exact' WHEN 1 THEN 'partial' ELSE 'missed' END AS mat
 )
 def boundary_accuracy(spark, sf_dir):
     # the detectors' edits as gold, repeated words as predictions
-    w = words(spark, sf_dir)
+    w = stored(spark, sf_dir)
     gold = numbered(cuts(w)).select("rec_id", "sent_idx", F.col("edit_id").alias("g_id"), F.col("w_from").alias("g_from"), F.col("w_to").alias("g_to"))
     p = w.withColumn("before", F.lag("tok").over(sequence.order("word_idx", keys=detect.SENT))).filter("before = tok")
     p = p.select("rec_id", "sent_idx", F.col("word_idx").alias("p_id"), F.col("word_idx").alias("p_from"), F.col("word_idx").alias("p_to"))
@@ -101,7 +102,7 @@ FROM m JOIN w ON w.rec_id = m.rec_id AND greatest(m.start_ms, w.start_ms) < leas
 WHERE (m.rec_id, m.seg_id) NOT IN (SELECT (rec_id, seg_id) FROM meant) GROUP BY ALL"""
 )
 def restored_coverage(spark, sf_dir):
-    w = words(spark, sf_dir)
+    w = stored(spark, sf_dir)
     c = cuts(w)
     return audit.restored_coverage(c.filter("needs_review").select("rec_id", "sent_idx").distinct(), w, segments(w), c.filter("not needs_review"))
 
@@ -111,7 +112,7 @@ REQ = f""", rq AS (SELECT rec_id, sent_idx AS req_id, start_ms, end_ms FROM s WH
 
 @query(MERGED + REP + REQ + " SELECT * FROM rq WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.rec_id = rq.rec_id AND greatest(m.start_ms, rq.start_ms) < least(m.end_ms, rq.end_ms))")
 def manual_not_deleted(spark, sf_dir):
-    w = words(spark, sf_dir)
+    w = stored(spark, sf_dir)
     s = sequence.sentences(w)
     asked = detect.repeated_adjacent(s).select("rec_id", F.col("delete_idx").alias("sent_idx")).unionByName(detect.residual_filler(w).select("rec_id", "sent_idx")).distinct()
     return audit.not_deleted(s.join(asked, ["rec_id", "sent_idx"], "left_semi").select("rec_id", F.col("sent_idx").alias("req_id"), "start_ms", "end_ms"), segments(w))
@@ -119,7 +120,7 @@ def manual_not_deleted(spark, sf_dir):
 
 @query(MERGED + ", x AS (SELECT rec_id, seg_id, end_ms AS start_ms, lead(start_ms) OVER (PARTITION BY rec_id ORDER BY start_ms) AS end_ms FROM m) SELECT *, end_ms - start_ms AS gap_ms FROM x WHERE end_ms - start_ms > 300 AND end_ms - start_ms <= 3000 AND NOT EXISTS (SELECT 1 FROM w WHERE w.rec_id = x.rec_id AND greatest(w.start_ms, x.start_ms) < least(w.end_ms, x.end_ms))")
 def cut_point_silence(spark, sf_dir):
-    w = words(spark, sf_dir)
+    w = stored(spark, sf_dir)
     return audit.cut_point_gaps(segments(w), w)
 
 
@@ -130,7 +131,7 @@ SELECT rec_id, seg_id, start_ms, end_ms, coalesce((SELECT string_agg(tok, ' ' OR
 FROM m WHERE end_ms - start_ms >= 800"""
 )
 def large_deletions(spark, sf_dir):
-    w = words(spark, sf_dir)
+    w = stored(spark, sf_dir)
     return audit.large_deletions(segments(w), w, replace(P, large_deletion=800))
 
 
@@ -140,14 +141,14 @@ SELECT rec_id, coalesce((SELECT min(start_ms) FROM j WHERE j.rec_id = m.rec_id A
 UNION ALL SELECT rec_id, start_ms, end_ms FROM j WHERE p IS NULL AND n IS NULL"""
 )
 def auto_fix(spark, sf_dir):
-    w = words(spark, sf_dir)
-    m = segments(w)
+    w = stored(spark, sf_dir)
+    m = durable(segments(w))
     return audit.fix_gaps(m, intervals.rescan_gaps(intervals.kept_words(w, m), m).select("rec_id", "start_ms", "end_ms"))
 
 
 @query(MERGED + " SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM d0 WHERE d0.rec_id = m.rec_id AND (d0.start_ms + 5) // 10 = (m.start_ms + 5) // 10 AND (d0.end_ms + 5) // 10 = (m.end_ms + 5) // 10)")
 def segments_removed(spark, sf_dir):
-    w = words(spark, sf_dir)
+    w = stored(spark, sf_dir)
     return audit.remove_segments(segments(w), detect.leading_filler(w))
 
 
@@ -169,7 +170,7 @@ def block_sentences(spark, sf_dir):
 
 @query(CUTS + ", d AS (SELECT s.rec_id, s.sent_idx, ((s.rec_id, s.sent_idx) IN (SELECT (rec_id, sent_idx) FROM cut))::BIGINT AS deleted FROM s) SELECT *, (sum(deleted) OVER (PARTITION BY rec_id ORDER BY sent_idx RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) - deleted)::BIGINT AS n_near FROM d")
 def deleted_neighbours(spark, sf_dir):
-    w = words(spark, sf_dir)
+    w = stored(spark, sf_dir)
     return audit.deleted_around(sequence.sentences(w), cuts(w))
 
 
@@ -178,7 +179,7 @@ def deleted_neighbours(spark, sf_dir):
 SELECT s.rec_id, s.sent_idx, s.text, k.type AS primary_type, coalesce(c - 1, 0)::BIGINT AS n_extra FROM s LEFT JOIN k ON k.rec_id = s.rec_id AND k.sent_idx = s.sent_idx AND k = 1"""
 )
 def review_dataset(spark, sf_dir):
-    w = words(spark, sf_dir)
+    w = stored(spark, sf_dir)
     return audit.review_rows(sequence.sentences(w), cuts(w)).select("rec_id", "sent_idx", "text", F.col("primary.type").alias("primary_type"), F.size("extra").cast("bigint").alias("n_extra"))
 
 
@@ -189,7 +190,7 @@ SELECT rec_id, sent_idx, type, w_from, w_to, start_ms, end_ms, false AS needs_re
 )
 def review_application(spark, sf_dir):
     # a judge that rejects in sentences under 1.5 s and confirms in others
-    w = words(spark, sf_dir)
+    w = stored(spark, sf_dir)
     reviews = sequence.sentences(w).select("rec_id", "sent_idx", F.when(F.col("end_ms") - F.col("start_ms") < 1500, "reject").otherwise("confirm").alias("action"))
     return resolve.apply_reviews(cuts(w), reviews)
 
@@ -200,20 +201,20 @@ SELECT rec_id, edit_id, min(word_idx) AS w_from, max(word_idx) AS w_to FROM i WH
 )
 def keep_text_trim(spark, sf_dir):
     # every edit keeps its last word
-    w = words(spark, sf_dir)
+    w = stored(spark, sf_dir)
     last = w.select("rec_id", F.col("word_idx").alias("w_to"), F.col("tok").alias("keep_text"))
     return resolve.keep_tail(numbered(cuts(w)).join(last, ["rec_id", "w_to"]), w)
 
 
 @query(CUTS + " SELECT cut.rec_id, cut.sent_idx, type, CASE WHEN type = 'stutter' THEN w_start ELSE w_from END AS w_from, CASE WHEN type = 'stutter' THEN w_end ELSE w_to END AS w_to, CASE WHEN type = 'stutter' THEN s.start_ms ELSE cut.start_ms END AS start_ms, CASE WHEN type = 'stutter' THEN s.end_ms ELSE cut.end_ms END AS end_ms, needs_review, confidence FROM cut JOIN s USING (rec_id, sent_idx)")
 def whole_sentence_promotion(spark, sf_dir):
-    w = words(spark, sf_dir)
+    w = stored(spark, sf_dir)
     return resolve.promote(cuts(w), sequence.sentences(w), ("stutter",)).select(*detect.EDIT)
 
 
 @query(CUTS + NUM + " SELECT rec_id, edit_id, CASE WHEN confidence >= 0.9 AND start_ms % 40 > 0 THEN start_ms + start_ms % 40 ELSE start_ms END AS start_ms, CASE WHEN confidence >= 0.9 AND 20 > 0 THEN end_ms - 20 ELSE end_ms END AS end_ms FROM e")
 def refinement_apply(spark, sf_dir):
-    w = words(spark, sf_dir)
+    w = stored(spark, sf_dir)
     e = numbered(cuts(w))
     refined = e.select("rec_id", "edit_id", (F.col("start_ms") + F.col("start_ms") % 40).alias("new_start"), (F.col("end_ms") - 20).alias("new_end"), F.when(F.col("confidence") >= 0.9, 1.0).otherwise(0.0).alias("conf"))
     return resolve.apply_refined(e, refined).select("rec_id", "edit_id", "start_ms", "end_ms")
@@ -372,7 +373,7 @@ KEEPS = MERGED + ", k1 AS (SELECT rec_id, start_ms, end_ms FROM m UNION ALL SELE
 
 @query(KEEPS + ", d AS (SELECT rec_id, start_ms, end_ms - start_ms AS d FROM kp) SELECT rec_id, start_ms, d AS dur_ms, CASE WHEN d < 300 THEN 0 ELSE least(greatest(d * 8 // 100, 30), 300, d * 3 // 10) END::BIGINT AS fade_ms FROM d")
 def fade_plan(spark, sf_dir):
-    w = words(spark, sf_dir)
+    w = stored(spark, sf_dir)
     k = intervals.complement(intervals.merge(cuts(w)), intervals.durations(w)).withColumn("dur_ms", F.col("end_ms") - F.col("start_ms"))
     return k.select("rec_id", "start_ms", "dur_ms", formats.fade_ms(F.col("dur_ms")).alias("fade_ms"))
 
@@ -410,13 +411,13 @@ def text_match_ladder(spark, sf_dir):
 
 @query(None)
 def lcs_missing_runs(spark, sf_dir):
-    w = words(spark, sf_dir)
+    w = stored(spark, sf_dir)
     return align.missing_runs(align.missing_words(w, intervals.kept_words(w, intervals.merge(cuts(w)))), least=2)
 
 
 @query(None)
 def align_before_after(spark, sf_dir):
-    w = words(spark, sf_dir)
+    w = stored(spark, sf_dir)
     return align.align_sentences(sequence.sentences(w), sequence.sentences(intervals.kept_words(w, intervals.merge(cuts(w)))))
 
 

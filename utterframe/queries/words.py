@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from utterframe.durable import durable
 from utterframe.operators import audit, detect, evaluate, intervals, resolve, sequence
 from utterframe.plans import cut_analysis
 from utterframe.queries import query
-from utterframe.queries.base import CUTS, D0, D2, D6, EDIT, MERGED, RUNS, TL, P, cuts, numbered, quoted, segments, words
+from utterframe.queries.base import CUTS, D0, D2, D6, EDIT, MERGED, RUNS, TL, P, cuts, numbered, quoted, segments, stored, words
 
 
 @query(TL + " SELECT rec_id, word_idx, tok, speaker, start_ms, end_ms, sent_idx FROM w")
@@ -80,7 +81,7 @@ def speaker_overlap_argmax(spark, sf_dir):
 
 @query(MERGED + " SELECT rec_id, start_ms, end_ms FROM m")
 def interval_merge(spark, sf_dir):
-    return intervals.merge(cuts(words(spark, sf_dir)))
+    return intervals.merge(cuts(stored(spark, sf_dir)))
 
 
 KEEP = """, dur AS (SELECT rec_id, max(end_ms) AS d FROM w GROUP BY rec_id),
@@ -90,13 +91,13 @@ keep AS (SELECT * FROM (SELECT rec_id, coalesce(lag(end_ms) OVER (PARTITION BY r
 
 @query(MERGED + KEEP + " SELECT * FROM keep")
 def keep_complement(spark, sf_dir):
-    w = words(spark, sf_dir)
+    w = stored(spark, sf_dir)
     return intervals.complement(intervals.merge(cuts(w)), intervals.durations(w))
 
 
 @query(MERGED + " SELECT w.rec_id, word_idx, w.start_ms, (w.start_ms - coalesce((SELECT sum(least(m.end_ms, w.start_ms) - m.start_ms) FROM m WHERE m.rec_id = w.rec_id AND m.start_ms <= w.start_ms), 0))::BIGINT AS virtual_ms FROM w")
 def virtual_time(spark, sf_dir):
-    w = words(spark, sf_dir)
+    w = stored(spark, sf_dir)
     return intervals.virtual_time(w, intervals.merge(cuts(w)))
 
 
@@ -106,7 +107,7 @@ y AS (SELECT *, sum((sent_idx > pi + 1 AND pi IS NOT NULL)::INT) OVER (PARTITION
 SELECT rec_id, seg_id::BIGINT AS seg_id, CASE WHEN seg_id = 0 AND min(start_ms) < 5000 THEN 0 ELSE min(start_ms) END::BIGINT AS start_ms, max(end_ms) AS end_ms, count(*) AS n_sentences FROM y GROUP BY rec_id, seg_id"""
 )
 def segment_snap(spark, sf_dir):
-    w = words(spark, sf_dir)
+    w = stored(spark, sf_dir)
     return intervals.snap_segments(sequence.sentences(w).select("rec_id", "sent_idx", "start_ms", "end_ms").join(cuts(w).select("rec_id", "sent_idx").distinct(), ["rec_id", "sent_idx"]))
 
 
@@ -115,7 +116,7 @@ KEPT = ", kw AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.rec_i
 
 @query(MERGED + KEPT + " SELECT rec_id, word_idx, tok, start_ms, end_ms FROM kw")
 def kept_words(spark, sf_dir):
-    w = words(spark, sf_dir)
+    w = stored(spark, sf_dir)
     return intervals.kept_words(w, intervals.merge(cuts(w))).select("rec_id", "word_idx", "tok", "start_ms", "end_ms")
 
 
@@ -125,8 +126,8 @@ q AS (SELECT * FROM q1 WHERE end_ms - start_ms > 0 AND end_ms - start_ms >= 50 A
 
 @query(MERGED + KEPT + RESCAN + " SELECT * FROM q")
 def postmerge_gaps(spark, sf_dir):
-    w = words(spark, sf_dir)
-    m = intervals.merge(cuts(w))
+    w = stored(spark, sf_dir)
+    m = durable(intervals.merge(cuts(w)))
     return intervals.rescan_gaps(intervals.kept_words(w, m), m)
 
 
@@ -135,9 +136,9 @@ NUM = ", e AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY start_m
 
 @query(MERGED + KEPT + RESCAN + NUM + " SELECT q.rec_id, next_word, count(*) AS n_edits, string_agg(edit_id::VARCHAR, ',' ORDER BY edit_id) AS depends_on FROM q JOIN e ON q.rec_id = e.rec_id AND greatest(q.start_ms, e.start_ms) < least(q.end_ms, e.end_ms) GROUP BY q.rec_id, next_word")
 def gap_dependencies(spark, sf_dir):
-    w = words(spark, sf_dir)
+    w = stored(spark, sf_dir)
     c = cuts(w)
-    m = intervals.merge(c)
+    m = durable(intervals.merge(c))
     return intervals.gap_dependencies(intervals.rescan_gaps(intervals.kept_words(w, m), m), numbered(c))
 
 
@@ -280,7 +281,7 @@ FROM {src} e LEFT JOIN nb x ON x.rec_id = e.rec_id AND x.word_idx = w_from LEFT
 
 @query(CUTS + NB + " " + w10("cut"))
 def boundary_extension(spark, sf_dir):
-    w = words(spark, sf_dir)
+    w = stored(spark, sf_dir)
     return resolve.extend_boundaries(cuts(w), w)
 
 
@@ -289,7 +290,7 @@ def boundary_extension(spark, sf_dir):
 FROM cut e LEFT JOIN nb x ON x.rec_id = e.rec_id AND x.word_idx = w_from LEFT JOIN nb y ON y.rec_id = e.rec_id AND y.word_idx = w_to"""
 )
 def pre_onset_extension(spark, sf_dir):
-    w = words(spark, sf_dir)
+    w = stored(spark, sf_dir)
     return resolve.extend_onset(cuts(w), w)
 
 
@@ -303,7 +304,7 @@ f AS (SELECT rec_id, sent_idx, list_reduce(es, lambda acc, x: CASE
 k AS (SELECT rec_id, sent_idx, unnest(ks) AS k FROM f) SELECT rec_id, sent_idx, k.id AS edit_id, k.a AS start_ms, k.b AS end_ms FROM k"""
 )
 def edit_resolve_greedy(spark, sf_dir):
-    return resolve.greedy_larger(numbered(cuts(words(spark, sf_dir))))
+    return resolve.greedy_larger(numbered(cuts(stored(spark, sf_dir))))
 
 
 @query(
@@ -347,23 +348,23 @@ rules AS (""" + w10("a7") + ")"
 
 @query(ACCEPT + " SELECT * FROM rules")
 def rule_edits(spark, sf_dir):
-    return cut_analysis.rule_edits(words(spark, sf_dir))
+    return cut_analysis.rule_edits(stored(spark, sf_dir))
 
 
 @query(ACCEPT + " SELECT type, count(*) AS n_edits, count(*) FILTER (needs_review) AS n_review, sum(end_ms - start_ms - CASE WHEN type = 'silence' THEN 800 ELSE 0 END)::BIGINT AS saved_ms FROM rules GROUP BY type")
 def edit_summary(spark, sf_dir):
-    e = cut_analysis.rule_edits(words(spark, sf_dir))
+    e = cut_analysis.rule_edits(stored(spark, sf_dir))
     return resolve.summary(e.withColumn("keep_ms", F.when(F.col("type") == "silence", P.silence).otherwise(0)))
 
 
 @query(CUTS + ", k AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY rec_id, w_from, start_ms) AS k FROM cut) SELECT type, count(*) AS n_edits, sum(end_ms - start_ms)::BIGINT AS total_ms, string_agg(rec_id::VARCHAR || ':' || w_from::VARCHAR, ',' ORDER BY k) FILTER (k <= 3) AS examples FROM k GROUP BY type")
 def deletion_types(spark, sf_dir):
-    return evaluate.by_type(cuts(words(spark, sf_dir)))
+    return evaluate.by_type(cuts(stored(spark, sf_dir)))
 
 
 @query(MERGED + ", d AS (SELECT rec_id, max(end_ms) AS dur FROM w GROUP BY rec_id), c AS (SELECT rec_id, sum(end_ms - start_ms) AS cut_ms FROM m GROUP BY rec_id), f AS (SELECT rec_id, coalesce(cut_ms, 0)::BIGINT AS cut_ms, (coalesce(cut_ms, 0) * 10000 // dur)::BIGINT AS share_bp FROM d LEFT JOIN c USING (rec_id)) SELECT *, CASE WHEN share_bp < 1500 THEN 'light' WHEN share_bp < 3000 THEN 'medium' ELSE 'heavy' END AS style FROM f")
 def aggressiveness(spark, sf_dir):
-    w = words(spark, sf_dir)
+    w = stored(spark, sf_dir)
     return evaluate.aggressiveness(intervals.merge(cuts(w)), intervals.durations(w))
 
 
@@ -373,7 +374,7 @@ a AS (SELECT m.rec_id, seg_id, tok, word_idx, row_number() OVER (PARTITION BY m.
 SELECT rec_id, seg_id, coalesce((SELECT string_agg(tok, ' ' ORDER BY word_idx) FROM b WHERE b.rec_id = m.rec_id AND b.seg_id = m.seg_id AND k <= 8), '') AS before_text, coalesce((SELECT string_agg(tok, ' ' ORDER BY word_idx) FROM a WHERE a.rec_id = m.rec_id AND a.seg_id = m.seg_id AND k <= 8), '') AS after_text FROM m"""
 )
 def context_words(spark, sf_dir):
-    w = words(spark, sf_dir)
+    w = stored(spark, sf_dir)
     return audit.context(segments(w), w)
 
 
