@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from utterframe.durable import durable
+
 #: Rows handled at once inside a Python worker; long texts make larger slices needless.
 SLICE_ROWS = 256
 
@@ -17,18 +18,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster names.
-
-    ``spark.checkpoint.dir`` is read from the session; a folder of our own is made only where it
-    is unset (local tests).  Spark removes the files when the frame is no longer referenced.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="utterframe-"))
-    return df.checkpoint(eager=True)
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[list[list]]:
     """The columns of each Arrow batch as Python lists, a bounded number of rows at a time."""
     for batch in batches:
@@ -37,7 +26,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield [c.to_pylist() for c in part.columns]
 
 
-def components(edges: DataFrame, durable=durable, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(u, v)`` (both bigint): ``(node, root)``, root the smallest node.
 
     Alternates the large-star and small-star contractions until the edge set stands still; then

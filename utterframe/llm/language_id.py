@@ -195,6 +195,21 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs``, with their columns, whose text has letters and fits some language by ``least`` at least."""
+    """The rows of ``docs``, with their columns, whose text has letters and fits some language by ``least`` at least.
+
+    Where no row is labelled nothing is known of any language, and only texts without letters go.
+    """
     profiles = fit(docs.filter(~held_out(id_col)), lang_col, text_col, id_col)
-    return predict(docs, profiles, docs.columns, text_col).filter((F.col("lang_pred") != UND) & (F.col("score") >= least)).select(*docs.columns)
+    shared, at = docs.sparkSession.sparkContext.broadcast(profiles), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, cache = shared.value, Grams()
+        for batch in batches:
+            keep = []
+            for a in range(0, batch.num_rows, 256):
+                for text in batch.column(at).slice(a, 256).to_pylist():
+                    lang, score = model.predict(text, cache)
+                    keep.append(lang != UND and score >= least if model.langs else bool(WORD.search(text or "")))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

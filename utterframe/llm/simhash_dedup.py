@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from utterframe.llm.common import components, durable, slices
+from utterframe.durable import durable
+from utterframe.llm.common import components, slices
 
 SEED = 42
 SHINGLE = 3
