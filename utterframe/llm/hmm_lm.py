@@ -168,7 +168,7 @@ def encode(docs: DataFrame, head: dict[bytes, tuple[int, int]], classes: int, id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        logs = {w: (k, log10(n + 0.5)) for w, (k, n) in known.items()}
+        logs = {w: (k, log10(n + 0.5), n > 0) for w, (k, n) in known.items()}
         key, get = TaskContext.get().partitionId() << 40, logs.get
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
@@ -183,7 +183,7 @@ def encode(docs: DataFrame, head: dict[bytes, tuple[int, int]], classes: int, id
                     key += 1
                     sizes.append(len(words))
                     codes.append(np.array([rare if x is None or x[0] >= rare else x[0] for x in found], dtype="<u2").tobytes())
-                    n_head.append(len(hit))
+                    n_head.append(sum(x[2] for x in hit))
                     heads.append(sum(x[1] for x in hit))
                     rares.append(sum(x[1] for x in hit if x[0] >= rare))
                     tails.append(b" ".join([w for w, x in zip(words, found, strict=True) if x is None]).decode())
@@ -233,13 +233,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     counts = durable(count_tokens(docs.filter(~held_out(id_col) & F.col(id_col).isNotNull()), text_col))
     size = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n_all, v_all = size["n"] or 0, size["v"]
-    top = counts.orderBy(F.desc("n"), "token").limit(head_size).collect()  # at most head_size rows
-    ranked = [(r["token"].encode(), r["n"]) for r in top]
-    ranked.sort(key=lambda x: (x[0] != END, -x[1], x[0]))  # the end is always an emission of its own
+    ends = counts.filter(F.col("token") == "").agg(F.sum("n").alias("n")).first()["n"] or 0
+    top = counts.filter(F.col("token") != "").orderBy(F.desc("n"), "token").limit(head_size - 1).collect()  # at most head_size rows
+    ranked = [(END, ends), *((r["token"].encode(), r["n"]) for r in top)]  # the end is always an emission of its own
     own = ranked[: min(emissions, 65534)]
     head = {w: (k, n) for k, (w, n) in enumerate(ranked)}
     classes = len(own) + 1
-    n_rare, v_rare = n_all - sum(n for _, n in own), v_all - len(own)
+    n_rare, v_rare = n_all - sum(n for _, n in own), v_all - sum(n > 0 for _, n in own)
     rows = durable(encode(docs, head, classes, id_col, text_col))
 
     frequency = np.array([*(n for _, n in own), n_rare], dtype=float) + 0.5
