@@ -86,9 +86,11 @@ def read_feedback(spark: SparkSession, path: str, glob: str = "feedback_*.json")
 
 
 def merge_rules(base: DataFrame, user: DataFrame) -> DataFrame:
-    """Rules ``(rule, key, value)`` of a base, overridden by a user's."""
-    b, u = base.select("rule", "key", F.col("value").alias("b")), user.select("user_id", "rule", "key", F.col("value").alias("u"))
-    return b.crossJoin(F.broadcast(user.select("user_id").distinct())).join(u, ["user_id", "rule", "key"], "left").select("user_id", "rule", "key", F.coalesce("u", "b").alias("value"))
+    """Rules ``(rule, key, value)`` of a base, overridden by a user's.  The base is a configuration of a few rows and becomes a literal."""
+    rules = [F.struct(F.lit(r["rule"]).alias("rule"), F.lit(r["key"]).alias("key"), F.lit(r["value"]).alias("b")) for r in base.select("rule", "key", "value").collect()]
+    each = user.select("user_id").distinct().select("user_id", F.explode(F.array(*rules)).alias("r")).select("user_id", "r.*")
+    own = user.select("user_id", "rule", "key", F.col("value").alias("u"))
+    return each.join(own, ["user_id", "rule", "key"], "left").select("user_id", "rule", "key", F.coalesce("u", "b").alias("value"))
 
 
 def salvage_json(text: Column, schema: str) -> Column:
