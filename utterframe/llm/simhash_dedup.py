@@ -7,6 +7,7 @@ codeword within three bits; a word and its one-bit neighbours decode to about fi
 pair of segments gives a key of two 12-bit codeword indices: one document stands at the key of its
 own codewords, the other at those of its neighbours, so every link within the radius meets in at
 least one key.  An equi-join on the key verifies the true distance; only verified links leave it.
+Keys that very many fingerprints share are joined in blocks, which connect what they find by stars.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ RADIUS = 3
 WIDTHS = (22, 21, 21)
 #: Generator polynomial of the binary Golay code [23, 12, 7]: x^11+x^9+x^7+x^6+x^5+x+1.
 GOLAY = 0b101011100011
+#: Fingerprints that stand at a key above which it is hot: its links are sought in blocks of this size.
+HOT = 1024
 #: Shingle hashes that are spread out to bits at once.
 CHUNK = 65536
 
@@ -116,7 +119,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """``(u, v)``: the pairs of different fingerprints of ``fps(fp)`` that differ in at most RADIUS bits."""
+    """``(u, v)``: pairs of different fingerprints of ``fps(fp)`` whose connected components are those of "at most RADIUS bits differ".
+
+    Outside hot keys these are exactly the pairs within the radius; hot keys give connections only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (part,) in slices(batches):
@@ -129,9 +135,74 @@ def links(fps: DataFrame) -> DataFrame:
     keyed = durable(fps.select("fp").mapInArrow(run, "fp bigint, own array<int>, near array<int>"))
     at = keyed.select(F.col("fp").alias("u"), F.explode("own").alias("key"))
     seen = keyed.select(F.col("fp").alias("v"), F.explode("near").alias("key"))
+    n = at.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT)
+    hot = durable(n.select("key", F.ceil(F.col("n") / HOT).cast("int").alias("parts")))
+    if hot.isEmpty():
+        return _verified(at, seen)
+    cool = _verified(at.join(hot, "key", "left_anti"), seen.join(hot, "key", "left_anti"))
+    return cool.unionByName(_forests(at.join(hot, "key"), seen.join(hot, "key"))).distinct()
+
+
+def _verified(at: DataFrame, seen: DataFrame) -> DataFrame:
+    """Links of keys that few fingerprints share: a join that lets only true ones out."""
     return at.join(seen, "key").filter((F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)).select("u", "v").distinct()
 
 
+def _forests(at: DataFrame, seen: DataFrame) -> DataFrame:
+    """Links of hot keys ``(key, parts, u)`` and ``(key, parts, v)``, thinned out without losing a connection.
+
+    Both sides of a key are dealt to ``parts`` blocks; every block of the one meets every block of the
+    other, all distances are looked at, and each pair of blocks gives a star for each group that it
+    connects: at most a row per fingerprint, not one per pair.
+    """
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("parts")).cast("int")
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    a = at.select("key", block("u").alias("i"), F.explode(every).alias("j"), F.lit(False).alias("looks"), F.col("u").alias("fp"))
+    b = seen.select("key", F.explode(every).alias("i"), block("v").alias("j"), F.lit(True).alias("looks"), F.col("v").alias("fp"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = looks = fps = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = (np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)], axis=1), batch.column(3).to_numpy(zero_copy_only=False).astype(bool), batch.column(4).to_numpy())
+            keys, looks, fps = part if keys is None else (np.concatenate(x) for x in zip((keys, looks, fps), part, strict=True))
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                yield stars(fps[x:y][~looks[x:y]], fps[x:y][looks[x:y]])
+            keys, looks, fps = keys[cuts[-1] :], looks[cuts[-1] :], fps[cuts[-1] :]
+        if keys is not None:
+            yield stars(fps[~looks], fps[looks])
+
+    return a.unionByName(b).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "u bigint, v bigint")
+
+
+def stars(own: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+    """For the groups that links between ``own`` and ``near`` connect, each member with its group's smallest fingerprint."""
+    nodes, place = np.unique(np.concatenate([own, near]), return_inverse=True)
+    label = np.arange(len(nodes))
+    i, j = place[: len(own)], place[len(own) :]
+    pairs = []
+    for at in range(0, len(own), 256):
+        x, y = np.nonzero(np.bitwise_count(own[at : at + 256, None].view(np.uint64) ^ near[None, :].view(np.uint64)) <= RADIUS)
+        pairs.append(np.unique(i[at + x] * len(nodes) + j[y]))
+    pairs = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
+    i, j = pairs // max(1, len(nodes)), pairs % max(1, len(nodes))
+    while True:  # the smaller label wins, then labels of labels
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[j], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[moved], pa.int64()), pa.array(nodes[label[moved]], pa.int64())], ["u", "v"])
+
+
 def _least(marked: DataFrame) -> Column:
     """The id, so that a minimum passes over nulls: a struct counts as null only by its first field."""
     if not dict(marked.dtypes)["id"].startswith("struct"):
