@@ -176,6 +176,16 @@ def test_reviews_and_ladder(spark):
     assert got == [(0, 0.9), (1, 0.75), (3, 0.9), (4, 0.75)]
     f = spark.createDataFrame([("k", i, m) for i, m in enumerate([1, 1, 1, -1, -1, -1, -1, 1])], "key string, at long, m int")
     assert evaluate.ladder(f, F.col("m") > 0, F.col("m") < 0).first()["level"] == 1
+    r = random.Random(0)
+    ms = {k: [r.choice([1, -1]) for _ in range(r.randrange(1, 40))] for k in range(30)}
+    f = spark.createDataFrame([(k, i, m) for k, xs in ms.items() for i, m in enumerate(xs)], "key long, at long, m int")
+    want = {}
+    for k, xs in ms.items():
+        want[k] = 1
+        for m in xs:
+            want[k] = min(max(want[k] + m, 0), 2)
+    for chunk in (3, 10_000):
+        assert {x["key"]: x["level"] for x in evaluate.ladder(f, F.col("m") > 0, F.col("m") < 0, chunk=chunk).collect()} == want
 
 
 def test_audit_fix(spark):

@@ -134,8 +134,10 @@ def phrase_repeat(words: DataFrame, p: Params = PARAMS, longest: int = 20, short
     w = order("word_idx", keys=SENT)
     chars = words.withColumn("c1", F.sum(F.length("tok")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("c0", F.col("c1") - F.length("tok"))
     s = sentence_words(words).select(*SENT, "n", F.array_join(F.transform("ws", lambda x: x["tok"]), "").alias("text")).filter(F.length("text") >= 8)
-    s = s.withColumn("len", F.explode(F.sequence(F.lit(shortest), F.least(F.expr("length(text) div 2").cast("int"), F.lit(longest)))))
-    s = s.withColumn("at", F.explode(F.sequence(F.lit(0), F.length("text") - 2 * F.col("len"))))
+    s = s.withColumn("at", F.explode(F.sequence(F.lit(0), F.length("text") - 2 * shortest)))
+    # a phrase comes again only where its first characters do: few places are left to try all lengths at
+    s = s.filter(F.expr(f"instr(substr(text, at + 1 + {shortest}, {3 * longest}), substr(text, at + 1, {shortest})) > 0"))
+    s = s.withColumn("len", F.explode(F.sequence(F.lit(shortest), F.least(F.expr("length(text) div 2").cast("int"), F.lit(longest))))).filter("at <= length(text) - 2 * len")
     s = s.withColumn("phrase", F.expr("substr(text, at + 1, len)")).withColumn("gap", F.expr("instr(substr(text, at + len + 1, 3 * len), phrase) - 1"))
     alike = F.expr("phrase = repeat(left(phrase, 1), len)")
     conj = F.lit(False)

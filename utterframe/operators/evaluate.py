@@ -70,14 +70,21 @@ def adjustments(feedback: DataFrame, by: str, id_col: str, least: int = 2) -> Da
     ).filter(F.col("n") >= least)
 
 
-def ladder(feedback: DataFrame, up: Column, down: Column, start: int = 1, top: int = 2) -> DataFrame:
+def ladder(feedback: DataFrame, up: Column, down: Column, start: int = 1, top: int = 2, chunk: int = 10_000) -> DataFrame:
     """Per key a level that rises and falls with feedback in order, held between 0 and ``top``.
 
-    Clamped sums depend on order, so they are folded; what is collected is a key's feedback as ±1.
+    Clamped steps compose: any run of them is x -> min(max(x + add, lo), hi).  So a key's feedback is
+    folded in chunks of bounded size, and then the chunks: no key is gathered in one array.
     """
     moves = feedback.select("key", "at", F.when(up, 1).when(down, -1).otherwise(0).alias("move")).filter("move <> 0")
-    fold = F.aggregate(F.array_sort(F.collect_list(F.struct("at", "move"))), F.lit(start), lambda s, x: F.least(F.greatest(s + x["move"], F.lit(0)), F.lit(top)))
-    return moves.groupBy("key").agg(fold.cast("bigint").alias("level"), F.count("*").alias("n_moves"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("at"))
+    moves = moves.withColumn("k", rank).withColumn("chunk", F.expr(f"(k - 1) div {chunk}"))
+    hold = lambda x: F.least(F.greatest(x, F.lit(0)), F.lit(top))
+    step = lambda f, x: F.struct((f["add"] + x["move"]).alias("add"), hold(f["lo"] + x["move"]).alias("lo"), hold(f["hi"] + x["move"]).alias("hi"))
+    same = F.struct(F.lit(0).alias("add"), F.lit(0).alias("lo"), F.lit(top).alias("hi"))
+    parts = moves.groupBy("key", "chunk").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("k", "move"))), same, step).alias("f"), F.count("*").alias("n"))
+    run = F.aggregate(F.array_sort(F.collect_list(F.struct("chunk", "f"))), F.lit(start), lambda x, c: F.least(F.greatest(x + c["f"]["add"], c["f"]["lo"]), c["f"]["hi"]))
+    return parts.groupBy("key").agg(run.cast("bigint").alias("level"), F.sum("n").alias("n_moves"))
 
 
 def severity_score(issues: DataFrame) -> DataFrame:
