@@ -124,7 +124,7 @@ class Batch:
 def grouped(batches: Iterator[pa.RecordBatch], column: int, cut: int | None = None) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Rows and their codes, about BATCH_TOKENS at once."""
     for batch in batches:
-        codes = [np.frombuffer(x.as_py(), dtype="<u2").astype(np.int64) for x in batch.column(column)]
+        codes = [np.frombuffer(x.as_py(), dtype="<u2") for x in batch.column(column)]
         at = 0
         while at < len(codes):
             end, size = at, 0
