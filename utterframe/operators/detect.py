@@ -169,16 +169,33 @@ def restart_marker(words: DataFrame, p: Params = PARAMS, alike: float = 0.6) ->
     return edit(first, "self_correction", True, 0.7)
 
 
-def prefix_expansion(words: DataFrame, longest: int = 5, within: int = 8, chars: int = 3) -> DataFrame:
-    """Two to five words said again within the next eight, with more after; the longest at each place."""
+def prefix_expansion(words: DataFrame, p: Params = PARAMS, longest: int = 5, within: int = 8, chars: int = 3) -> DataFrame:
+    """Two to five words said again within the next eight, with more after; the first saying goes.
+
+    At each place the longest repeat, then the nearest, decides.  It is a parallel structure, and no
+    edit, if both sayings go on differently (hesitations apart) after a gap without hesitation, after a
+    gap of more than one word with substance, or where the words stand three times in the sentence.  A
+    repeat that goes on word for word is passed over.  Places inside a cut do not begin another.
+    """
     s = sentence_words(words).filter("n >= 4").withColumn("toks", F.transform("ws", lambda x: x["tok"]))
     s = s.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 4))).withColumn("k", F.explode(F.sequence(F.lit(2), F.lit(longest))))
     s = s.filter("i + 2 * k < n").withColumn("j", F.explode(F.expr(f"sequence(i + k, greatest(i + k, least(i + {within}, n - k - 1)))")))
-    s = s.filter("j >= i + k and j + k < n and slice(toks, i + 1, k) = slice(toks, j + 1, k)").withColumn("prefix", F.expr("array_join(slice(toks, i + 1, k), '')"))
-    s = s.filter(F.length("prefix") >= chars)
-    best = s.groupBy(*SENT, "i").agg(F.max(F.struct("k", (-F.col("j")).alias("neg"), "prefix", "ws")).alias("b"))
-    best = best.select(*SENT, F.expr("b.ws[i].word_idx").alias("w_from"), F.expr("b.ws[-b.neg - 1].word_idx").alias("w_to"), F.expr("b.ws[i].start_ms").alias("start_ms"), F.expr("b.ws[-b.neg - 1].end_ms").alias("end_ms"), F.length("b.prefix").alias("size"))
-    return edit(best, "same_prefix", True, F.when(F.col("size") >= 4, 0.9).otherwise(0.7))
+    s = s.filter("j + k < n and slice(toks, i + 1, k) = slice(toks, j + 1, k)").withColumn("prefix", F.expr("array_join(slice(toks, i + 1, k), '')"))
+    hes = "array(" + ", ".join(f"'{h}'" for h in p.hesitations) + ")"
+    s = s.filter(F.length("prefix") >= chars).withColumn("between", F.expr("slice(toks, i + k + 1, j - i - k)"))
+    s = s.filter("not (j > i + k + 1 and j + k + 1 < n and toks[i + k] = toks[j + k] and toks[i + k + 1] = toks[j + k + 1])")
+    s = s.withColumn("goes_on", F.expr(f"try_element_at(filter(between, x -> not array_contains({hes}, x)), 1)")).withColumn("goes_on2", F.expr(f"try_element_at(filter(slice(toks, j + k + 1, n - j - k), x -> not array_contains({hes}, x)), 1)"))
+    times = F.expr("size(filter(sequence(0, n - k), q -> slice(toks, q + 1, k) = slice(toks, i + 1, k)))")
+    hesitates = F.expr(f"arrays_overlap(between, {hes})")
+    parallel = F.expr("coalesce(goes_on <> goes_on2, false)") & (~hesitates | (F.expr("j - i - k > 1")) | (times >= 3))
+    s = s.withColumn("parallel", parallel)
+    best = s.groupBy(*SENT, "i").agg(F.max(F.struct("k", (-F.col("j")).alias("neg"), "prefix", "parallel", "ws")).alias("b")).filter("not b.parallel")
+    best = best.select(*SENT, "i", (-F.col("b.neg")).alias("j"), F.expr("b.ws[i].word_idx").alias("w_from"), F.expr("b.ws[-b.neg - 1].word_idx").alias("w_to"), F.expr("b.ws[i].start_ms").alias("start_ms"), F.expr("b.ws[-b.neg - 1].end_ms").alias("end_ms"), F.length("b.prefix").alias("size"))
+    cols = ["i", "j", "w_from", "w_to", "start_ms", "end_ms", "size"]
+    last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1))["j"], F.lit(0))
+    kept = F.aggregate("c", F.expr("slice(c, 1, 0)"), lambda acc, x: F.when(x["i"] >= last(acc), F.concat(acc, F.array(x))).otherwise(acc))
+    g = best.groupBy(*SENT).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("c")).select(*SENT, F.explode(kept).alias("e")).select(*SENT, "e.*")
+    return edit(g, "same_prefix", True, F.when(F.col("size") >= 4, 0.9).otherwise(0.7))
 
 
 def residual_filler(words: DataFrame, p: Params = PARAMS) -> DataFrame:

@@ -47,6 +47,7 @@ class Params:
     high_frequency: tuple[str, ...] = ("the", "of")
     markers: tuple[str, ...] = ("that", "with", "for")
     markers2: tuple[str, ...] = ("ofthat", "withthe")
+    hesitations: tuple[str, ...] = ("er", "the", "a", "of")
     conjunctions: tuple[str, ...] = ("and", "but", "so")
 
 

@@ -257,9 +257,12 @@ def restart_marker(spark, sf_dir):
 @query(
     TL + """, a AS (SELECT rec_id, sent_idx, list(tok ORDER BY word_idx) AS toks, list(word_idx ORDER BY word_idx) AS ix, list(start_ms ORDER BY word_idx) AS st, list(end_ms ORDER BY word_idx) AS en, count(*) AS n FROM w GROUP BY rec_id, sent_idx HAVING count(*) >= 4),
 b AS (SELECT *, unnest(range(0, n - 3)) AS i FROM a), c AS (SELECT *, unnest([2, 3, 4, 5]) AS k FROM b), d AS (SELECT *, unnest(range(i + k, greatest(i + k, least(i + 8, n - k - 1)) + 1)) AS j FROM c WHERE i + 2 * k < n),
-e AS (SELECT *, array_to_string(toks[i + 1:i + k], '') AS px FROM d WHERE j + k < n AND toks[i + 1:i + k] = toks[j + 1:j + k]),
-f AS (SELECT *, row_number() OVER (PARTITION BY rec_id, sent_idx, i ORDER BY k DESC, j) AS q FROM e WHERE length(px) >= 3)
-SELECT rec_id, sent_idx, 'same_prefix' AS type, ix[i + 1] AS w_from, ix[j] AS w_to, st[i + 1] AS start_ms, en[j] AS end_ms, true AS needs_review, CASE WHEN length(px) >= 4 THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence FROM f WHERE q = 1"""
+e AS (SELECT *, array_to_string(toks[i + 1:i + k], '') AS px, toks[i + k + 1:j] AS mid FROM d WHERE j + k < n AND toks[i + 1:i + k] = toks[j + 1:j + k] AND NOT (j > i + k + 1 AND j + k + 1 < n AND toks[i + k + 1] = toks[j + k + 1] AND toks[i + k + 2] = toks[j + k + 2])),
+e1 AS (SELECT *, list_filter(mid, lambda x: x NOT IN ({H}))[1] AS g1, list_filter(toks[j + k + 1:], lambda x: x NOT IN ({H}))[1] AS g2, len(list_filter(mid, lambda x: x IN ({H}))) > 0 AS hs, len(list_filter(range(0, n - k + 1), lambda q: toks[q + 1:q + k] = toks[i + 1:i + k])) AS times FROM e WHERE length(px) >= 3),
+f AS (SELECT *, coalesce(g1 <> g2, false) AND (NOT hs OR j - i - k > 1 OR times >= 3) AS par, row_number() OVER (PARTITION BY rec_id, sent_idx, i ORDER BY k DESC, j) AS q FROM e1),
+l AS (SELECT rec_id, sent_idx, list([{'i': i, 'j': j, 'wf': ix[i + 1], 'wt': ix[j], 's0': st[i + 1], 's1': en[j], 'z': length(px)}] ORDER BY i) AS c FROM f WHERE q = 1 AND NOT par GROUP BY rec_id, sent_idx),
+o AS (SELECT rec_id, sent_idx, unnest(list_reduce(c, lambda acc, x: CASE WHEN x[1].i >= acc[-1].j THEN list_concat(acc, x) ELSE acc END)) AS e FROM l)
+SELECT rec_id, sent_idx, 'same_prefix' AS type, e.wf AS w_from, e.wt AS w_to, e.s0 AS start_ms, e.s1 AS end_ms, true AS needs_review, CASE WHEN e.z >= 4 THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence FROM o""".replace("{H}", quoted(P.hesitations))
 )
 def prefix_expansion(spark, sf_dir):
     return detect.prefix_expansion(words(spark, sf_dir))
