@@ -53,6 +53,16 @@ def sentences(words: DataFrame) -> DataFrame:
     )
 
 
+def sentences_by_pause(words: DataFrame, least: int = PARAMS.gap_min) -> DataFrame:
+    """The other fold: a new sentence at a change of speaker or after a pause over ``least``; with the pause that follows."""
+    w = order("word_idx")
+    new = (F.lag("speaker").over(w) != F.col("speaker")) | (F.col("start_ms") - F.lag("end_ms").over(w) > least)
+    s = islands(words, new, ["word_idx"], "part").groupBy("rec_id", "part").agg(
+        F.min("word_idx").alias("w_start"), F.max("word_idx").alias("w_end"), F.min_by("speaker", "word_idx").alias("speaker"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")
+    )
+    return s.withColumn("gap_after", F.lead("start_ms").over(order("part")) - F.col("end_ms"))
+
+
 def speaker_stats(words: DataFrame) -> DataFrame:
     """A1: words by speaker, and their share in basis points."""
     n = words.groupBy("speaker").agg(F.count("*").alias("n_words"))

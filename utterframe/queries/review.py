@@ -130,3 +130,13 @@ def severity_then_time(spark, sf_dir):
     severity = F.when(F.col("event_type") == "error", "high").otherwise("medium")
     k = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc(evaluate.rank_of(severity)), "ts", "event_id"))
     return e.withColumn("k", k).filter("k <= 5").select(F.col("user_id").alias("key"), F.col("event_id").alias("issue_id"), severity.alias("severity"))
+
+
+@query(
+    TL + """, a AS (SELECT *, (lag(speaker) OVER o <> speaker OR start_ms - lag(end_ms) OVER o > 500) AS b FROM w WINDOW o AS (PARTITION BY rec_id ORDER BY word_idx)),
+x AS (SELECT *, sum(coalesce(b, false)::INT) OVER (PARTITION BY rec_id ORDER BY word_idx) AS part FROM a),
+y AS (SELECT rec_id, part::BIGINT AS part, min(word_idx) AS w_start, max(word_idx) AS w_end, arg_min(speaker, word_idx) AS speaker, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM x GROUP BY rec_id, part)
+SELECT *, lead(start_ms) OVER (PARTITION BY rec_id ORDER BY part) - end_ms AS gap_after FROM y"""
+)
+def pause_fold(spark, sf_dir):
+    return sequence.sentences_by_pause(words(spark, sf_dir))
