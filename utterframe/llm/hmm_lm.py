@@ -6,8 +6,8 @@ The EMISSIONS most frequent training tokens have emission probabilities of their
 share one class, inside which a token has its smoothed relative frequency.  The scaled forward
 recursion gives the exact likelihood of a whole text.
 
-Token counts cover all training texts and stay distributed.  The HEAD most frequent ones are
-broadcast (a fixed number); the others are looked up by an equi-join on the token, where the hot
+Token counts cover all training texts and stay distributed.  The most frequent ones, up to
+HEAD of them, are broadcast; the others are looked up by an equi-join on the token, where the hot
 tokens are already gone.
 """
 
@@ -29,6 +29,8 @@ from utterframe.durable import durable
 STATES = 8
 EMISSIONS = 8192
 HEAD = 200_000
+#: The head is whole classes of frequency, so many to a doubling: found by counting, without a global sort.
+SIZES_AN_OCTAVE = 64
 ROUNDS = 3
 SEED = 7
 #: Added to expected counts, so that no probability is zero.
@@ -211,10 +213,9 @@ def train(encoded: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
             full = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(sums[full])], ["i", "v"])
 
-        rows = encoded.select("codes").mapInArrow(run, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # at most ``size`` rows
+        found = encoded.select("codes").mapInArrow(run, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # at most ``size`` rows
         sums = np.zeros(size)
-        for r in rows:
-            sums[r["i"]] = r["v"]
+        sums[found.column("i").to_numpy()] = found.column("v").to_numpy()
         start, move, emit = sums[:states], sums[states : states + states * states].reshape(states, states), sums[states + states * states :].reshape(classes, states)
         start, move, emit = start + SMOOTH, move + SMOOTH, emit + SMOOTH
         model = Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
@@ -234,15 +235,25 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     size = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n_all, v_all = size["n"] or 0, size["v"]
     ends = counts.filter(F.col("token") == "").agg(F.sum("n").alias("n")).first()["n"] or 0
-    top = counts.filter(F.col("token") != "").orderBy(F.desc("n"), "token").limit(head_size - 1).collect()  # at most head_size rows
-    ranked = [(END, ends), *((r["token"].encode(), r["n"]) for r in top)]  # the end is always an emission of its own
-    own = ranked[: min(emissions, 65534)]
-    head = {w: (k, n) for k, (w, n) in enumerate(ranked)}
+    words = counts.filter(F.col("token") != "").withColumn("size", F.floor(F.log2("n") * SIZES_AN_OCTAVE))
+    least, taken = None, 0
+    for r in words.groupBy("size").agg(F.count("*").alias("c")).orderBy(F.desc("size")).collect():  # some thousand sizes at most
+        if taken + r["c"] >= head_size:
+            break
+        least, taken = r["size"], taken + r["c"]
+    # fewer than head_size rows, as Arrow columns and not as a row object each; the end is always an emission of its own
+    top = words.filter(F.lit(False) if least is None else F.col("size") >= least).select("token", "n").toArrow().sort_by([("n", "descending"), ("token", "ascending")])
+    numbers = [ends, *top.column("n").to_pylist()]
+    head = {END: (0, ends)} | {w.encode(): (k, numbers[k]) for k, w in enumerate(top.column("token").to_pylist(), 1)}
+    own = numbers[: min(emissions, 65534)]
+    del top, numbers
     classes = len(own) + 1
-    n_rare, v_rare = n_all - sum(n for _, n in own), v_all - sum(n > 0 for _, n in own)
-    rows = durable(encode(docs, head, classes, id_col, text_col))
+    n_rare, v_rare = n_all - sum(own), v_all - sum(n > 0 for n in own)
+    coded = encode(docs, head, classes, id_col, text_col)
+    del head
+    rows = durable(coded)
 
-    frequency = np.array([*(n for _, n in own), n_rare], dtype=float) + 0.5
+    frequency = np.array([*own, n_rare], dtype=float) + 0.5
     model = train(rows.filter(~F.col("held_out") & F.col("id").isNotNull()), Model.initial(frequency / frequency.sum(), states), rounds)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     id_type = dict(docs.dtypes)[id_col]
