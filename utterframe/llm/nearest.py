@@ -31,7 +31,7 @@ DIRECTIONS = 10
 TARGET, MOST_PROBES, FIT_QUERIES = 0.95, 1024, 100
 #: Cell width, in standard deviations of the projections.
 WIDTH = 2.5
-#: Vectors on which centre, spread and number of probes are fitted (a sample is sparser than all rows, so its neighbours are harder to find); every vector is indexed.
+#: Vectors, as expected, on which centre, spread and number of probes are fitted (a sample is sparser than all rows, so its neighbours are harder to find); every vector is indexed.
 FIT_VECTORS = 4096
 SEED = 11
 BLOCK_VECTORS, BLOCK_QUERIES = 4096, 1024
@@ -213,7 +213,11 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     dim, candidates = sizes["dim"], sizes["ids"] - 1
     rows = rows.filter(F.size("v") == dim)
-    sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(FIT_VECTORS).collect()])
+    # about FIT_VECTORS rows, by a hash of the id: no sort, and no task sends more than its share
+    share = int(min(1.0, FIT_VECTORS / sizes["n"]) * (1 << 31))
+    sample = np.array([r["v"] for r in rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 31)) < share).collect()]).reshape(-1, dim)
+    if not len(sample):
+        sample = np.array([rows.first()["v"]])
     model = Hashes.fit(sample)
     probes = fitted_probes(model, sample, k)
     shared = spark.sparkContext.broadcast(model)
