@@ -245,6 +245,7 @@ def test_urls(spark):
     assert by[1]["host"] == "a.example.org" and by[2]["path"] == "/en/12" and by[9]["path"] == "" and by[11]["host"] == ""
     assert by[None]["rule"] == "com/de/"
     assert url_filter.judge_urls(empty(df), url_filter.rule_table(spark)).count() == 0
+    assert {r["rule"] for r in url_filter.judge_urls(df, empty(url_filter.rule_table(spark))).collect()} == {None}
     assert {r["verdict"] for r in url_filter.judge_urls(df, url_filter.rule_table(spark, [("none", "/", "block")]), default="block").collect()} == {"block"}
 
 
@@ -525,9 +526,12 @@ def test_combinations_use_everything():
     assert sum(t for _, t in bins) <= len(rooms) * 1.01
 
 
-def test_packing_round_trip(spark, corpus):
+@pytest.mark.parametrize("range_rows", [200_000, 3])
+def test_packing_round_trip(spark, corpus, monkeypatch, range_rows):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(packing, "RANGE_ROWS", range_rows)
+
     tok = Tokenizer.from_file(packing.default_vocabulary()[0])
     docs = corpus.unionByName(spark.createDataFrame([(50, "before <|endoftext|> after"), (51, "x" * 3000 + " 😀" * 50)], "doc_id long, text string"), allowMissingColumns=True)
     out = packing.pack_documents(docs).collect()

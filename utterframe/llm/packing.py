@@ -25,8 +25,8 @@ from utterframe.durable import durable
 CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k"
 END_ID = 0
-#: Pieces of one length are dealt to so many ranges before they are ranked.
-SALTS = 64
+#: Pieces of one length are ranked in ranges of about so many.
+RANGE_ROWS = 200_000
 SPECIAL = "<|endoftext|>"
 
 
@@ -158,18 +158,22 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``cut`` (any columns, with ``length`` from 1 to ``capacity``) and ``sequence_id``, ``offset``.
 
     ``cut`` is read more than once and must be stable (a table or a checkpoint).  Pieces of a length
-    that have a third of all rows are ranked in SALTS ranges, so no task holds them together.
+    are ranked in ranges of about RANGE_ROWS, so no task holds a length that a third of them have.
     """
     names = [c for c in cut.columns if c not in ("sequence_id", "offset")]
-    cut = cut.select(*names, F.pmod(F.xxhash64(*[c for c in names if c != "length"]), F.lit(SALTS)).cast("int").alias("__salt"))
+    spark = cut.sparkSession
+    histogram = [(r["length"], r["n"]) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()]  # at most ``capacity`` rows
+    ranges = spark.createDataFrame([(size, -(-n // RANGE_ROWS)) for size, n in histogram], "length long, __parts long")
+    deal = F.pmod(F.xxhash64(*[c for c in names if c != "length"]), F.col("__parts")).cast("int")
+    cut = cut.select(*names).join(F.broadcast(ranges), "length").select(*names, deal.alias("__salt"))
     counts = cut.groupBy("length", "__salt").agg(F.count("*").alias("n"))
-    per = {(r["length"], r["__salt"]): r["n"] for r in counts.collect()}  # at most capacity x SALTS rows
+    per = {(r["length"], r["__salt"]): r["n"] for r in counts.collect()}  # a row per range
     total: Counter = Counter()
     before: dict[tuple[int, int], int] = {}
     for (size, salt), n in sorted(per.items()):
         before[size, salt] = total[size]
         total[size] += n
-    where = cut.sparkSession.sparkContext.broadcast((before, places(combinations(total, capacity))))
+    where = spark.sparkContext.broadcast((before, places(combinations(total, capacity))))
     # each (length, salt) is ranked by itself; the order within a length is of no matter, but must not change between attempts
     order = Window.partitionBy("length", "__salt").orderBy(*[c for c in names if c != "length"])
     ranked = cut.withColumn("__rank", F.row_number().over(order) - 1)
