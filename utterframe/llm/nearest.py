@@ -139,11 +139,11 @@ def best(rows: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> tuple[np.nd
     return q[near], v[near], s[near]
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(-1, dim)
+def _matrix(column: pa.Array, dim: int, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, dim).astype(np.float64)
 
 
-def block_join(rows: DataFrame, by: list[str], dim: int, k: int = K) -> DataFrame:
+def block_join(rows: DataFrame, by: list[str], dim: int, k: int = K, kind: str = "<f8") -> DataFrame:
     """``(query_id, vec_id, score)``: for rows ``(by..., is_query, id, v)`` the k nearest vectors of each query in its block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +180,7 @@ def block_join(rows: DataFrame, by: list[str], dim: int, k: int = K) -> DataFram
             if not batch.num_rows:
                 continue
             own = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(len(by))], axis=1)
-            part = (own, batch.column(len(by) + 1).to_numpy(zero_copy_only=False), batch.column(len(by)).to_numpy(zero_copy_only=False).astype(bool), _matrix(batch.column(len(by) + 2), dim))
+            part = (own, batch.column(len(by) + 1).to_numpy(zero_copy_only=False), batch.column(len(by)).to_numpy(zero_copy_only=False).astype(bool), _matrix(batch.column(len(by) + 2), dim, kind))
             keys, ids, is_query, vectors = part if keys is None else (np.concatenate(x) for x in zip((keys, ids, is_query, vectors), part, strict=True))
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -207,7 +207,9 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     compared with all rows, in blocks.  Other columns are left out; no usable rows give no rows.
     """
     spark = vectors.sparkSession
-    rows = vectors.filter(F.col(id_col).isNotNull() & usable(vector_col)).select(F.col(id_col).cast("bigint").alias("id"), is_query.alias("is_query"), F.col(vector_col).cast("array<double>").alias("v"))
+    # vectors travel in their own precision and are compared in double precision
+    element, kind = ("float", "<f4") if dict(vectors.dtypes)[vector_col] == "array<float>" else ("double", "<f8")
+    rows = vectors.filter(F.col(id_col).isNotNull() & usable(vector_col)).select(F.col(id_col).cast("bigint").alias("id"), is_query.alias("is_query"), F.col(vector_col).cast(f"array<{element}>").alias("v"))
     sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids")).orderBy(F.desc("n"), "dim").first()
     if sizes is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
@@ -229,7 +231,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
                 part = batch.slice(at, 256)
                 ids, asks = part.column(0).to_numpy(), part.column(1).to_numpy(zero_copy_only=False)
                 x = np.array(part.column(2).to_pylist(), dtype=np.float64).reshape(-1, dim)
-                blobs = [v.astype("<f8").tobytes() for v in x]
+                blobs = [v.tobytes() for v in x.astype(kind)]
                 t, b, q, who = [], [], [], []
                 for table in range(len(model.directions)):
                     cells = model.cells(x, table)
@@ -247,7 +249,8 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
                 who = np.concatenate(who)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(t).astype(np.int32)), pa.array(np.concatenate(b)), pa.array(np.concatenate(q)), pa.array(ids[who]), pa.array([blobs[i] for i in who], pa.binary())], ["t", "b", "is_query", "id", "v"])
 
-    at = durable(rows.mapInArrow(hashed, "t int, b bigint, is_query boolean, id bigint, v binary"))
+    # hashed twice, once to count buckets and once to deal them out: cheaper than to keep TABLES copies of every vector on disk
+    at = rows.mapInArrow(hashed, "t int, b bigint, is_query boolean, id bigint, v binary")
     load = at.groupBy("t", "b").agg(F.count_if(~F.col("is_query")).alias("n"), F.count_if("is_query").alias("m")).filter("n > 0 and m > 0")
     load = load.select("t", "b", F.ceil(F.col("n") / BLOCK_VECTORS).cast("int").alias("nb"), F.ceil(F.col("m") / BLOCK_QUERIES).cast("int").alias("qb"))
     dealt = at.join(load, ["t", "b"])
@@ -255,17 +258,17 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     dealt = dealt.withColumn("nbs", F.when(F.col("is_query"), all_of("nb")).otherwise(F.array(mine("nb")))).withColumn("qbs", F.when(F.col("is_query"), F.array(mine("qb"))).otherwise(all_of("qb")))
     dealt = dealt.withColumn("nb", F.explode("nbs")).withColumn("qb", F.explode("qbs"))
-    found = durable(_merged(block_join(dealt, ["t", "b", "nb", "qb"], dim, k), k))
+    found = durable(_merged(block_join(dealt, ["t", "b", "nb", "qb"], dim, k, kind), k))
     asked = rows.filter("is_query").select("id").distinct()
     short = asked.join(found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n")), "id", "left").filter(F.coalesce("n", F.lit(0)) < min(k, candidates)).select("id")
     short = durable(short)
     if not short.isEmpty():
         blocks = max(1, -(-sizes["n"] // BLOCK_VECTORS))
-        pack = F.udf(lambda v: np.array(v, dtype="<f8").tobytes(), "binary")
+        pack = F.udf(lambda v: np.array(v, dtype=kind).tobytes(), "binary")
         asks = rows.filter("is_query").join(short, "id", "left_semi").select(F.lit(True).alias("is_query"), "id", pack("v").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("nb"))
         asks = asks.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(1)).cast("int"))
         every = rows.select(F.lit(False).alias("is_query"), "id", pack("v").alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("nb"), F.lit(0).alias("qb"))
-        rest = _merged(block_join(every.unionByName(asks), ["nb", "qb"], dim, k), k)
+        rest = _merged(block_join(every.unionByName(asks), ["nb", "qb"], dim, k, kind), k)
         found = found.join(short.withColumnRenamed("id", "query_id"), "query_id", "left_anti").unionByName(rest)
     return found.select("query_id", "rank", "vec_id", "score")
 
