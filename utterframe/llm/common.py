@@ -18,6 +18,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch of whole texts.  Spark's own 10,000 make batches of up to 64 MB, held several times on both sides of a worker's pipe.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for the session, unless it asks for fewer rows itself."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[list[list]]:
     """The columns of each Arrow batch as Python lists, a bounded number of rows at a time."""
     for batch in batches:

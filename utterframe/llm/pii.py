@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from utterframe.durable import durable
+from utterframe.llm.common import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("pattern", "gazetteer", "context", "boundary", "company")
@@ -267,6 +268,7 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts have none.  Texts are scanned whole, whatever their length; repeated rows and null ids are
     kept; other columns are left out; no rows give no rows.
     """
+    small_batches(docs.sparkSession)
     rows = durable(extract(docs, id_col, text_col))
     counts = rows.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes", "s.shape").agg(F.count("*").alias("n")).collect()  # bounded: kinds x vote patterns x shapes
     chances = admitted([(r["kind"], r["votes"], r["shape"], r["n"]) for r in counts])
