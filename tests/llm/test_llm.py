@@ -445,6 +445,27 @@ def test_components_on_chains(spark):
     assert got == {**{i: 0 for i in range(1, 61)}, 201: 200, 300: 299}
 
 
+def test_pipeline_joins_similar_texts(spark):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    texts = ["", "a b", "A  b"]
+    for family in range(25):
+        words = prose(r.randrange(6, 120), 100 + family).split()
+        for _ in range(r.choice((1, 3, 12))):
+            other = [r.choice(WORDS) + "x" if r.random() < 0.03 else w for w in words]
+            texts.append(" ".join(other if r.random() < 0.5 else other[: r.randrange(5, 121)]))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in (t.lower().split() for t in texts)]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            root = [root[i] if x == root[j] else x for x in root]
+    want = {min(i for i, x in enumerate(root) if x == c) for c in root}
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in enumerate(texts)], DOCS)
+    kept = sorted(x["doc_id"] for x in corpus_pipeline.dedup_near(spark, docs, "").collect())
+    assert kept == sorted(want) and len(want) < len(texts) - 20
+
+
 def test_near_duplicates_edges(spark, corpus):
     out = simhash_dedup.near_duplicates(corpus).collect()
     assert len(out) == corpus.count()

@@ -1,0 +1,149 @@
+"""Near-duplicates by Jaccard similarity of word shingles.
+
+Two texts are linked if their sets of SHINGLE-word shingles have a similarity of SIMILARITY or more.
+MinHash proposes and the sets decide: BANDS keys of ROWS minima each let a pair at the threshold go
+unseen with probability (1 - 0.8 ** 3) ** 24 = 3e-8, and every proposed pair is verified on the
+whole sets before it links.  Pairs of a key are proposed in two steps, so that a large group costs
+no pair for each two of its members: first every member with the key's smallest and largest, then
+only the pairs that what was verified so far leaves in different components.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from utterframe.durable import durable
+from utterframe.llm.common import components
+from utterframe.llm.decontaminate import shingle_hashes
+from utterframe.llm.simhash_dedup import _least
+
+SHINGLE = 5
+#: Numerator and denominator, so that the threshold is exact.
+SIMILARITY = (4, 5)
+BANDS, ROWS = 24, 3
+SEED = 42
+#: Shingles whose minima are taken at once.
+CHUNK = 4096
+#: Bits of the filter that keeps texts without a partner out of the shuffle; it lets some of them through.
+FILTER_BITS = 1 << 25
+
+
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of the whole text; a text with fewer words is one shingle."""
+    words = (text or "").encode().lower().split()
+    return np.unique(shingle_hashes(words, size) if len(words) >= size else shingle_hashes([b" ".join(words)], 1))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    up, down = SIMILARITY
+    if down * min(len(a), len(b)) < up * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return down * both >= up * (len(a) + len(b) - both)
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band, of the minima of its ROWS permutations."""
+    rng = np.random.default_rng(SEED)
+    by, plus = rng.integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), CHUNK):
+        x = hashes[at : at + CHUNK][None, :] * (2 * by + np.uint64(1))[:, None] + plus[:, None]
+        x ^= x >> np.uint64(32)
+        least = np.minimum(least, (x * np.uint64(0x9E3779B97F4A7C15)).min(axis=1))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for r in range(ROWS):
+        key = (key ^ least[r::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(32)
+    return key.view(np.int64)
+
+
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, fp, bands)`` of every row; ``fp`` is a hash of the text as it stands."""
+    id_type = dict(docs.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                keys = np.concatenate([bands(shingles(t)) for t in part.column(2).to_pylist()])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS), pa.int32()), pa.array(keys))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["id", "fp", "bands"])
+
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("fp"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, fp bigint, bands array<bigint>")
+
+
+def _sets(docs: DataFrame, pairs: DataFrame, text_col: str) -> DataFrame:
+    """``(fp, shingles)`` of the texts that ``pairs(u, v)`` name."""
+    named = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    place = F.pmod("fp", F.lit(FILTER_BITS))
+    found = named.groupBy((place / 64).cast("int").alias("i")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(fp, {FILTER_BITS}) % 64 as int))")).alias("w")).toArrow()  # at most FILTER_BITS / 64 rows
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    words[found.column("i").to_numpy()] = found.column("w").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(words.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.frombuffer(shared.value, np.int64)
+        for batch in batches:
+            fp = batch.column(0).to_numpy()
+            at = fp % FILTER_BITS
+            hits = np.flatnonzero(words[at // 64] >> (at % 64) & 1)
+            for some in range(0, len(hits), 256):
+                part = batch.take(pa.array(hits[some : some + 256]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["fp", "shingles"])
+
+    passed = docs.select(F.xxhash64(text_col).alias("fp"), F.col(text_col).alias("text")).mapInArrow(run, "fp bigint, shingles binary")
+    return passed.join(named, "fp", "left_semi").groupBy("fp").agg(F.min("shingles").alias("shingles"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs(u, v)`` whose sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column(2), batch.column(3)
+            good = [similar(np.frombuffer(a[i].as_py(), "<u8"), np.frombuffer(b[i].as_py(), "<u8")) for i in range(batch.num_rows)]
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v")
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
+
+
+def tree(docs: DataFrame, signed: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(node, root)`` for the texts of ``docs`` that are linked to another, by their ``fp`` in ``signed``."""
+    at = signed.dropDuplicates(["fp"]).select("fp", F.explode("bands").alias("key"))
+    ends = at.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi")
+    at = durable(at.join(ends, "key"))
+    pair = lambda a, b: F.struct(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+    stars = durable(at.select(F.explode(F.array(pair("fp", "lo"), pair("fp", "hi"))).alias("p")).select("p.*").filter("u < v").distinct())
+    if stars.isEmpty():
+        return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    sets = durable(_sets(docs, stars, text_col))
+    first = durable(components(durable(_verified(stars, sets))))
+    rooted = at.select("key", "fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    rooted = durable(rooted.join(split, "key", "left_semi"))
+    across = rooted.select("key", F.col("fp").alias("u"), F.col("root").alias("ru")).join(rooted.select("key", F.col("fp").alias("v"), F.col("root").alias("rv")), "key").filter("u < v and ru <> rv")
+    more = durable(_verified(across.select("u", "v").distinct().join(stars, ["u", "v"], "left_anti"), sets))
+    if more.isEmpty():
+        return first
+    return components(first.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, fp, component)`` of every row of ``docs``, as ``simhash_dedup.near_duplicates`` gives them.
+
+    Equal texts are one node and ``component`` is the smallest id reachable over links.  Null and
+    wordless texts have one and the same shingle.
+    """
+    signed = durable(signatures(docs, id_col, text_col))
+    nodes = durable(signed.groupBy("fp").agg(F.min(_least(signed)).alias("first")))
+    linked = tree(docs, signed, text_col)
+    rooted = nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("first").alias("component"))
+    return signed.select("id", "fp").join(rooted.join(named, "root").select("fp", "component"), "fp").select("id", "fp", "component")

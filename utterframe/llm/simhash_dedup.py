@@ -12,7 +12,7 @@ Keys that very many fingerprints share are joined in blocks, which connect what
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -228,14 +228,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(of, "fp").select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with their columns, one of each group: the one with the group's smallest id.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """The rows of ``docs`` with their columns, one of each group of ``near``: the one with the group's smallest id.
 
     Rows without an id represent a group only if the group has no id at all.  Of several rows with
     that id in the group (repeated rows) one with the smallest text hash stays.
     """
     th = F.xxhash64(F.col(text_col))
-    of = near_duplicates(docs.select(F.struct(F.col(id_col).alias("id"), th.alias("th")).alias("id"), F.col(text_col).alias("text")), "id", "text")
+    of = near(docs.select(F.struct(F.col(id_col).alias("id"), th.alias("th")).alias("id"), F.col(text_col).alias("text")), "id", "text")
     kept = of.groupBy("component").agg(F.lit(1).alias("one")).select(F.col("component.id").alias("__id"), F.col("component.th").alias("__th"))
     joined = docs.withColumn("__h", th).join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left_semi")
     copy = F.row_number().over(Window.partitionBy(id_col, "__h").orderBy(F.lit(0)))
