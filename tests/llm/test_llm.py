@@ -310,6 +310,19 @@ def test_training_raises_likelihood(spark):
     assert scores[0] < scores[1] < scores[2]
 
 
+def test_training_runs_until_likelihood_stands(spark):
+    r = np.random.default_rng(5)
+    seqs = [np.concatenate([np.arange(12) % 6 + 6 * k for k in r.integers(0, 2, 3)]) for _ in range(80)]
+    rows = spark.createDataFrame([(s.astype("<u2").tobytes(),) for s in seqs], "codes binary")
+    start = hmm_lm.Model.initial(np.full(12, 1 / 12))
+    got = hmm_lm.train(rows, start)
+    mean = lambda m: hmm_lm.Batch(seqs).forward(m)[0].sum() / sum(map(len, seqs))
+    b = hmm_lm.Batch(seqs)
+    s, v, e = (x + hmm_lm.SMOOTH for x in b.expected(got))
+    again = hmm_lm.Model(s / s.sum(), v / v.sum(axis=1, keepdims=True), e / e.sum(axis=0))
+    assert mean(again) - mean(got) < 2e-3 and mean(got) > -log10(12) + 0.3 and got.rounds > 3
+
+
 def test_hmm_empty(spark, corpus):
     assert hmm_lm.score(empty(corpus)).count() == 0
     assert hmm_lm.score(corpus.filter("doc_id is null")).first()["n_known"] == 0

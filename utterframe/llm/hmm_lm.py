@@ -1,7 +1,8 @@
 """Language-model scoring by a hidden Markov model.
 
 Baum-Welch: each partition runs the scaled forward-backward recursion over its texts, expected
-counts are summed across partitions, and the driver re-estimates the model, which has a fixed size.
+counts are summed across partitions, and the driver re-estimates the model, which has a fixed size,
+until a round raises the training likelihood by less than RISE.
 The EMISSIONS most frequent training tokens have emission probabilities of their own; all others
 share one class, inside which a token has its smoothed relative frequency.  The scaled forward
 recursion gives the exact likelihood of a whole text.
@@ -13,6 +14,7 @@ tokens are already gone.
 
 from __future__ import annotations
 
+import logging
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,12 +28,15 @@ from pyspark.sql import functions as F
 
 from utterframe.durable import durable
 
+log = logging.getLogger(__name__)
+
 STATES = 8
 EMISSIONS = 8192
 HEAD = 200_000
 #: The head is whole classes of frequency, so many to a doubling: found by counting, without a global sort.
 SIZES_AN_OCTAVE = 64
-ROUNDS = 3
+#: Training ends with the round that raised the log10 likelihood of a training token by less.
+RISE = 1e-4
 SEED = 7
 #: Added to expected counts, so that no probability is zero.
 SMOOTH = 0.01
@@ -59,12 +64,13 @@ class Model:
     start: np.ndarray  # (states)
     move: np.ndarray  # (states, states)
     emit: np.ndarray  # (classes, states); each column sums to 1
+    rounds: int = 0
 
     @staticmethod
     def initial(frequency: np.ndarray, states: int = STATES, seed: int = SEED) -> Model:
-        """The unigram distribution, perturbed for each state."""
+        """The unigram distribution, with most of a class's weight on few states: a start near symmetry stays there for many rounds."""
         rng = np.random.default_rng(seed)
-        emit = (frequency[:, None] + 1e-9) * rng.uniform(0.3, 1.7, (len(frequency), states))
+        emit = (frequency[:, None] + 1e-9) * rng.exponential(1, (len(frequency), states)) ** 3
         move = rng.uniform(0.5, 1.5, (states, states))
         return Model(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
@@ -107,7 +113,8 @@ class Batch:
     def expected(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts of starts, moves and emissions."""
         states = len(m.start)
-        _, gamma, scales = self.forward(m, keep=True)
+        total, gamma, scales = self.forward(m, keep=True)
+        self.likelihood = total.sum()
         moves, b = np.zeros((states, states)), np.ones((0, states))
         for t in range(len(self.alive) - 1, -1, -1):
             n, lo = int(self.alive[t]), self.at[t]
@@ -199,30 +206,38 @@ def encode(docs: DataFrame, head: dict[bytes, tuple[int, int]], classes: int, id
     )
 
 
-def train(encoded: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all rows of ``encoded``; each round sums expected counts across partitions."""
+def train(encoded: DataFrame, model: Model, rounds: int | None = None) -> Model:
+    """Baum-Welch over all rows of ``encoded`` until the likelihood stands still, or for as many rounds as asked; each round sums expected counts across partitions."""
     states, classes = len(model.start), len(model.emit)
     size = states + states * states + classes * states
-    for _ in range(rounds):
+    before = -np.inf
+    while rounds is None or model.rounds < rounds:
         shared = encoded.sparkSession.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            m, sums = shared.value, np.zeros(size)
+            m, sums = shared.value, np.zeros(size + 1)
             for _, part in grouped(batches, 0, TRAIN_LENGTH):
-                sums += np.concatenate([x.ravel() for x in Batch(part).expected(m)])
+                b = Batch(part)
+                sums[:size] += np.concatenate([x.ravel() for x in b.expected(m)])
+                sums[size] += b.likelihood
             full = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(sums[full])], ["i", "v"])
 
-        found = encoded.select("codes").mapInArrow(run, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # at most ``size`` rows
-        sums = np.zeros(size)
+        found = encoded.select("codes").mapInArrow(run, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # at most ``size`` + 1 rows
+        sums = np.zeros(size + 1)
         sums[found.column("i").to_numpy()] = found.column("v").to_numpy()
-        start, move, emit = sums[:states], sums[states : states + states * states].reshape(states, states), sums[states + states * states :].reshape(classes, states)
+        start, move, emit = sums[:states], sums[states : states + states * states].reshape(states, states), sums[states + states * states : size].reshape(classes, states)
+        mean = sums[size] / max(1.0, emit.sum())
         start, move, emit = start + SMOOTH, move + SMOOTH, emit + SMOOTH
-        model = Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+        model = Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), model.rounds + 1)
+        if rounds is None and mean - before < RISE:
+            break
+        before = mean
+    log.info("Baum-Welch: %d rounds, log10 likelihood of a training token %.5f before the last", model.rounds, mean if model.rounds else np.nan)
     return model
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, emissions: int = EMISSIONS, head_size: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, emissions: int = EMISSIONS, head_size: int = HEAD, rounds: int | None = None) -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, a row for each row of ``docs``.
 
     Learns from the rows with an id that are not held out.  A null text is empty: its only token is
