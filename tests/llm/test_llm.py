@@ -206,6 +206,24 @@ def test_nearest_splits_large_buckets(spark, monkeypatch):
     assert sum(len(set(got[q]) & {v for v, _ in want[q]}) for q in want) >= 0.9 * 400
 
 
+@pytest.mark.parametrize("share", [0.34])
+def test_probes_fit_vectors_outside_a_dense_group(share):
+    r = np.random.default_rng(2)
+    sample = r.normal(size=(900, 12))
+    dense = int(share * len(sample))
+    sample[:dense] = sample[0] + 1e-4 * r.normal(size=(dense, 12))
+    model = nearest.Hashes.fit(sample)
+    probes = nearest.fitted_probes(model, sample)
+    own = [nearest.bucket(np.floor(model.cells(sample, t))) for t in range(nearest.TABLES)]
+    hits = 0
+    for i in range(dense, dense + 40):
+        away = ((sample - sample[i]) ** 2).sum(axis=1)
+        near = np.argsort(away)[1:11]
+        seen = [np.isin(own[t][near], nearest.bucket(nearest.visited(model.cells(sample[i : i + 1], t)[0], probes))) for t in range(nearest.TABLES)]
+        hits += np.any(seen, axis=0).sum()
+    assert hits >= 0.88 * 400
+
+
 def test_perturbations_come_in_order():
     away = np.array([0.5, 0.1, 0.3, 0.9])
     sets = list(nearest.perturbations(away, 8))

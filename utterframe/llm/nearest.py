@@ -87,20 +87,29 @@ def perturbations(away: np.ndarray, most: int) -> Iterator[list[int]]:
 
 
 def fitted_probes(model: Hashes, sample: np.ndarray, k: int = K) -> int:
-    """Buckets to visit per table, from the rank of the first probe that finds each true neighbour of some sampled vectors."""
-    asks = min(FIT_QUERIES, len(sample))
-    near = []
-    for i in range(asks):
+    """Buckets to visit per table, from the rank of the first probe that finds each true neighbour of some sampled vectors.
+
+    These are drawn from the whole sample, among those whose own buckets do not hold all their
+    neighbours: a dense group, however large, says nothing about the vectors outside it.
+    """
+    k = min(k, len(sample) - 1)
+    cells = [model.cells(sample, table) for table in range(len(model.directions))]
+    own = np.stack([bucket(np.floor(c)) for c in cells])
+    asks, near = [], []
+    for i in np.random.default_rng(SEED).permutation(len(sample)).tolist():
         away = ((sample - sample[i]) ** 2).sum(axis=1)
         away[i] = np.inf
-        near.append(np.argsort(away, kind="stable")[: min(k, len(sample) - 1)])
-    first = np.full((asks, min(k, len(sample) - 1)), MOST_PROBES)
-    for table in range(len(model.directions)):
-        cells = model.cells(sample, table)
-        own = bucket(np.floor(cells))
-        for i in range(asks):
-            order = {int(b): r for r, b in reversed(list(enumerate(bucket(visited(cells[i], MOST_PROBES)).tolist())))}
-            first[i] = np.minimum(first[i], [order.get(b, MOST_PROBES) for b in own[near[i]].tolist()])
+        nearest = np.argsort(away, kind="stable")[:k]
+        if not (own[:, nearest] == own[:, i : i + 1]).any(axis=0).all():  # any number of probes does for the rest
+            asks.append(i)
+            near.append(nearest)
+            if len(asks) == FIT_QUERIES:
+                break
+    first = np.full((len(asks), k), MOST_PROBES)
+    for table in range(len(cells)):
+        for n, i in enumerate(asks):
+            order = {int(b): r for r, b in reversed(list(enumerate(bucket(visited(cells[table][i], MOST_PROBES)).tolist())))}
+            first[n] = np.minimum(first[n], [order.get(b, MOST_PROBES) for b in own[table, near[n]].tolist()])
     found = np.sort(first.ravel())
     return int(min(MOST_PROBES, found[min(len(found) - 1, int(np.ceil(TARGET * len(found))))] + 1)) if len(found) else 1
 
