@@ -8,6 +8,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from utterframe import catalogue
 from utterframe.functions import formats
 from utterframe.operators import align, audit, detect, evaluate, intervals, resolve, sequence
 from utterframe.params import PARAMS
@@ -215,3 +216,17 @@ def test_plans_push_down(spark):
     for name in ("context_words", "gap_dependencies", "silence_edits", "speaker_overlap_argmax", "restored_coverage", "auto_fix", "text_span_map"):
         p = catalogue.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in p and "Cartesian" not in p, name
+
+
+def test_match_ladder_of_all_sentences(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {(r["rec_id"], r["sent_idx"]): (r["match"], r["n_common"]) for r in catalogue.queries()["text_match_ladder_all"](spark, sf).collect()}
+    short = {(r["rec_id"], r["sent_idx"]): (r["match"], r["n_common"]) for r in catalogue.queries()["text_match_ladder"](spark, sf).collect()}
+    text = {(r["rec_id"], r["sent_idx"]): r["text"] for r in sequence.sentences(sequence.timeline(spark.read.parquet(f"{sf}/conversations.parquet"))).collect()}
+    pairs = {k: (a, text[k[0], k[1] + 1]) for k, a in text.items() if (k[0], k[1] + 1) in text}
+    assert set(got) == set(pairs) and len(got) > len(short) and short == {k: got[k] for k in short}
+    for k in sorted(got)[::23]:
+        a, b = pairs[k]
+        n = max((j - i for i in range(len(a)) for j in range(i + 1, len(a) + 1) if a[i:j] in b), default=0)
+        rung = "exact" if a == b else "contained" if a in b or b in a else "common" if 2 * n >= min(len(a), len(b)) else "none"
+        assert got[k] == (rung, n)

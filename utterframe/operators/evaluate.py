@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def best_matches(gold: DataFrame, predicted: DataFrame, keys: Sequence[str] = ("rec_id", "sent_idx")) -> DataFrame:
@@ -129,8 +132,32 @@ def common_substring(a: str, b: str) -> Column:
     )
 
 
-def match_ladder(a: str, b: str) -> Column:
+def common_length(a: str, b: str) -> int:
+    """T1 for texts of any length: one row of the table of common suffixes at a time."""
+    x, y = (np.frombuffer(t.encode("utf-32-le"), "<u4") for t in (a, b))
+    if len(x) > len(y):
+        x, y = y, x
+    row, best = np.zeros(len(y) + 1, np.int64), 0
+    for c in x:
+        row[1:] = np.where(y == c, row[:-1] + 1, 0)
+        best = max(best, int(row.max()))
+    return best
+
+
+def with_common(pairs: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """``pairs`` and ``out``, the common_length of its texts ``a`` and ``b`` (null if one is null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column(a).to_pylist(), batch.column(b).to_pylist(), strict=True)
+            n = [None if x is None or y is None else common_length(x, y) for x, y in both]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], [*batch.schema.names, out])
+
+    return pairs.mapInArrow(run, T.StructType([*pairs.schema.fields, T.StructField(out, T.LongType())]))
+
+
+def match_ladder(a: str, b: str, common: Column | None = None) -> Column:
     """T4: exact, trimmed, contained, or half in common; else none."""
     t = lambda x: f"regexp_replace(regexp_replace({x}, '^[[:punct:][:space:]]+', ''), '[[:punct:][:space:]]+$', '')".replace("[:punct:]", "\\\\p{Punct}").replace("[:space:]", "\\\\s")
-    half = 2 * common_substring(a, b) >= F.greatest(F.least(F.length(a), F.length(b)), F.lit(1))
+    half = 2 * (common_substring(a, b) if common is None else common) >= F.greatest(F.least(F.length(a), F.length(b)), F.lit(1))
     return F.when(F.col(a) == F.col(b), "exact").when(F.expr(f"{t(a)} = {t(b)}"), "trimmed").when(F.contains(a, F.col(b)) | F.contains(b, F.col(a)), "contained").when(half, "common").otherwise("none")

@@ -409,6 +409,14 @@ def text_match_ladder(spark, sf_dir):
     return s.select("rec_id", "sent_idx", evaluate.match_ladder("a", "b").alias("match"), evaluate.common_substring("a", "b").cast("bigint").alias("n_common"))
 
 
+@query(None)
+def text_match_ladder_all(spark, sf_dir):
+    # sentences of any length, which the SQL of text_match_ladder leaves out
+    s = sequence.sentences(words(spark, sf_dir)).select("rec_id", "sent_idx", F.col("text").alias("a"), F.lead("text").over(sequence.order("sent_idx")).alias("b"))
+    s = evaluate.with_common(s.filter("b is not null"), "a", "b", "n_common")
+    return s.select("rec_id", "sent_idx", evaluate.match_ladder("a", "b", F.col("n_common")).alias("match"), "n_common")
+
+
 @query(None)
 def lcs_missing_runs(spark, sf_dir):
     w = stored(spark, sf_dir)
