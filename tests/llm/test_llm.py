@@ -206,6 +206,17 @@ def test_nearest_splits_large_buckets(spark, monkeypatch):
     assert sum(len(set(got[q]) & {v for v, _ in want[q]}) for q in want) >= 0.9 * 400
 
 
+def test_nearest_is_exact_where_probes_fall_short(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "MOST_PROBES", 2)
+    monkeypatch.setattr(nearest, "BLOCK_QUERIES", 4)
+    r = np.random.default_rng(6)
+    rows = [(i, r.normal(size=24).tolist()) for i in range(300)]
+    got = defaultdict(list)
+    for x in nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 30 == 0).orderBy("query_id", "rank").collect():
+        got[x["query_id"]].append(x["vec_id"])
+    assert got == {q: [v for v, _ in near] for q, near in brute_nearest(rows, range(0, 300, 30)).items()}
+
+
 @pytest.mark.parametrize("share", [0.34])
 def test_probes_fit_vectors_outside_a_dense_group(share):
     r = np.random.default_rng(2)

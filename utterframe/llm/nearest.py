@@ -91,6 +91,7 @@ def fitted_probes(model: Hashes, sample: np.ndarray, k: int = K) -> int:
 
     These are drawn from the whole sample, among those whose own buckets do not hold all their
     neighbours: a dense group, however large, says nothing about the vectors outside it.
+    Zero if MOST_PROBES buckets a table do not find TARGET of them.
     """
     k = min(k, len(sample) - 1)
     cells = [model.cells(sample, table) for table in range(len(model.directions))]
@@ -111,7 +112,10 @@ def fitted_probes(model: Hashes, sample: np.ndarray, k: int = K) -> int:
             order = {int(b): r for r, b in reversed(list(enumerate(bucket(visited(cells[table][i], MOST_PROBES)).tolist())))}
             first[n] = np.minimum(first[n], [order.get(b, MOST_PROBES) for b in own[table, near[n]].tolist()])
     found = np.sort(first.ravel())
-    return int(min(MOST_PROBES, found[min(len(found) - 1, int(np.ceil(TARGET * len(found))))] + 1)) if len(found) else 1
+    if not len(found):
+        return 1
+    last = int(found[min(len(found) - 1, int(np.ceil(TARGET * len(found))))])
+    return last + 1 if last < MOST_PROBES else 0
 
 
 def visited(position: np.ndarray, probes: int) -> np.ndarray:
@@ -213,7 +217,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     Rows with a null id, or a vector that is null, zero or holds null or non-finite components, take
     no part, nor do vectors of another dimension than most have.  An id given more than once counts
     once, at its nearest vector.  A query that found fewer than k (and fewer than there are) is
-    compared with all rows, in blocks.  Other columns are left out; no usable rows give no rows.
+    compared with all rows, in blocks; so is every query where no number of probes reaches TARGET.  Other columns are left out; no usable rows give no rows.
     """
     spark = vectors.sparkSession
     # vectors travel in their own precision and are compared in double precision
@@ -258,27 +262,29 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
                 who = np.concatenate(who)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(t).astype(np.int32)), pa.array(np.concatenate(b)), pa.array(np.concatenate(q)), pa.array(ids[who]), pa.array([blobs[i] for i in who], pa.binary())], ["t", "b", "is_query", "id", "v"])
 
-    # hashed twice, once to count buckets and once to deal them out: cheaper than to keep TABLES copies of every vector on disk
-    at = rows.mapInArrow(hashed, "t int, b bigint, is_query boolean, id bigint, v binary")
-    load = at.groupBy("t", "b").agg(F.count_if(~F.col("is_query")).alias("n"), F.count_if("is_query").alias("m")).filter("n > 0 and m > 0")
-    load = load.select("t", "b", F.ceil(F.col("n") / BLOCK_VECTORS).cast("int").alias("nb"), F.ceil(F.col("m") / BLOCK_QUERIES).cast("int").alias("qb"))
-    dealt = at.join(load, ["t", "b"])
-    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    dealt = dealt.withColumn("nbs", F.when(F.col("is_query"), all_of("nb")).otherwise(F.array(mine("nb")))).withColumn("qbs", F.when(F.col("is_query"), F.array(mine("qb"))).otherwise(all_of("qb")))
-    dealt = dealt.withColumn("nb", F.explode("nbs")).withColumn("qb", F.explode("qbs"))
-    found = durable(_merged(block_join(dealt, ["t", "b", "nb", "qb"], dim, k, kind), k))
-    asked = rows.filter("is_query").select("id").distinct()
-    short = asked.join(found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n")), "id", "left").filter(F.coalesce("n", F.lit(0)) < min(k, candidates)).select("id")
+    found, asked = None, rows.filter("is_query").select("id").distinct()
+    if probes:
+        # hashed twice, once to count buckets and once to deal them out: cheaper than to keep TABLES copies of every vector on disk
+        at = rows.mapInArrow(hashed, "t int, b bigint, is_query boolean, id bigint, v binary")
+        load = at.groupBy("t", "b").agg(F.count_if(~F.col("is_query")).alias("n"), F.count_if("is_query").alias("m")).filter("n > 0 and m > 0")
+        load = load.select("t", "b", F.ceil(F.col("n") / BLOCK_VECTORS).cast("int").alias("nb"), F.ceil(F.col("m") / BLOCK_QUERIES).cast("int").alias("qb"))
+        dealt = at.join(load, ["t", "b"])
+        mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        dealt = dealt.withColumn("nbs", F.when(F.col("is_query"), all_of("nb")).otherwise(F.array(mine("nb")))).withColumn("qbs", F.when(F.col("is_query"), F.array(mine("qb"))).otherwise(all_of("qb")))
+        dealt = dealt.withColumn("nb", F.explode("nbs")).withColumn("qb", F.explode("qbs"))
+        found = durable(_merged(block_join(dealt, ["t", "b", "nb", "qb"], dim, k, kind), k))
+    short = asked if found is None else asked.join(found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n")), "id", "left").filter(F.coalesce("n", F.lit(0)) < min(k, candidates)).select("id")
     short = durable(short)
-    if not short.isEmpty():
+    if found is None or not short.isEmpty():
         blocks = max(1, -(-sizes["n"] // BLOCK_VECTORS))
         pack = F.udf(lambda v: np.array(v, dtype=kind).tobytes(), "binary")
         asks = rows.filter("is_query").join(short, "id", "left_semi").select(F.lit(True).alias("is_query"), "id", pack("v").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("nb"))
-        asks = asks.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(1)).cast("int"))
-        every = rows.select(F.lit(False).alias("is_query"), "id", pack("v").alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("nb"), F.lit(0).alias("qb"))
+        qs = max(1, -(-short.count() // BLOCK_QUERIES))
+        asks = asks.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(qs)).cast("int"))
+        every = rows.select(F.lit(False).alias("is_query"), "id", pack("v").alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("nb"), F.explode(F.sequence(F.lit(0), F.lit(qs - 1))).alias("qb"))
         rest = _merged(block_join(every.unionByName(asks), ["nb", "qb"], dim, k, kind), k)
-        found = found.join(short.withColumnRenamed("id", "query_id"), "query_id", "left_anti").unionByName(rest)
+        found = rest if found is None else found.join(short.withColumnRenamed("id", "query_id"), "query_id", "left_anti").unionByName(rest)
     return found.select("query_id", "rank", "vec_id", "score")
 
 
