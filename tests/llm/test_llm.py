@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from utterframe.llm import common, decontaminate, hmm_lm, language_id, license_scan, line_dedup, nearest, packing, pii, registry, simhash_dedup, url_filter
+from utterframe.llm import common, decontaminate, fuzzy_dedup, hmm_lm, language_id, license_scan, line_dedup, nearest, packing, pii, registry, simhash_dedup, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and to in is that erst onha thwh lyre tion ble ing heer nand onou stea wheed thly".split()
@@ -487,9 +487,62 @@ def test_components_on_chains(spark):
     assert got == {**{i: 0 for i in range(1, 61)}, 201: 200, 300: 299}
 
 
-def test_pipeline_joins_similar_texts(spark):
+def brute_similar(texts: list[str]) -> list[int]:
+    """A number for each text's group: linked by five-word Jaccard of 0.8 or more, over all pairs."""
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in (t.lower().split() for t in texts)]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            root = [root[i] if x == root[j] else x for x in root]
+    return root
+
+
+def test_codewords_are_the_nearest():
+    r = np.random.default_rng(3)
+    every = [m << 11 | simhash_dedup.remainder(m << 11) for m in range(4096)]
+    signs = np.array([[2 * (w >> i & 1) - 1 for i in range(23)] for w in every])
+    rows = r.integers(-9, 10, (50, 23))
+    for row, found in zip(rows, fuzzy_dedup.decoded(rows)):
+        assert sorted((signs @ row)[found]) == sorted(signs @ row)[-2:] and len(set(found.tolist())) == 2
+
+
+def test_keys_hold_every_choice_of_codewords():
+    found = np.array([[[5, 9], [1, 4095], [7, 8], [0, 3]]])
+    want = [t << 24 | a << 12 | b for t, (x, y) in enumerate(((0, 1), (2, 3))) for a in found[0, x].tolist() for b in found[0, y].tolist()]
+    assert fuzzy_dedup.keys(found, 2)[0].tolist() == want
+
+
+def test_pairs_at_the_threshold_meet():
+    """Of pairs of sets at similarity 0.8 hardly one shares no key, at any size of the sets."""
+    r, missed, pairs = np.random.default_rng(5), 0, 0
+    for common in (4, 8, 20, 100):
+        for _ in range(75):
+            a = r.integers(0, 1 << 63, common + common // 4, dtype=np.uint64)
+            cut = int(r.integers(0, common // 4 + 1))
+            both = [np.concatenate([a[:common], x]) for x in (a[common : common + cut], a[common + cut :])]
+            total = np.stack([fuzzy_dedup.sums(x, 128 + 48 * 23) for x in both])
+            assert np.count_nonzero((total[0, :128] > 0) != (total[1, :128] > 0)) <= fuzzy_dedup.RADIUS
+            x, y = fuzzy_dedup.keys(fuzzy_dedup.decoded(total[:, 128:].reshape(-1, 23)).reshape(2, 48, 2), 2)
+            missed, pairs = missed + (not set(x.tolist()) & set(y.tolist())), pairs + 1
+    assert pairs == 300 and missed <= 1
+
+
+def test_similar_pairs_are_exact():
+    r = random.Random(6)
+    for _ in range(20):
+        base = r.sample(range(500), 60)
+        sets = [set(base[: r.randrange(1, 61)]) | set(r.sample(range(5000), r.randrange(0, 12))) for _ in range(25)]
+        got = set(zip(*(x.tolist() for x in fuzzy_dedup.similar_pairs([np.array(sorted(s), np.uint64) for s in sets]))))
+        assert got == {(i, j) for i, j in itertools.combinations(range(25), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+
+
+@pytest.mark.parametrize("hot, block", [(1024, 256), (9, 5)])
+def test_pipeline_joins_similar_texts(spark, monkeypatch, hot, block):
     import corpus_pipeline
 
+    monkeypatch.setattr(fuzzy_dedup, "HOT", hot)
+    monkeypatch.setattr(fuzzy_dedup, "BLOCK_TEXTS", block)
+
     r = random.Random(8)
     texts = ["", "a b", "A  b"]
     for family in range(25):
@@ -497,11 +550,7 @@ def test_pipeline_joins_similar_texts(spark):
         for _ in range(r.choice((1, 3, 12))):
             other = [r.choice(WORDS) + "x" if r.random() < 0.03 else w for w in words]
             texts.append(" ".join(other if r.random() < 0.5 else other[: r.randrange(5, 121)]))
-    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in (t.lower().split() for t in texts)]
-    root = list(range(len(texts)))
-    for i, j in itertools.combinations(range(len(texts)), 2):
-        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
-            root = [root[i] if x == root[j] else x for x in root]
+    root = brute_similar(texts)
     want = {min(i for i, x in enumerate(root) if x == c) for c in root}
     docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in enumerate(texts)], DOCS)
     kept = sorted(x["doc_id"] for x in corpus_pipeline.dedup_near(spark, docs, "").collect())
@@ -681,9 +730,8 @@ def test_pipeline_against_brute_force(spark):
     two = {i: t for (i, o), t in brute_lines(list(one.items())).items() if t or not o}
     assert {r["doc_id"]: r["text"] for r in kept["line_dedup"]} == {i: t for i, t in two.items() if t != ""}
     ids = sorted(i for i, t in two.items() if t != "")
-    fps = [simhash_dedup.fingerprint(two[i]) for i in ids]
-    root = brute_components(fps)
-    assert sorted(r["doc_id"] for r in kept["near_dedup"]) == sorted({ids[x] for x in root})
+    root = brute_similar([two[i] for i in ids])
+    assert sorted(r["doc_id"] for r in kept["near_dedup"]) == sorted({c: i for c, i in reversed(list(zip(root, ids)))}.values())
     items = decontaminate.Items([(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()])
     clean = {r["doc_id"] for r in kept["near_dedup"] if not items.leaks(r["text"])}
     assert {r["doc_id"] for r in kept["decontaminate"]} == clean == {r["doc_id"] for r in kept["pack"]}

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from utterframe.durable import durable
 from utterframe.llm.common import components
 from utterframe.llm.decontaminate import shingle_hashes
-from utterframe.llm.simhash_dedup import _least
+from utterframe.llm.simhash_dedup import least_id
 
 SHINGLE = 5
 #: Numerator and denominator, so that the threshold is exact.
@@ -142,7 +142,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wordless texts have one and the same shingle.
     """
     signed = durable(signatures(docs, id_col, text_col))
-    nodes = durable(signed.groupBy("fp").agg(F.min(_least(signed)).alias("first")))
+    nodes = durable(signed.groupBy("fp").agg(F.min(least_id(signed)).alias("first")))
     linked = tree(docs, signed, text_col)
     rooted = nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component"))

@@ -56,16 +56,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def remainder(word: int) -> int:
+    """Of a 23-bit word divided by the generator: zero for codewords."""
+    for bit in range(22, 10, -1):
+        if word >> bit & 1:
+            word ^= GOLAY << (bit - 11)
+    return word
+
+
 @cache
 def _golay() -> tuple[np.ndarray, np.ndarray]:
     """Syndromes of all 23-bit words by byte (3 x 256), and the error of each syndrome."""
-
-    def rest(word: int) -> int:
-        for bit in range(22, 10, -1):
-            if word >> bit & 1:
-                word ^= GOLAY << (bit - 11)
-        return word
-
+    rest = remainder
     by_byte = np.array([[rest(b << (8 * k)) if b << (8 * k) < 1 << 23 else 0 for b in range(256)] for k in range(3)], np.int32)
     errors = np.zeros(2048, np.int32)
     bits = [1 << i for i in range(23)]
@@ -203,13 +205,18 @@ def stars(own: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(nodes[moved], pa.int64()), pa.array(nodes[label[moved]], pa.int64())], ["u", "v"])
 
 
-def _least(marked: DataFrame) -> Column:
+def least_id(marked: DataFrame) -> Column:
     """The id, so that a minimum passes over nulls: a struct counts as null only by its first field."""
     if not dict(marked.dtypes)["id"].startswith("struct"):
         return F.col("id")
     return F.struct(F.col("id.id").isNull().alias("none"), F.col("id.id").alias("id"), F.col("id.th").alias("th"))
 
 
+def roots(nodes: DataFrame, by: str, tree: DataFrame) -> DataFrame:
+    """``nodes`` and the ``root`` of each one's component, by its column ``by``; itself where ``tree(node, root)`` lacks it."""
+    return nodes.join(tree.withColumnRenamed("node", by), by, "left").withColumn("root", F.coalesce("root", by))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fp, component)`` of every row of ``docs``.
 
@@ -220,9 +227,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows stay repeated; other columns of ``docs`` are ignored; no rows give no rows.
     """
     marked = durable(fingerprints(docs, id_col, text_col))
-    nodes = durable(marked.groupBy("fp").agg(F.min(_least(marked)).alias("first")))
-    tree = components(links(nodes))
-    rooted = nodes.join(tree.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    nodes = durable(marked.groupBy("fp").agg(F.min(least_id(marked)).alias("first")))
+    rooted = roots(nodes, "fp", components(links(nodes)))
     named = rooted.groupBy("root").agg(F.min("first").alias("component"))
     of = rooted.join(named, "root").select("fp", "component")
     return marked.join(of, "fp").select("id", "fp", "component")
