@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utterframe.durable import durable
-from utterframe.llm import decontaminate, jaccard_dedup, language_id, line_dedup, packing, simhash_dedup
+from utterframe.llm import decontaminate, fuzzy_dedup, language_id, line_dedup, packing, simhash_dedup
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays that five-word shingles of similarity 0.8 or more link; op7's contract does not bind here."""
-    return simhash_dedup.keep_one(docs, near=jaccard_dedup.near_duplicates)
+    return simhash_dedup.keep_one(docs, near=fuzzy_dedup.near_duplicates)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
