@@ -27,11 +27,22 @@ FIT_DOCUMENTS = 3000
 UND = "und"
 #: Fit of a document to its nearest profile below which a filter rejects it.
 MIN_SCORE = 0.1
+#: Runs of letters and, as ``re`` has no class of letters, of numerals that are not digits; these are taken out after.
 WORD = re.compile(r"[^\W\d_]+")
 PAD = "\x01"
 CACHE_WORDS, CACHE_GRAMS = 200_000, 100_000
 
 
+def words_of(text: str) -> Counter:
+    """The different runs of letters of the lower-cased text, with their counts."""
+    words = Counter(WORD.findall(text.lower()))
+    for w in [w for w in words if not w.isalpha()]:
+        n = words.pop(w)
+        for part in "".join(c if c.isalpha() else " " for c in w).split():
+            words[part] += n
+    return words
+
+
 class Numbers(dict):
     """A number for each n-gram met, and its code: up to three code points, 21 bits each."""
 
@@ -69,7 +80,7 @@ class Grams:
 
     def counted(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The whole text's different n-grams and their counts."""
-        words = Counter(WORD.findall(text.lower()))
+        words = words_of(text)
         if not words:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(self.words) > CACHE_WORDS or len(self.numbers) > CACHE_GRAMS:
@@ -130,16 +141,24 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
+#: Hashes of ids are cut to so many values.
+HASHES = 1 << 62
+
+
+def share_below(most: int, n: int) -> int:
+    """Of HASHES values, how many take about ``most`` of ``n`` rows: all if there are no more, some however many there are."""
+    return HASHES if n <= most else HASHES * most // n
+
+
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", most: int = FIT_DOCUMENTS) -> Profiles:
     """Profiles from the labelled rows of ``docs``, at most about ``most`` of a language, whole texts."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     per = {r[lang_col]: r["n"] for r in known.groupBy(lang_col).agg(F.count("*").alias("n")).collect()}  # a row per language
-    share = [(lang, min(1.0, most / n)) for lang, n in per.items()]
-    if not share:
+    if not per:
         return Profiles({})
-    keep = F.lit(False)
-    for lang, s in share:
-        keep = keep | ((F.col(lang_col) == lang) & (F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) < int(s * 1_000_000) + (s >= 1)))
+    keep, hashed = F.lit(False), F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(HASHES))
+    for lang, n in per.items():
+        keep = keep | ((F.col(lang_col) == lang) & (hashed < share_below(most, n)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Grams()
@@ -197,6 +216,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = MIN_SCORE) -> DataFrame:
     """The rows of ``docs``, with their columns, whose text has letters and fits some language by ``least`` at least.
 
+    Null texts and texts without letters go; repeated rows stay or go together; columns of any name
+    are passed through; no rows give no rows.
     Where no row is labelled nothing is known of any language, and only texts without letters go.
     """
     profiles = fit(docs.filter(~held_out(id_col)), lang_col, text_col, id_col)
@@ -209,7 +230,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for a in range(0, batch.num_rows, 256):
                 for text in batch.column(at).slice(a, 256).to_pylist():
                     lang, score = model.predict(text, cache)
-                    keep.append(lang != UND and score >= least if model.langs else bool(WORD.search(text or "")))
+                    keep.append(lang != UND and score >= least if model.langs else any(map(str.isalpha, text or "")))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
