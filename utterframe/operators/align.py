@@ -15,8 +15,9 @@ from utterframe.operators.sequence import islands, order
 def lcs_missing(expected: list[str], actual: list[str]) -> list[int]:
     """Places of ``expected`` outside a longest common subsequence; of equal ways back, a word of ``actual`` is dropped first.
 
-    Common ends are stripped first, so the table covers only what lies between; its rows are computed
-    as vectors, and the way back needs a byte per cell.
+    Common ends are stripped first, so the table covers only what lies between.  Its rows are computed
+    as vectors; every so many of them are kept, and the way back computes those between again, so that
+    memory grows with the square root of the table and not with the table.
     """
     a, b = 0, 0
     while a < min(len(expected), len(actual)) and expected[a] == actual[a]:
@@ -29,21 +30,28 @@ def lcs_missing(expected: list[str], actual: list[str]) -> list[int]:
     number: dict[str, int] = {}
     xs = np.array([number.setdefault(w, len(number)) for w in x])
     ys = np.array([number.setdefault(w, len(number)) for w in y])
-    up = np.zeros((len(x) + 1, len(y)), bool)  # length[i][j+1] > length[i][j]: a row in differences
-    row = np.zeros(len(y) + 1, np.int32)
-    for i, w in enumerate(xs):
+
+    def below(row: np.ndarray, w: int) -> np.ndarray:
         new = row.copy()
         np.maximum(row[1:], np.where(ys == w, row[:-1] + 1, 0), out=new[1:])
-        np.maximum.accumulate(new, out=new)
-        row = new
-        up[i + 1] = row[1:] > row[:-1]
-    total = np.concatenate([np.zeros((len(x) + 1, 1), np.int32), np.cumsum(up, axis=1, dtype=np.int32)], axis=1) if len(x) * len(y) <= 4_000_000 else None
-    length = (lambda i, j: total[i, j]) if total is not None else (lambda i, j: int(np.count_nonzero(up[i, :j])))
-    out, i, j = [], len(x), len(y)
+        return np.maximum.accumulate(new, out=new)
+
+    step = max(1, int(len(x) ** 0.5))
+    kept = [row := np.zeros(len(y) + 1, np.int32)]
+    for i, w in enumerate(xs, 1):
+        row = below(row, w)
+        if i % step == 0:
+            kept.append(row)
+    out, i, j, part, base = [], len(x), len(y), [], len(x) + 1
     while i and j:
+        if i <= base:  # the rows from the last kept one up to this
+            base = (i - 1) // step * step
+            part = [kept[base // step]]
+            for w in xs[base:i]:
+                part.append(below(part[-1], w))
         if xs[i - 1] == ys[j - 1]:
             i, j = i - 1, j - 1
-        elif length(i - 1, j) > length(i, j - 1):
+        elif part[i - 1 - base][j] > part[i - base][j - 1]:
             i -= 1
             out.append(a + i)
         else:
@@ -75,14 +83,18 @@ def missing_runs(missing: DataFrame, gap_ms: int = 1000, least: int = 3) -> Data
     return runs.groupBy("rec_id", "run").agg(F.min("word_idx").alias("w_from"), F.max("word_idx").alias("w_to"), F.count("*").alias("n_words"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).filter(F.col("n_words") >= least).drop("run")
 
 
-def align_sentences(before: DataFrame, after: DataFrame, alike: float = 0.7) -> DataFrame:
-    """Which sentences of ``before(rec_id, sent_idx, text)`` were kept, by matching blocks; inside replaced blocks a ratio above ``alike`` rescues one."""
+def align_sentences(before: DataFrame, after: DataFrame, alike: float = 0.7, autojunk: bool = True) -> DataFrame:
+    """Which sentences of ``before(rec_id, sent_idx, text)`` were kept, by matching blocks; inside replaced blocks a ratio above ``alike`` rescues one.
+
+    With ``autojunk``, difflib's own default, a sentence that makes up over a hundredth of 200 or more
+    sentences starts no match.  One recording is aligned in one task.
+    """
 
     def run(key: tuple, b: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         b, a = b.sort_values("sent_idx"), a.sort_values("__sent_idx")
         xs, ys = b["text"].tolist(), a["__text"].tolist()
         state = ["deleted"] * len(xs)
-        for op, i0, i1, j0, j1 in SequenceMatcher(None, xs, ys).get_opcodes():
+        for op, i0, i1, j0, j1 in SequenceMatcher(None, xs, ys, autojunk).get_opcodes():
             if op == "equal":
                 state[i0:i1] = ["kept"] * (i1 - i0)
             elif op == "replace":

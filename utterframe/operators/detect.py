@@ -93,9 +93,9 @@ def consecutive_filler(words: DataFrame, p: Params = PARAMS) -> DataFrame:
     return edit(runs.select(*SENT, F.col("from.word_idx").alias("w_from"), "w_to", F.col("from.start_ms").alias("start_ms"), "end_ms"), "consecutive_filler", False, 0.95)
 
 
-def filler_run(words: DataFrame, p: Params = PARAMS, least: int = 2) -> DataFrame:
-    """A sentence's leading run of fillers, ``least`` or more."""
-    lists = [*p.fillers, *p.ambiguous, *p.mid_fillers]
+def filler_run(words: DataFrame, p: Params = PARAMS, least: int = 3) -> DataFrame:
+    """A sentence's leading run of fillers and confirmations, ``least`` or more."""
+    lists = [*p.fillers, *p.ambiguous, *p.mid_fillers, *p.confirmations]
     lead = F.min(F.col("tok").isin(*lists).cast("int")).over(order("word_idx", keys=SENT).rowsBetween(Window.unboundedPreceding, 0))
     runs = words.withColumn("lead", lead).filter("lead = 1").groupBy(*SENT).agg(F.min("word_idx").alias("w_from"), F.max("word_idx").alias("w_to"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("c"))
     return edit(runs.filter(F.col("c") >= least), "filler_run", False, 0.95)
@@ -109,7 +109,7 @@ def repeated_adjacent(sents: DataFrame, prefix: int = 5) -> DataFrame:
     return s.select("rec_id", "sent_idx", "next_idx", F.when(F.length("text") <= F.length("next_text"), F.col("sent_idx")).otherwise(F.col("next_idx")).alias("delete_idx"))
 
 
-def repeated_across(sents: DataFrame, prefix: int = 5, middle: int = 12) -> DataFrame:
+def repeated_across(sents: DataFrame, prefix: int = 5, middle: int = 5) -> DataFrame:
     """A sentence that begins again after a short one between; both go."""
     w = order("sent_idx")
     s = sents.withColumn("mid", F.lead("text", 1).over(w)).withColumn("again", F.lead("text", 2).over(w))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from utterframe.functions.formats import ramp
+
 
 def best_matches(gold: DataFrame, predicted: DataFrame, keys: Sequence[str] = ("rec_id", "sent_idx")) -> DataFrame:
     """Per gold edit ``(.., g_id, g_from, g_to)`` the best prediction ``(.., p_id, p_from, p_to)`` of its sentence: exact, else overlapping, else none.
@@ -63,18 +65,26 @@ def aggressiveness(cut: DataFrame, lengths: DataFrame) -> DataFrame:
 
 
 def adjustments(feedback: DataFrame, by: str, id_col: str, least: int = 2) -> DataFrame:
-    """Feedback by type with confidence min(.5 + .1 n, .95), in basis points, and three examples."""
+    """Feedback by type with confidence min(.5 + .1 n, .95), in basis points, and three examples.
+
+    Only the first three of a type and task are sorted; the counts are summed where the rows lie.
+    """
     k = F.row_number().over(Window.partitionBy(by).orderBy(id_col))
-    ranked = feedback.select(by, id_col).withColumn("k", k)
-    return ranked.groupBy(by).agg(
-        F.count("*").alias("n"),
-        F.least(5000 + 1000 * F.count("*"), F.lit(9500)).cast("bigint").alias("confidence_bp"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("k") <= 3, F.col(id_col)))).cast("array<string>"), ",").alias("examples"),
-    ).filter(F.col("n") >= least)
+    first = feedback.select(by, id_col).withColumn("k", k).filter("k <= 3").groupBy(by).agg(F.array_join(F.array_sort(F.collect_list(id_col)).cast("array<string>"), ",").alias("examples"))
+    n = feedback.groupBy(by).agg(F.count("*").alias("n"), ramp(F.count("*")).cast("bigint").alias("confidence_bp")).filter(F.col("n") >= least)
+    return n.join(first, by)
+
 
+def most_confident(adjusted: DataFrame, by: str) -> DataFrame:
+    """Adjustments numbered by falling confidence, then count; there is one for each type, so they fit one task."""
+    k = F.row_number().over(Window.orderBy(F.desc("confidence_bp"), F.desc("n"), by))
+    return adjusted.withColumn("place", k.cast("bigint"))
 
-def ladder(feedback: DataFrame, up: Column, down: Column, start: int = 1, top: int = 2, chunk: int = 10_000) -> DataFrame:
-    """Per key a level that rises and falls with feedback in order, held between 0 and ``top``.
+
+def ladder(feedback: DataFrame, up: Column, down: Column, start: int = 1, top: int = 2, chunk: int = 10_000, bottom: int = 0) -> DataFrame:
+    """Per key a level that rises and falls with feedback in order, held between ``bottom`` and ``top``.
+
+    The threshold of silences is the same in steps of half a second: from 6 steps, between 3 and 12.
 
     Clamped steps compose: any run of them is x -> min(max(x + add, lo), hi).  So a key's feedback is
     folded in chunks of bounded size, and then the chunks: no key is gathered in one array.
@@ -82,9 +92,9 @@ def ladder(feedback: DataFrame, up: Column, down: Column, start: int = 1, top: i
     moves = feedback.select("key", "at", F.when(up, 1).when(down, -1).otherwise(0).alias("move")).filter("move <> 0")
     rank = F.row_number().over(Window.partitionBy("key").orderBy("at"))
     moves = moves.withColumn("k", rank).withColumn("chunk", F.expr(f"(k - 1) div {chunk}"))
-    hold = lambda x: F.least(F.greatest(x, F.lit(0)), F.lit(top))
+    hold = lambda x: F.least(F.greatest(x, F.lit(bottom)), F.lit(top))
     step = lambda f, x: F.struct((f["add"] + x["move"]).alias("add"), hold(f["lo"] + x["move"]).alias("lo"), hold(f["hi"] + x["move"]).alias("hi"))
-    same = F.struct(F.lit(0).alias("add"), F.lit(0).alias("lo"), F.lit(top).alias("hi"))
+    same = F.struct(F.lit(0).alias("add"), F.lit(bottom).alias("lo"), F.lit(top).alias("hi"))
     parts = moves.groupBy("key", "chunk").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("k", "move"))), same, step).alias("f"), F.count("*").alias("n"))
     run = F.aggregate(F.array_sort(F.collect_list(F.struct("chunk", "f"))), F.lit(start), lambda x, c: F.least(F.greatest(x + c["f"]["add"], c["f"]["lo"]), c["f"]["hi"]))
     return parts.groupBy("key").agg(run.cast("bigint").alias("level"), F.sum("n").alias("n_moves"))
@@ -117,12 +127,41 @@ def most_severe(issues: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def fuse(layers: Sequence[DataFrame], bucket_ms: int = 100) -> DataFrame:
-    """Issues ``(key, time_ms, layer, severity, issue_id)`` of all layers; of later layers those whose time bucket an earlier one does not have."""
+    """Issues ``(key, time_ms, layer, severity, issue_id)`` of all layers; of later layers those whose time, rounded to the bucket, no earlier layer has.
+
+    ``place`` is the order of a key's list: by severity, then time.
+    """
     out = layers[0]
     for more in layers[1:]:
-        b = lambda df: df.withColumn("bucket", F.expr(f"time_ms div {bucket_ms}"))
+        b = lambda df: df.withColumn("bucket", F.expr(f"(time_ms + {bucket_ms // 2}) div {bucket_ms}"))
         out = out.unionByName(b(more).join(b(out).select("key", "bucket").distinct(), ["key", "bucket"], "left_anti").drop("bucket"))
-    return out
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(rank_of(F.col("severity"))), "time_ms", "layer", "issue_id"))
+    return out.withColumn("place", place.cast("bigint"))
+
+
+def silence_threshold(gaps: DataFrame, least: int = 500, head: int = 10) -> DataFrame:
+    """A10: of the gaps ``(rec_id, gap_ms)`` after deleted sentences, those over ``least``: how many, the smallest in tenths of a second, and the ``head`` smallest."""
+    long = gaps.filter(F.col("gap_ms") > least)
+    k = F.row_number().over(Window.partitionBy("rec_id").orderBy("gap_ms"))
+    first = long.select("rec_id", "gap_ms").withColumn("k", k).filter(F.col("k") <= head).groupBy("rec_id").agg(F.array_join(F.array_sort(F.collect_list("gap_ms")).cast("array<string>"), ",").alias("smallest"))
+    n = long.groupBy("rec_id").agg(F.count("*").alias("n"), F.expr("(min(gap_ms) + 50) div 100").alias("threshold_ds"))
+    return n.join(first, "rec_id")
+
+
+def merge_gold(missed: DataFrame, restored: DataFrame) -> DataFrame:
+    """U4: feedback files as one gold set, keyed by recording and sentence.
+
+    ``missed(file, audio, sentence, speaker, text, type)`` and ``restored(file, audio, sentence,
+    speaker, text)``; an expected edit counts once by text and type, a false positive once by text;
+    the sentence's speaker is that of its first file, missed ones before restored.
+    """
+    at = ["audio", "sentence"]
+    expected = missed.select(*at, "text", "type").dropDuplicates().groupBy(*at).agg(F.count("*").alias("n_expected"))
+    wrong = restored.select(*at, "text").dropDuplicates().groupBy(*at).agg(F.count("*").alias("n_false"))
+    named = missed.select(*at, "file", "speaker", F.lit(0).alias("kind")).unionByName(restored.select(*at, "file", "speaker", F.lit(1).alias("kind")))
+    first = named.groupBy(*at).agg(F.min(F.struct("file", "kind", "speaker")).alias("f")).select(*at, F.col("f.speaker").alias("speaker"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return first.join(expected, at, "left").join(wrong, at, "left").select(*at, "speaker", zero("n_expected"), zero("n_false"))
 
 
 def common_substring(a: str, b: str) -> Column:

@@ -137,6 +137,23 @@ def apply_refined(edits: DataFrame, refined: DataFrame, least: float = 0.5) -> D
     return j.withColumn("start_ms", start).withColumn("end_ms", end).select(*edits.columns)
 
 
+def rough_cut(sents: DataFrame, blocks: DataFrame) -> DataFrame:
+    """A4: per recording of ``sents(rec_id, sent_idx, start_ms, end_ms)`` what the blocks ``(rec_id, block_id, s_from, s_to)`` of deleted sentences come to; the ratio in tenths of a percent."""
+    b = block_times(sents, blocks)
+    cut = b.groupBy("rec_id").agg(F.count("*").alias("n_blocks"), F.sum(F.col("s_to") - F.col("s_from") + 1).alias("n_deleted"), F.sum("dur_ms").alias("deleted_ms"))
+    total = sents.groupBy("rec_id").agg(F.max("end_ms").alias("total_ms"), F.count("*").alias("n_sentences"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    j = total.join(cut, "rec_id", "left").select("rec_id", "total_ms", "n_sentences", zero("n_blocks"), zero("n_deleted"), zero("deleted_ms"))
+    return j.withColumn("ratio_pm", F.expr("(deleted_ms * 2000 + total_ms) div (2 * total_ms)"))
+
+
+def block_times(sents: DataFrame, blocks: DataFrame) -> DataFrame:
+    """A4: start, end and length of each block, from its first and last sentence."""
+    first = sents.select("rec_id", F.col("sent_idx").alias("s_from"), "start_ms")
+    last = sents.select("rec_id", F.col("sent_idx").alias("s_to"), "end_ms")
+    return blocks.join(first, ["rec_id", "s_from"]).join(last, ["rec_id", "s_to"]).withColumn("dur_ms", F.col("end_ms") - F.col("start_ms"))
+
+
 def summary(edits: DataFrame) -> DataFrame:
     """A2 and A3: edits by type, how many need review, and the time they save (a pause saves what is over the limit)."""
     saved = F.sum(F.col("end_ms") - F.col("start_ms") - F.coalesce("keep_ms", F.lit(0))) if "keep_ms" in edits.columns else F.sum(F.col("end_ms") - F.col("start_ms"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from utterframe.operators.intervals import last_before
 from utterframe.operators.sequence import order
 
 #: Issue types that stand in recordings of conversation.
@@ -18,10 +19,14 @@ def conversation_mode(issues: DataFrame, types: Sequence[str] = CONVERSATION_TYP
     return issues.filter(F.col("type").isin(*types))
 
 
-def unnatural_silences(gaps: DataFrame, edits: DataFrame, short: int = 100, long: int = 2000) -> DataFrame:
-    """Pauses too short or too long to be natural, in sentences that were cut."""
-    odd = gaps.filter((F.col("gap_ms") < short) | (F.col("gap_ms") > long))
-    return odd.join(edits.select("rec_id", "sent_idx").distinct(), ["rec_id", "sent_idx"], "left_semi").select("rec_id", "sent_idx", "gap_start", "gap_ms", F.when(F.col("gap_ms") > long, "high").otherwise("medium").alias("severity"))
+def unnatural_silences(pauses: DataFrame, cuts: DataFrame, short: int = 100, long: int = 2000, window: int = 2000) -> DataFrame:
+    """Cuts ``(rec_id, seg_id, at_ms)`` inside a pause ``(rec_id, start_ms, end_ms)`` that is shorter than ``short`` or longer than ``long``.
+
+    The pause has to end, on both sides, less than ``window`` from the cut.
+    """
+    j = last_before(cuts, F.col("at_ms"), pauses, ["seg_id", "at_ms"]).withColumn("silence_ms", F.col("r_end") - F.col("r_start"))
+    holds = (F.col("r_end") >= F.col("at_ms")) & (F.col("r_start") > F.col("at_ms") - window) & (F.col("r_end") < F.col("at_ms") + window)
+    return j.filter(holds & ((F.col("silence_ms") < short) | (F.col("silence_ms") > long))).select("rec_id", "seg_id", "at_ms", "silence_ms", F.lit("medium").alias("severity"))
 
 
 def rollup_states(issues: DataFrame, states: DataFrame) -> DataFrame:
@@ -30,6 +35,18 @@ def rollup_states(issues: DataFrame, states: DataFrame) -> DataFrame:
     return j.groupBy("severity").agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("ok", "flagged", "pending")])
 
 
+def shown(issues: DataFrame, states: DataFrame, severity: str | None = None, layer: str | None = None, unconfirmed: bool = False) -> DataFrame:
+    """The issues ``(issue_id, severity, layer, ..)`` that a filter leaves: of a severity, of a layer or its judge (``layer_ai``), or without a state that is not pending."""
+    rows = issues
+    if severity:
+        rows = rows.filter(F.col("severity") == severity)
+    if layer:
+        rows = rows.filter(F.col("layer").isin(layer, f"{layer}_ai"))
+    if unconfirmed:
+        rows = rows.join(states.filter("status <> 'pending'").select("issue_id"), "issue_id", "left_anti").select(*issues.columns)
+    return rows
+
+
 def route(kind: Column, methods: Sequence[str], preferences: Sequence[str]) -> Column:
     """What an issue changes: the method, the user's preferences, or neither."""
     return F.when(kind.isin(*methods), "methodology").when(kind.isin(*preferences), "preference").otherwise("none")
@@ -42,10 +59,16 @@ def listening_score(evals: DataFrame) -> DataFrame:
 
 
 def spaced_sample(segments: DataFrame, keys: Sequence[str], n: int = 30) -> DataFrame:
-    """At most n evenly spaced rows of each key, by rank (a sampling operator)."""
-    w = Window.partitionBy(*keys).orderBy("rec_id", "seg_id")
+    """At most n evenly spaced rows of each key, by rank (a sampling operator): of c rows those numbered ``floor(k c / n)``."""
+    w = Window.partitionBy(*keys).orderBy("seg_id")
     s = segments.withColumn("i", F.row_number().over(w) - 1).withColumn("c", F.count("*").over(Window.partitionBy(*keys)))
-    return s.filter(F.expr(f"i = 0 or i * {n} div c <> (i - 1) * {n} div c")).drop("i", "c")
+    return s.filter(F.expr(f"c <= {n} or (i + 1) * {n} > c * ((i * {n} + c - 1) div c)")).drop("i", "c")
+
+
+def loudness(sampled: DataFrame, keys: Sequence[str], least_ms: int = 300) -> DataFrame:
+    """Mean level of each key over its sampled segments ``(.., level, dur_ms)`` that are long enough to measure, weighted by their length."""
+    long = sampled.filter(F.col("dur_ms") >= least_ms)
+    return long.groupBy(*keys).agg(F.expr("sum(level * dur_ms) div sum(dur_ms)").cast("bigint").alias("level"), F.count("*").alias("n_segments"))
 
 
 def gains(levels: DataFrame, most: int = 60, least: int = 5) -> DataFrame:
@@ -83,14 +106,23 @@ def contract(judged: DataFrame, sents: DataFrame) -> DataFrame:
 
 
 def top_spaced(issues: DataFrame, k: int = 10, gap: int = 5000) -> DataFrame:
-    """Per key the k issues ``(key, at, metric)`` of largest metric that lie at least ``gap`` from all taken before."""
+    """Per key the k issues ``(key, at, metric)`` of largest metric that lie at least ``gap`` from all taken before.
+
+    A pick bars issues of three stretches of ``gap`` at most, its own and the two beside it.  Before
+    the k-th pick fewer than 4 k stretches can so have lost their largest issue, and every pick lies in
+    one of the 4 k stretches with the largest.  Only their issues are folded, not a key's whole list.
+    """
+    by = [F.desc("metric"), F.col("at")]
+    s = issues.withColumn("stretch", F.floor(F.col("at") / gap))
+    head = s.withColumn("n", F.row_number().over(Window.partitionBy("key", "stretch").orderBy(*by)))
+    first = head.filter("n = 1").withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(*by))).filter(F.col("r") <= 4 * k).select("key", "stretch")
     srt = F.array_sort(F.collect_list(F.struct((-F.col("metric")).alias("m"), F.col("at"))))
 
     def step(acc, x):
         far = F.forall(acc, lambda y: F.abs(y["at"] - x["at"]) >= gap)
         return F.when((F.size(acc) < k) & far, F.concat(acc, F.array(x))).otherwise(acc)
 
-    g = issues.groupBy("key").agg(srt.alias("xs"))
+    g = issues.withColumn("stretch", F.floor(F.col("at") / gap)).join(first, ["key", "stretch"], "left_semi").groupBy("key").agg(srt.alias("xs"))
     return g.select("key", F.explode(F.aggregate("xs", F.expr("slice(xs, 1, 0)"), step)).alias("x")).select("key", F.col("x.at").alias("at_ms"), (-F.col("x.m")).alias("metric"))
 
 

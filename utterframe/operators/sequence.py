@@ -7,8 +7,10 @@ speaker, start_ms, end_ms, sent_idx``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,10 +153,26 @@ def running_gaps(tracks: DataFrame, least: int) -> DataFrame:
 def greedy_spacing(points: DataFrame, gap: int, by: str = "at", keys: Sequence[str] = ("rec_id",)) -> DataFrame:
     """Keep a point if it is more than ``gap`` after the last one kept.
 
-    The state is the last kept point, so no window expresses it; a fold over each key's sorted
-    points does, in one pass.
+    The state is the last kept point, so no window expresses it.  Points pass in order, and a task
+    holds no more than a batch of them.
     """
-    first = F.slice("pts", 1, 1)
-    rest = F.expr("slice(pts, 2, greatest(size(pts) - 1, 0))")
-    kept = F.aggregate(rest, first, lambda acc, x: F.when(x - F.element_at(acc, -1) > gap, F.concat(acc, F.array(x))).otherwise(acc))
-    return points.groupBy(*keys).agg(F.array_sort(F.collect_list(by)).alias("pts")).select(*keys, F.explode(kept).alias(by))
+    schema = points.select(*keys, by).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key = last = None
+        for batch in batches:
+            at = batch.column(len(keys)).to_numpy()
+            names = list(zip(*(c.to_pylist() for c in batch.columns[: len(keys)]), strict=True))
+            starts = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]]
+            kept = []
+            for a, b in zip(starts, [*starts[1:], len(names)], strict=True):
+                i = a
+                if names[a] == last_key:
+                    i = a + int(np.searchsorted(at[a:b], last + gap, side="right"))
+                while i < b:
+                    kept.append(i)
+                    last_key, last = names[a], int(at[i])
+                    i = a + int(np.searchsorted(at[a:b], last + gap, side="right"))
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return points.select(*keys, by).filter(F.col(by).isNotNull()).repartition(*keys).sortWithinPartitions(*keys, by).mapInArrow(run, schema)

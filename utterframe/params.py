@@ -42,6 +42,7 @@ class Params:
     fillers3: tuple[str, ...] = ("andofthe", "andinthe")
     ambiguous: tuple[str, ...] = ("the", "a")
     mid_fillers: tuple[str, ...] = ("is", "it", "er", "on", "de", "la")
+    confirmations: tuple[str, ...] = ("that", "so")
     mid_special: str = "is"
     reduplicated: tuple[str, ...] = ("haha", "byebye")
     high_frequency: tuple[str, ...] = ("the", "of")

@@ -247,7 +247,13 @@ def local_minima(spark, sf_dir):
     return signal.local_minima(_frames(spark, sf_dir))
 
 
-@query(FR + MIN + ", x AS (SELECT f.key, f.pos, mn.pos AS valley, row_number() OVER (PARTITION BY f.key, f.pos ORDER BY abs(f.pos - mn.pos), mn.pos) AS k FROM f JOIN mn ON mn.key = f.key AND abs(f.pos - mn.pos) <= 10) SELECT key, pos, valley FROM x WHERE k = 1")
+@query(
+    FR + """, x AS (SELECT c.key, c.pos AS cut_pos, x.pos, x.v, coalesce(x.v <= lag(x.v) OVER o, true) AND coalesce(x.v <= lead(x.v) OVER o, true) AS low, avg(x.v) OVER (PARTITION BY c.key, c.pos) AS mean
+  FROM f c JOIN f x ON x.key = c.key AND abs(x.pos - c.pos) <= 10 WINDOW o AS (PARTITION BY c.key, c.pos ORDER BY x.pos)),
+d AS (SELECT *, CASE WHEN v <= 0 THEN 60 ELSE 20 * log10(mean / v) END AS db FROM x WHERE low),
+k AS (SELECT *, row_number() OVER (PARTITION BY key, cut_pos ORDER BY db < 3, CASE WHEN db < 3 THEN v ELSE abs(pos - cut_pos) END, pos) AS k FROM d)
+SELECT key, cut_pos AS pos, pos AS valley, round(10000 * CASE WHEN db < 3 THEN db / 3 * 0.4 ELSE least(1, 0.5 + (db - 3) / 9) END)::BIGINT AS confidence_bp FROM k WHERE k = 1"""
+)
 def nearest_valley(spark, sf_dir):
     return signal.nearest_valley(_frames(spark, sf_dir))
 
@@ -257,9 +263,23 @@ def adaptive_threshold(spark, sf_dir):
     return signal.outliers(_frames(spark, sf_dir))
 
 
-@query(FR + ", a AS (SELECT *, count(*) OVER (PARTITION BY key) AS n, row_number() OVER (PARTITION BY key ORDER BY v, pos) AS r FROM f) SELECT key, v AS floor_v, n FROM a WHERE r = n // 2 + 1")
+# loud places as segments of three samples, between the loud places on either side
+LOUD = FR + """, l AS (SELECT key, pos FROM f WHERE v >= 2000), sg AS (SELECT key, pos AS seg_id, pos - 1 AS a, pos + 1 AS b, lag(pos) OVER o AS lo, lead(pos) OVER o AS hi FROM l WINDOW o AS (PARTITION BY key ORDER BY pos)),
+ev AS (SELECT sg.*, f.pos, f.v FROM sg JOIN f ON f.key = sg.key AND f.pos BETWEEN a - 20 AND b + 20),
+fl AS (SELECT key, seg_id, list(v ORDER BY v) FILTER ((pos < a AND pos >= a - 2) OR (pos > b AND pos <= b + 2)) AS quiet, list(v ORDER BY v) AS every FROM ev GROUP BY key, seg_id),
+nf AS (SELECT key, seg_id, CASE WHEN len(quiet) > 0 THEN quiet[len(quiet) // 2 + 1] ELSE every[greatest(1, len(every) // 10) // 2 + 1] END AS floor_v, coalesce(len(quiet), 0) AS n FROM fl)"""
+
+
+def _loud(spark, sf_dir):
+    f = _frames(spark, sf_dir)
+    o = Window.partitionBy("key").orderBy("pos")
+    segs = f.filter("v >= 2000").select("key", F.col("pos").alias("seg_id"), (F.col("pos") - 1).alias("a"), (F.col("pos") + 1).alias("b"), F.lag("pos").over(o).alias("lo"), F.lead("pos").over(o).alias("hi"))
+    return signal.around(f, segs, 20)
+
+
+@query(LOUD + " SELECT * FROM nf")
 def noise_floor(spark, sf_dir):
-    return signal.noise_floor(_frames(spark, sf_dir))
+    return signal.noise_floor(_loud(spark, sf_dir), 2).select("key", "seg_id", "floor_v", "n")
 
 
 EN = FR + """, a AS (SELECT *, sum(v * v) OVER b AS eb, sum(v * v) OVER c AS ea, count(v) OVER b AS nb, count(v) OVER c AS na FROM f WINDOW b AS (PARTITION BY key ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), c AS (PARTITION BY key ORDER BY pos ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
@@ -277,28 +297,36 @@ def breath_truncation(spark, sf_dir):
 
 
 @query(
-    FR + """, u AS (SELECT *, v * count(v) OVER (PARTITION BY key) >= sum(v) OVER (PARTITION BY key) AS up FROM f), x AS (SELECT *, coalesce((lag(up) OVER o <> up)::INT, 0) AS x FROM u""" + V + """),
-z AS (SELECT key, pos, (sum(x) OVER (PARTITION BY key ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))::BIGINT AS before_n, (sum(x) OVER (PARTITION BY key ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING))::BIGINT AS after_n FROM x) SELECT * FROM z WHERE abs(after_n - before_n) >= 3"""
+    FR + """, u AS (SELECT *, v * count(v) OVER (PARTITION BY key) >= sum(v) OVER (PARTITION BY key) AS up, count(*) OVER (PARTITION BY key) AS len FROM f), x AS (SELECT *, coalesce((lag(up) OVER o <> up)::INT, 0) AS x FROM u""" + V + """),
+r AS (SELECT key, pos AS cut_pos, len, unnest(range(-5, 5)) AS i FROM x), c AS (SELECT r.key, cut_pos, i, sum(x) AS c FROM r JOIN x ON x.key = r.key AND x.pos >= cut_pos + i * 4 AND x.pos < cut_pos + i * 4 + 4 WHERE cut_pos + i * 4 >= 0 AND cut_pos + i * 4 + 4 <= r.len GROUP BY ALL),
+z AS (SELECT key, cut_pos, list(c) FILTER (i < 0) AS b, list(c) FILTER (i >= 0) AS a, list(c) AS e FROM c GROUP BY key, cut_pos)
+SELECT key, cut_pos AS pos, list_sum(b)::BIGINT AS before_n, list_sum(a)::BIGINT AS after_n FROM z WHERE len(a) > 0 AND len(b) > 0 AND abs(list_avg(a) - list_avg(b)) / (list_stddev_pop(e) + 1e-10) > 2"""
 )
 def crossing_jump(spark, sf_dir):
     return signal.crossings(_frames(spark, sf_dir))
 
 
-@query("SELECT a.vec_id, CASE WHEN c < 0.5 THEN 'high' ELSE 'medium' END AS severity FROM (SELECT a.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) a WHERE c < 0.7")
+@query(
+    """WITH v AS (SELECT vec_id // 50 AS key, vec_id % 50 AS pos, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT DISTINCT key, unnest(range(5, 50, 5)) AS cut_pos FROM v),
+m AS (SELECT c.key, cut_pos, i, sum(x) FILTER (pos < cut_pos) AS p, sum(x) FILTER (pos >= cut_pos) AS q FROM c JOIN v ON v.key = c.key AND pos >= cut_pos - 4 AND pos < cut_pos + 4 GROUP BY ALL),
+s AS (SELECT key, cut_pos, sum(p * q) / sqrt(sum(p * p) * sum(q * q)) AS c FROM m GROUP BY key, cut_pos)
+SELECT key, cut_pos::BIGINT AS cut_pos, CASE WHEN c < 0.5 THEN 'high' ELSE 'medium' END AS severity FROM s WHERE c < 0.7 AND (SELECT count(DISTINCT pos) FROM v WHERE v.key = s.key AND pos < cut_pos AND pos >= cut_pos - 4) >= 1 AND (SELECT count(DISTINCT pos) FROM v WHERE v.key = s.key AND pos >= cut_pos AND pos < cut_pos + 4) >= 1"""
+)
 def spectral_jump(spark, sf_dir):
-    return signal.spectral_jumps(table(spark, sf_dir, "embeddings"))
+    # fifty vectors as the frames of a recording, cut at every fifth
+    v = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 50").alias("key"), (F.col("vec_id") % 50).alias("pos"), F.col("embedding").alias("v"))
+    cuts = v.select("key").distinct().select("key", F.explode(F.expr("sequence(5L, 45L, 5L)")).alias("cut_pos"))
+    return signal.spectral_jumps(v, cuts)
 
 
 @query(
-    FR + """, q AS (SELECT key, quantile_disc(v, 0.5) AS x FROM f GROUP BY key), s0 AS (SELECT key, pos AS seg_id, pos AS a, pos + 1 AS b FROM f WHERE v >= 2000)
-SELECT s0.key, seg_id, coalesce((SELECT max(pos) FROM f WHERE f.key = s0.key AND f.v <= 500 AND pos <= a AND pos >= greatest(a - 20, 0)), a) AS a, coalesce((SELECT min(pos) FROM f WHERE f.key = s0.key AND f.v <= 500 AND pos >= b AND pos <= b + 20), b) AS b FROM s0"""
+    LOUD + """, s0 AS (SELECT sg.*, 2 * floor_v AS th FROM sg JOIN nf USING (key, seg_id)),
+mv AS (SELECT key, seg_id, a, b, lo, hi, (SELECT max(pos) FROM f WHERE f.key = s0.key AND f.v <= th AND pos < a AND pos >= a - 20) AS na, (SELECT min(pos) FROM f WHERE f.key = s0.key AND f.v <= th AND pos > b AND pos <= b + 20) AS nb FROM s0)
+SELECT key, seg_id, greatest(coalesce(na, a), coalesce(lo, 0)) AS a, CASE WHEN hi IS NULL THEN coalesce(nb, b) ELSE least(coalesce(nb, b), hi) END AS b FROM mv"""
 )
 def boundary_calibration(spark, sf_dir):
-    f = _frames(spark, sf_dir)
-    segs = f.filter("v >= 2000").select("key", F.col("pos").alias("seg_id"), F.col("pos").alias("a"), (F.col("pos") + 1).alias("b"), F.lit(0).alias("lo"), F.lit(1 << 40).alias("hi"))
-    # the samples of a segment by an equi-join on its places, 20 to either side
-    around = segs.withColumn("pos", F.explode(F.sequence(F.greatest(F.col("a") - 20, F.lit(0)), F.col("b") + 20)))
-    return signal.calibrate(around.join(f.select("key", "pos", "v"), ["key", "pos"], "left"), 500, 20)
+    env = _loud(spark, sf_dir)
+    return signal.calibrate(env, signal.noise_floor(env, 2), 20)
 
 
 SEV = "CASE event_type WHEN 'error' THEN 'high' WHEN 'purchase' THEN 'medium' ELSE 'low' END"
@@ -321,8 +349,9 @@ def keep_most_severe(spark, sf_dir):
 
 @query(
     TL + """, a AS (SELECT rec_id AS key, gap_start AS time_ms, 'signal' AS layer, CASE WHEN gap_ms > 2000 THEN 'high' ELSE 'low' END AS severity, next_word AS issue_id FROM g),
-b AS (SELECT rec_id AS key, start_ms AS time_ms, 'semantic' AS layer, 'medium' AS severity, word_idx AS issue_id FROM pw WHERE before = tok)
-SELECT * FROM a UNION ALL SELECT * FROM b WHERE (key, time_ms // 100) NOT IN (SELECT (key, time_ms // 100) FROM a)"""
+b AS (SELECT rec_id AS key, start_ms AS time_ms, 'semantic' AS layer, 'medium' AS severity, word_idx AS issue_id FROM pw WHERE before = tok),
+u AS (SELECT * FROM a UNION ALL SELECT * FROM b WHERE (key, (time_ms + 50) // 100) NOT IN (SELECT (key, (time_ms + 50) // 100) FROM a))
+SELECT *, row_number() OVER (PARTITION BY key ORDER BY CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, time_ms, layer, issue_id) AS place FROM u"""
 )
 def issue_fusion(spark, sf_dir):
     w = words(spark, sf_dir)
@@ -420,7 +449,7 @@ def text_match_ladder_all(spark, sf_dir):
 @query(None)
 def lcs_missing_runs(spark, sf_dir):
     w = stored(spark, sf_dir)
-    return align.missing_runs(align.missing_words(w, intervals.kept_words(w, intervals.merge(cuts(w)))), least=2)
+    return align.missing_runs(align.missing_words(w, intervals.kept_words(w, intervals.merge(cuts(w)))))
 
 
 @query(None)

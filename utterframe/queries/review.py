@@ -12,12 +12,15 @@ from utterframe.queries.feedback import FR, NUM, SEV, SPK
 
 
 @query(
-    CUTS + """, x AS (SELECT rec_id, sent_idx, lag(end_ms) OVER (PARTITION BY rec_id ORDER BY word_idx) AS gap_start, start_ms - lag(end_ms) OVER (PARTITION BY rec_id ORDER BY word_idx) AS gap_ms FROM w)
-SELECT *, CASE WHEN gap_ms > 2000 THEN 'high' ELSE 'medium' END AS severity FROM x WHERE (gap_ms < 100 OR gap_ms > 2000) AND (rec_id, sent_idx) IN (SELECT (rec_id, sent_idx) FROM cut)"""
+    MERGED + """, x AS (SELECT rec_id, lag(end_ms) OVER (PARTITION BY rec_id ORDER BY word_idx) AS a, start_ms AS b FROM w), p AS (SELECT * FROM x WHERE b > a),
+j AS (SELECT m.rec_id, seg_id, m.start_ms AS at_ms, max(a) AS a FROM m JOIN p ON p.rec_id = m.rec_id AND p.a <= m.start_ms GROUP BY ALL)
+SELECT j.rec_id, seg_id, at_ms, b - p.a AS silence_ms, 'medium' AS severity FROM j JOIN p ON p.rec_id = j.rec_id AND p.a = j.a WHERE b >= at_ms AND p.a > at_ms - 2000 AND b < at_ms + 2000 AND (b - p.a < 100 OR b - p.a > 2000)"""
 )
 def unnatural_silence(spark, sf_dir):
+    # the recording is cut where a segment begins
     w = stored(spark, sf_dir)
-    return review.unnatural_silences(review.pauses_between(w), cuts(w))
+    pauses = review.pauses_between(w).filter("gap_ms > 0").select("rec_id", F.col("gap_start").alias("start_ms"), (F.col("gap_start") + F.col("gap_ms")).alias("end_ms"))
+    return review.unnatural_silences(pauses, segments(w).select("rec_id", "seg_id", F.col("start_ms").alias("at_ms")))
 
 
 @query(f"SELECT {SEV} AS severity, count(*) AS total, count(*) FILTER (event_type <> 'view' AND value >= 10) AS ok, count(*) FILTER (event_type <> 'view' AND value < 10) AS flagged, count(*) FILTER (event_type = 'view' OR value IS NULL) AS pending FROM events GROUP BY 1")
@@ -41,11 +44,12 @@ def listening_score(spark, sf_dir):
 
 
 @query(
-    TL + SPK + """, a AS (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY rec_id, seg_id) - 1 AS i, count(*) OVER (PARTITION BY speaker) AS c FROM p)
-SELECT rec_id, seg_id, speaker, end_ms - start_ms AS dur_ms FROM a WHERE i = 0 OR i * 30 // c <> (i - 1) * 30 // c"""
+    TL + SPK + """, a AS (SELECT *, row_number() OVER (PARTITION BY rec_id, speaker ORDER BY seg_id) - 1 AS i, count(*) OVER (PARTITION BY rec_id, speaker) AS c FROM p),
+k AS (SELECT rec_id, speaker, c, unnest(range(0, least(c, 30))) AS j FROM (SELECT DISTINCT rec_id, speaker, c FROM a))
+SELECT a.rec_id, seg_id, a.speaker, end_ms - start_ms AS dur_ms FROM a JOIN k ON k.rec_id = a.rec_id AND k.speaker = a.speaker AND a.i = k.j * k.c // least(k.c, 30)"""
 )
 def loudness_sample(spark, sf_dir):
-    return review.spaced_sample(sequence.speaker_segments(words(spark, sf_dir)), ["speaker"]).select("rec_id", "seg_id", "speaker", (F.col("end_ms") - F.col("start_ms")).alias("dur_ms"))
+    return review.spaced_sample(sequence.speaker_segments(words(spark, sf_dir)), ["rec_id", "speaker"]).select("rec_id", "seg_id", "speaker", (F.col("end_ms") - F.col("start_ms")).alias("dur_ms"))
 
 
 @query("WITH l AS (SELECT user_id AS key, event_type AS speaker, (sum(round(value * 100)::BIGINT) // count(*) // 10)::BIGINT AS level FROM events GROUP BY ALL), g AS (SELECT *, least(max(level) OVER (PARTITION BY key) - level, 60) AS up FROM l) SELECT key, speaker, CASE WHEN up < 5 THEN 0 ELSE up END::BIGINT AS gain FROM g")
@@ -80,14 +84,14 @@ def onboarding_check(spark, sf_dir):
 
 
 @query(
-    TL + """, j AS (SELECT DISTINCT rec_id, sent_idx + i % 2 AS sent_idx, tok || ' ' || after AS span FROM pw WHERE after IS NOT NULL AND length(tok) >= 5)
+    TL + """, j AS (SELECT DISTINCT rec_id, sent_idx + i % 2 AS sent_idx, tok || ' ' || after AS span FROM pw WHERE after IS NOT NULL)
 SELECT j.rec_id, j.sent_idx, span, coalesce(contains(text, span), false) AS valid, CASE WHEN contains(text, span) THEN left(text, instr(text, span) - 1) || substr(text, instr(text, span) + length(span)) END AS after_text FROM j LEFT JOIN s ON s.rec_id = j.rec_id AND s.sent_idx = j.sent_idx"""
 )
 def edit_contract(spark, sf_dir):
     from utterframe.operators import detect
 
     w = stored(spark, sf_dir)
-    t = detect.placed(w).withColumn("after", F.lead("tok").over(sequence.order("word_idx", keys=detect.SENT))).filter("after is not null and length(tok) >= 5")
+    t = detect.placed(w).withColumn("after", F.lead("tok").over(sequence.order("word_idx", keys=detect.SENT))).filter("after is not null")
     spans = t.select("rec_id", (F.col("sent_idx") + F.col("i") % 2).alias("sent_idx"), F.concat_ws(" ", "tok", "after").alias("span")).distinct()
     return review.contract(spans, sequence.sentences(w))
 
@@ -121,13 +125,13 @@ def clock_format(spark, sf_dir):
     return sequence.sentences(words(spark, sf_dir)).select("rec_id", "sent_idx", formats.clock(F.col("start_ms")).alias("clock"))
 
 
-@query(f"SELECT user_id AS key, event_id AS issue_id, {SEV} AS severity FROM events WHERE event_type IN ('error', 'purchase') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'error' THEN 3 ELSE 2 END DESC, ts, event_id) <= 5")
+@query(f"SELECT user_id AS key, event_id AS issue_id, {SEV} AS severity FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 ELSE 1 END DESC, ts, event_id) <= 5")
 def severity_then_time(spark, sf_dir):
     # O2: the head of each user's list, by severity, then time
     from pyspark.sql import Window
 
-    e = table(spark, sf_dir, "events").filter(F.col("event_type").isin("error", "purchase"))
-    severity = F.when(F.col("event_type") == "error", "high").otherwise("medium")
+    e = table(spark, sf_dir, "events")
+    severity = F.when(F.col("event_type") == "error", "high").when(F.col("event_type") == "purchase", "medium").otherwise("low")
     k = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc(evaluate.rank_of(severity)), "ts", "event_id"))
     return e.withColumn("k", k).filter("k <= 5").select(F.col("user_id").alias("key"), F.col("event_id").alias("issue_id"), severity.alias("severity"))
 

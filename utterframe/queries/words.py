@@ -195,8 +195,8 @@ def consecutive_filler(spark, sf_dir):
 
 
 @query(
-    TL + f""", x AS (SELECT *, min((tok IN ({quoted([*P.fillers, *P.ambiguous, *P.mid_fillers])}))::INT) OVER (PARTITION BY rec_id, sent_idx ORDER BY word_idx) AS ld FROM w)
-SELECT rec_id, sent_idx, 'filler_run' AS type, min(word_idx) AS w_from, max(word_idx) AS w_to, min(start_ms) AS start_ms, max(end_ms) AS end_ms, false AS needs_review, 0.95::DOUBLE AS confidence FROM x WHERE ld = 1 GROUP BY rec_id, sent_idx HAVING count(*) >= 2"""
+    TL + f""", x AS (SELECT *, min((tok IN ({quoted([*P.fillers, *P.ambiguous, *P.mid_fillers, *P.confirmations])}))::INT) OVER (PARTITION BY rec_id, sent_idx ORDER BY word_idx) AS ld FROM w)
+SELECT rec_id, sent_idx, 'filler_run' AS type, min(word_idx) AS w_from, max(word_idx) AS w_to, min(start_ms) AS start_ms, max(end_ms) AS end_ms, false AS needs_review, 0.95::DOUBLE AS confidence FROM x WHERE ld = 1 GROUP BY rec_id, sent_idx HAVING count(*) >= 3"""
 )
 def filler_run(spark, sf_dir):
     return detect.filler_run(words(spark, sf_dir))
@@ -210,7 +210,7 @@ def repeated_sentence_adjacent(spark, sf_dir):
     return detect.repeated_adjacent(sequence.sentences(words(spark, sf_dir)))
 
 
-@query(TL + REP + " SELECT rec_id, sent_idx, sent_idx + 1 AS mid_idx, sent_idx + 2 AS again_idx FROM n1 WHERE length(text) >= 5 AND left(text, 5) = left(t2, 5) AND length(t1) <= 12")
+@query(TL + REP + " SELECT rec_id, sent_idx, sent_idx + 1 AS mid_idx, sent_idx + 2 AS again_idx FROM n1 WHERE length(text) >= 5 AND left(text, 5) = left(t2, 5) AND length(t1) <= 5")
 def repeated_sentence_across(spark, sf_dir):
     return detect.repeated_across(sequence.sentences(words(spark, sf_dir)))
 
@@ -319,7 +319,7 @@ def spacing_thin(spark, sf_dir):
     return sequence.greedy_spacing(sequence.gaps(words(spark, sf_dir)).select("rec_id", F.col("gap_start").alias("at_ms")), 5000, "at_ms")
 
 
-SPAN = TL + """, sp AS (SELECT DISTINCT rec_id, sent_idx + (i % 2) AS sent_idx, tok || after AS span FROM pw WHERE after IS NOT NULL AND length(tok) >= 4),
+SPAN = TL + """, sp AS (SELECT DISTINCT rec_id, sent_idx + (i % 2) AS sent_idx, tok || after AS span FROM pw WHERE after IS NOT NULL),
 ch AS (SELECT *, sum(length(tok)) OVER (PARTITION BY rec_id, sent_idx ORDER BY word_idx) AS c1 FROM w),
 tx AS (SELECT rec_id, sent_idx, string_agg(tok, '' ORDER BY word_idx) AS text FROM w GROUP BY rec_id, sent_idx),
 hit AS (SELECT sp.rec_id, sp.sent_idx, span, tx.sent_idx AS in_sent, instr(text, span) - 1 AS p0 FROM sp JOIN tx ON tx.rec_id = sp.rec_id AND tx.sent_idx IN (sp.sent_idx, sp.sent_idx - 1) WHERE contains(text, span)),
@@ -333,7 +333,7 @@ SELECT rec_id, sent_idx, span, in_sent, min(word_idx) AS w_from, max(word_idx) A
 def text_span_map(spark, sf_dir):
     # two neighbouring words as the text that a judge would quote, by turns under the sentence itself and the one after
     w = words(spark, sf_dir)
-    t = detect.placed(w).withColumn("after", F.lead("tok").over(sequence.order("word_idx", keys=detect.SENT))).filter("after is not null and length(tok) >= 4")
+    t = detect.placed(w).withColumn("after", F.lead("tok").over(sequence.order("word_idx", keys=detect.SENT))).filter("after is not null")
     spans = t.select("rec_id", (F.col("sent_idx") + F.col("i") % 2).alias("sent_idx"), F.concat("tok", "after").alias("span")).distinct()
     return resolve.map_spans(spans, w)
 
