@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from utterframe.queries import REGISTRY
-from utterframe.queries import feedback, review, words  # noqa: F401  they register their queries
+from utterframe.queries import exchange, feedback, learning, review, words  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

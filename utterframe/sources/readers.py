@@ -14,14 +14,14 @@ def ms(seconds: Column) -> Column:
     return F.round(seconds * 1000).cast("bigint")
 
 
-def read_words(spark: SparkSession, path: str) -> DataFrame:
+def read_words(spark: SparkSession, path: str, file: str = "file_name") -> DataFrame:
     """Words from files that hold a bare array, ``{words}`` or ``{subtitles: [{words}]}``, under any of their field names.
 
-    One row per item in file order: ``rec_id`` (the file), ``item_pos``, ``word_idx`` (null for gaps and
+    One row per item in file order: ``rec_id`` (the file's name, or with ``file_path`` its path, where folders repeat names), ``item_pos``, ``word_idx`` (null for gaps and
     labels), ``kind``, ``text``, ``start_ms``, ``end_ms``, ``speaker``.
     """
     words = f"array<struct<{', '.join(f'`{a}`: {b}' for a, b in (x.split(' ', 1) for x in WORD.split(', ')))}>>"
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("rec_id"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.col(f"_metadata.{file}").alias("rec_id"), "value")
     bare = F.from_json("value", words)
     doc = F.from_json("value", f"words {words}, subtitles array<struct<words: {words}>>")
     is_array = F.trim("value").startswith("[")
@@ -85,9 +85,28 @@ def read_feedback(spark: SparkSession, path: str, glob: str = "feedback_*.json")
     return spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("body"))
 
 
+MOST_RULES = 10_000
+
+
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """``(rule, key, value)`` from a folder of YAML files, a rule each: its scalars, with those one level down under ``parent.key``.
+
+    Comments, lists and deeper levels are left out; quotes around a value are taken off.
+    """
+    lines = spark.read.option("pathGlobFilter", "*.{yaml,yml}").text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.ya?ml$", "").alias("rule"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
+    found = lines.withColumn("m", F.regexp_extract("line", r"^( *)[A-Za-z_][\w-]*:", 1)).withColumn("key", F.regexp_extract("line", r"^ *([A-Za-z_][\w-]*):", 1)).filter("key <> '' and length(m) in (0, 2)")
+    found = found.withColumn("value", F.regexp_extract("line", r"^ *[A-Za-z_][\w-]*: *(.*?) *(?: #.*)?$", 1))
+    parent = F.last(F.when(F.length("m") == 0, F.col("key")), ignorenulls=True).over(Window.partitionBy("rule").orderBy("n"))
+    named = found.withColumn("key", F.when(F.length("m") == 0, F.col("key")).otherwise(F.concat_ws(".", parent, "key")))
+    return named.filter("value <> ''").select("rule", "key", F.regexp_replace("value", "^(['\"])(.*)\\1$", "$2").alias("value"))
+
+
 def merge_rules(base: DataFrame, user: DataFrame) -> DataFrame:
-    """Rules ``(rule, key, value)`` of a base, overridden by a user's.  The base is a configuration of a few rows and becomes a literal."""
-    rules = [F.struct(F.lit(r["rule"]).alias("rule"), F.lit(r["key"]).alias("key"), F.lit(r["value"]).alias("b")) for r in base.select("rule", "key", "value").collect()]
+    """Rules ``(rule, key, value)`` of a base, overridden by a user's.  The base is a configuration and becomes a literal; one of more than MOST_RULES rows is refused."""
+    found = base.select("rule", "key", "value").limit(MOST_RULES + 1).collect()
+    if len(found) > MOST_RULES:
+        raise ValueError(f"a base of more than {MOST_RULES} rules")
+    rules = [F.struct(F.lit(r["rule"]).alias("rule"), F.lit(r["key"]).alias("key"), F.lit(r["value"]).alias("b")) for r in found]
     each = user.select("user_id").distinct().select("user_id", F.explode(F.array(*rules)).alias("r")).select("user_id", "r.*")
     own = user.select("user_id", "rule", "key", F.col("value").alias("u"))
     return each.join(own, ["user_id", "rule", "key"], "left").select("user_id", "rule", "key", F.coalesce("u", "b").alias("value"))
