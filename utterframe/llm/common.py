@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,11 +23,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCH_ROWS = 1000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Smaller Arrow batches for the session, unless it asks for fewer rows itself."""
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Smaller Arrow batches for what runs inside, unless the session asks for fewer rows itself."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[list[list]]:

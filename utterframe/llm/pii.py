@@ -5,8 +5,9 @@ without a plus sign, spelled-out addresses, shorter cards).  Labelers vote on ea
 pattern, a gazetteer (top-level domains, issuers, area codes, address ranges), cue words in the
 context, the boundaries, and personal data close by.  Expectation-maximisation estimates how
 reliable each labeler is from the counts of vote patterns, which are few however many spans there
-are; the posteriors train a final logistic classifier on votes and shape, which admits or rejects
-the looser spans.  Base spans always stay.
+are.  The posteriors are the soft labels of a final logistic classifier of each kind of span.  It does
+not see the votes: its features are the shape of the span's characters, the characters beside it, and
+the words before and after.  It admits or rejects the looser spans; base spans always stay.
 """
 
 from __future__ import annotations
@@ -16,9 +17,12 @@ from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import accumulate
+from math import log
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +65,10 @@ LOOSE_PHONE = re.compile(r"(?<![0-9+])(?:(?:00|\+)[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\
 
 Span = tuple[str, int, int]
 
+WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
+#: Values of the classifier's features: hashed shape, characters on both sides, hashed word before (0: none), and after.
+SIZES = (256, 16, 64, 32)
+
 
 def luhn(digits: str) -> bool:
     odd = sum(map(int, digits[-1::-2]))
@@ -151,7 +159,7 @@ def votes(text: str, span: Span, strict: bool | None, others: np.ndarray) -> str
         n = d.removeprefix("00") if body[0] != "+" else d
         area = n[-10:-7]
         v.append(FOR if len(n) >= 10 and area[:1] >= "2" else ABSTAIN if strict else AGAINST)
-    before = re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*", text[max(0, a - CONTEXT) : a].lower())[-5:]
+    before = WORD.findall(text[max(0, a - CONTEXT) : a].lower())[-5:]
     v.append(FOR if CUES[kind].intersection(before) else AGAINST if ANTI_CUES.intersection(before) else ABSTAIN)
     left, right = text[a - 1 : a], text[b : b + 1]
     v.append(FOR if not (left.isalnum() or left in ("_", "#", "/", "=")) and not (right.isalnum() or right in ("_", "/")) else AGAINST)
@@ -161,19 +169,28 @@ def votes(text: str, span: Span, strict: bool | None, others: np.ndarray) -> str
     return "".join(map(str, v))
 
 
-def shape(text: str, span: Span) -> str:
-    """Bucketed digits and separators of a span."""
-    body = text[span[1] : span[2]]
-    d = len(digits_of(body))
-    return f"{min(d, 20)}{'s' if ' ' in body else ''}{'h' if '-' in body else ''}"
+def shape(body: str) -> str:
+    """The characters of a span by class: ``9`` digits, ``a`` letters, others as they are; runs of letters shortened, runs of digits up to four kept."""
+    classes = "".join("9" if c.isdigit() else "a" if c.isalpha() else c for c in body[:200])
+    return re.sub("9{5,}", "99999", re.sub("a+", "a", classes))
+
+
+def features(text: str, span: Span) -> tuple[int, ...]:
+    """What the classifier sees of a span, each feature as one of SIZES values."""
+    _, a, b = span
+    near = lambda c: 0 if not c else 1 if c.isspace() else 2 if c.isalnum() else 3
+    before = WORD.findall(text[max(0, a - CONTEXT) : a].lower())[-1:]
+    after = WORD.findall(text[b : b + CONTEXT].lower())[:1]
+    hashed = lambda w, n: crc32(w.encode()) % (n - 1) + 1
+    return hashed(shape(text[a:b]), SIZES[0] + 1) - 1, near(text[a - 1 : a]) * 4 + near(text[b : b + 1]), hashed(before[0], SIZES[2]) if before else 0, hashed(after[0], SIZES[3]) if after else 0
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, base, candidates)`` of each row: spans ``kind, a, b``, and with candidates their votes, shape and whether they are base."""
+    """``(id, base, candidates)`` of each row: spans ``kind, a, b``, and with candidates their votes, features and whether they are base."""
     id_type = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.struct([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("votes", pa.string()), ("shape", pa.string()), ("base", pa.bool_())])
+        kind = pa.struct([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("votes", pa.string()), ("f", pa.list_(pa.int32())), ("base", pa.bool_())])
         for batch in batches:
             rows = []
             for at in range(0, batch.num_rows, 256):
@@ -182,11 +199,11 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     good, bad = base_spans(text)
                     loose = loose_spans(text, good, bad)
                     others = np.array(sorted(a for _, a, _ in good), dtype=np.int64)
-                    rows.append([{"kind": s[0], "a": s[1], "b": s[2], "votes": votes(text, s, strict, others), "shape": shape(text, s), "base": bool(strict)} for group, strict in ((good, True), (bad, False), (loose, None)) for s in group])
+                    rows.append([{"kind": s[0], "a": s[1], "b": s[2], "votes": votes(text, s, strict, others), "f": features(text, s), "base": bool(strict)} for group, strict in ((good, True), (bad, False), (loose, None)) for s in group])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(kind))], ["id", "spans"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {id_type}, spans array<struct<kind:string,a:bigint,b:bigint,votes:string,shape:string,base:boolean>>"
+        run, f"id {id_type}, spans array<struct<kind:string,a:bigint,b:bigint,votes:string,f:array<int>,base:boolean>>"
     )
 
 
@@ -214,50 +231,32 @@ def reliabilities(patterns: list[tuple[str, int]], rounds: int = EM_ROUNDS) -> t
     return prior, table, {p: float(x) for (p, _), x in zip(patterns, post, strict=True)}
 
 
-class Classifier:
-    """Logistic regression on one-hot votes and shape, trained on soft labels with counts as weights."""
-
-    def __init__(self, rows: list[tuple[str, str, float, float]], steps: int = 60, penalty: float = 0.1):
-        self.names = {f: i for i, f in enumerate(sorted({f for v, s, _, _ in rows for f in self.features(v, s)}))}
-        x = np.stack([self.vector(v, s) for v, s, _, _ in rows])
-        y, n = np.array([r[2] for r in rows]), np.log1p([r[3] for r in rows])
-        w = np.zeros(x.shape[1])
-        for _ in range(steps):  # Newton
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            g = x.T @ (n * (p - y)) + penalty * w
-            h = (x * (n * p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w))
-            w -= np.linalg.solve(h, g)
-        self.weights = w
-
-    @staticmethod
-    def features(v: str, s: str) -> list[str]:
-        return ["1", f"shape {s}", *(f"{k} {x}" for k, x in zip(LABELERS, v, strict=True))]
-
-    def vector(self, v: str, s: str) -> np.ndarray:
-        out = np.zeros(len(self.names))
-        for f in self.features(v, s):
-            if f in self.names:
-                out[self.names[f]] = 1
-        return out
-
-    def probability(self, v: str, s: str) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.vector(v, s) @ self.weights, -30, 30))))
-
-
-def admitted(patterns: list[tuple[str, str, str, int]]) -> dict[str, float]:
-    """From ``(kind, votes, shape, count)``: the probability of each pattern ``kind|votes|shape``."""
-    out = {}
+def classifier(rows: np.ndarray, labels: np.ndarray, counts: np.ndarray, steps: int = 60, penalty: float = 0.1) -> list[np.ndarray]:
+    """Logistic regression on one-hot features (a column each), trained on soft labels: a weight for each value of each feature, the constant last."""
+    offsets = np.concatenate(([0], np.cumsum(SIZES)))
+    x = np.concatenate([rows + offsets[:-1], np.full((len(rows), 1), offsets[-1])], axis=1)
+    used, x = np.unique(x, return_inverse=True)  # values that do not occur keep weight 0
+    x, size, n = x.reshape(len(rows), -1), len(used), np.log1p(counts)
+    w = np.zeros(size)
+    for _ in range(steps):  # Newton
+        p = 1 / (1 + np.exp(-np.clip(w[x].sum(axis=1), -30, 30)))
+        g, h = penalty * w, penalty * np.eye(size)
+        for i in x.T:
+            g = g + np.bincount(i, n * (p - labels), minlength=size)
+            for j in x.T:
+                h += np.bincount(i * size + j, n * p * (1 - p), minlength=size * size).reshape(size, size)
+        w -= np.linalg.solve(h, g)
+    full = np.zeros(offsets[-1] + 1)
+    full[used] = w
+    return [full[a:b] for a, b in zip(offsets, [*offsets[1:], len(full)], strict=True)]
+
+
+def posteriors(patterns: list[tuple[str, str, int]]) -> dict[str, dict[str, float]]:
+    """By kind, from ``(kind, votes, count)``, the posterior of each vote pattern."""
     by = defaultdict(list)
-    for kind, v, s, n in sorted(patterns):
-        by[kind].append((v, s, n))
-    for kind, rows in by.items():
-        sums: dict[str, int] = defaultdict(int)
-        for v, _, n in rows:
-            sums[v] += n
-        _, _, post = reliabilities(sorted(sums.items()))
-        model = Classifier([(v, s, post[v], n) for v, s, n in rows])
-        out |= {f"{kind}|{v}|{s}": model.probability(v, s) for v, s, _ in rows}
-    return out
+    for kind, v, n in sorted(patterns):
+        by[kind].append((v, n))
+    return {kind: reliabilities(rows)[2] for kind, rows in by.items()}
 
 
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", admit: float = ADMIT) -> DataFrame:
@@ -268,13 +267,32 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts have none.  Texts are scanned whole, whatever their length; repeated rows and null ids are
     kept; other columns are left out; no rows give no rows.
     """
-    small_batches(docs.sparkSession)
-    rows = durable(extract(docs, id_col, text_col))
-    counts = rows.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes", "s.shape").agg(F.count("*").alias("n")).collect()  # bounded: kinds x vote patterns x shapes
-    chances = admitted([(r["kind"], r["votes"], r["shape"], r["n"]) for r in counts])
-    fine = sorted(k for k, p in chances.items() if p >= admit and k.split("|")[1][0] == str(ABSTAIN))
+    spark = docs.sparkSession
+    with small_batches(spark):
+        rows = durable(extract(docs, id_col, text_col))
+    every = rows.select(F.explode("spans").alias("s")).select("s.*")
+    patterns = every.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()  # bounded: kinds x vote patterns
+    post = posteriors([(r["kind"], r["votes"], r["n"]) for r in patterns])
+    soft = spark.createDataFrame([(k, v, float(p)) for k, ps in post.items() for v, p in ps.items()], "kind string, votes string, p double")
+    # bounded: kinds x values of the features
+    sums = every.join(F.broadcast(soft), ["kind", "votes"]).groupBy("kind", "f").agg(F.sum("p").alias("p"), F.count("*").alias("n")).orderBy("kind", "f").toArrow()
+    models = {}
+    for kind in KINDS:
+        t = sums.filter(pc.equal(sums["kind"], kind))
+        if len(t):
+            n = t["n"].to_numpy().astype(float)
+            models[kind] = classifier(np.array(t["f"].to_pylist(), np.int64), np.clip(t["p"].to_numpy() / n, 0, 1), n)
+
+    def logit(s: Column) -> Column:
+        out = F.lit(-np.inf)
+        for kind, (*weights, constant) in models.items():
+            of = sum((F.get(F.lit(w), s["f"][i]) for i, w in enumerate(weights)), F.lit(float(constant[0])))
+            out = F.when(s["kind"] == kind, of).otherwise(out)
+        return out
+
+    least = log(admit / (1 - admit))
     rank = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
-    ok = lambda s: s["base"] | F.concat_ws("|", s["kind"], s["votes"], s["shape"]).isin(fine) if fine else s["base"]
+    ok = lambda s: s["base"] | ((F.substring(s["votes"], 1, 1) == str(ABSTAIN)) & (logit(s) >= least))
     sort = lambda spans: F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(rank(s).alias("k"), s["a"].alias("a"), s["b"].alias("b"), s["kind"].alias("kind")))), lambda s: F.struct(s["kind"].alias("kind"), s["a"].alias("a"), s["b"].alias("b")))
     out = rows.select("id", sort(F.filter("spans", lambda s: s["base"])).alias("base"), sort(F.filter("spans", ok)).alias("spans"))
     return out.withColumn("added", (F.size("spans") - F.size("base")).cast("bigint"))
