@@ -2,7 +2,8 @@
 
 A template is wording with ``[[optional]]`` regions and ``{{n}}`` replaceable ones (up to n words).
 It is compiled into an automaton over words; a text is accepted where the mandatory wording stands
-word for word, whatever the regions hold.  All automata are tried at the places of their first
+word for word, whatever the regions hold.  There are templates of whole licenses and of the notices
+that refer to them.  All automata are tried at the places of their first
 words only.
 """
 
@@ -12,6 +13,9 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cache
+from importlib import resources
+from math import prod
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,42 +24,67 @@ from pyspark.sql import functions as F
 #: A-Z to lower case, other ASCII that is neither letter nor digit to a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
+MARKUP = re.compile(r"(\[\[|\]\]|\{\{\d+\}\})")
+
 # Phrases of the base and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-# Wording of common notices and licenses, with markup.
-TEMPLATES = (
+# Wording of common notices, with markup.  Whole licenses are files beside this module, named after their label.
+NOTICES = (
     ("mit", "released under the [[terms of the]] mit license"),
     ("mit", "licensed under the [[terms of the]] mit license"),
+    ("apache-2", "licensed under the apache license version 2 [[0]] [[the license]]"),
     (
-        "mit",
-        "[[the]] [[mit license]] [[copyright {{12}}]] [[all rights reserved]] permission is hereby granted free of charge to any person obtaining a copy of this software and "
-        "associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish "
-        "distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
-        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "apache-2",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at {{8}} "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any "
+        "kind either express or implied see the license for the specific language governing permissions and limitations under the license",
     ),
-    ("apache-2", "licensed under the apache license version 2 [[0]] [[the license]]"),
     ("apache-2", "[[this {{4}} is]] released under the apache license version 2 [[0]]"),
     ("apache-2", "apache license version 2 0 january 2004"),
     ("cc-by-nc", "[[this work is]] licensed under [[a]] [[creative commons]] cc by nc [[4 0]]"),
     ("cc-by-nc", "[[this work is]] licensed under a creative commons attribution noncommercial [[{{1}} 0]] [[international]] license"),
     ("cc-by-sa", "[[this work is]] licensed under [[a]] [[creative commons]] cc by sa [[4 0]]"),
-    ("cc-by", "[[this work is]] licensed under a creative commons attribution [[4 0]] [[international]] license"),
+    ("cc-by-sa", "[[this work is]] licensed under a creative commons attribution sharealike [[{{1}} 0]] [[international]] license"),
+    ("cc-by", "[[this work is]] licensed under a creative commons attribution [[{{1}} 0]] [[international]] license"),
+    ("gpl-2", "[[this {{4}} is]] licensed under the [[terms of the]] gnu general public license version 2"),
     ("gpl-3", "[[this {{4}} is]] licensed under the [[terms of the]] gnu general public license version 3"),
     ("gpl-3", "gnu general public license version 3 29 june 2007"),
-    ("gpl-2", "[[this {{4}} is]] licensed under the [[terms of the]] gnu general public license version 2"),
-    ("lgpl-3", "licensed under the gnu lesser general public license version 3"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     (
-        "bsd",
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "gpl-2",
+        "is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 "
+        "of the license or [[at your option]] any later version",
+    ),
+    (
+        "gpl-3",
+        "is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 "
+        "of the license or [[at your option]] any later version",
     ),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    (
+        "agpl-3",
+        "is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either "
+        "version 3 of the license or [[at your option]] any later version",
+    ),
+    (
+        "lgpl-2.1",
+        "is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either "
+        "version 2 1 of the license or [[at your option]] any later version",
+    ),
+    ("lgpl-3", "licensed under the [[terms of the]] gnu lesser general public license version 3"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 [[if a copy of the mpl was not distributed with this file you can obtain one at {{5}}]]"),
+    ("bsl-1", "distributed under the boost software license version 1 0"),
     ("cc0", "to the extent possible under law {{12}} has waived all copyright and related or neighboring rights to"),
 )
 
 
+@cache
+def templates() -> tuple[tuple[str, str], ...]:
+    """Notices and whole licenses as ``(label, wording with markup)``; read where the plan is made, and sent along with it."""
+    folder = resources.files(__package__) / "licenses"
+    whole = sorted((f.name.removesuffix(".txt"), f.read_text()) for f in folder.iterdir() if f.name.endswith(".txt"))
+    return (*NOTICES, *whole)
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(FOLD).split()
 
@@ -78,7 +107,8 @@ class Automaton:
     def compile(label: str, template: str) -> Automaton:
         auto = Automaton(label)
         auto._state()
-        auto._read(re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+", template), 0, 0)
+        parts = [p for piece in MARKUP.split(template) for p in ([piece] if MARKUP.fullmatch(piece) else [w.decode() for w in words_of(piece)])]
+        auto._read(parts, 0, 0)
         return auto
 
     def _state(self) -> int:
@@ -152,9 +182,9 @@ class Automaton:
 
 
 class Scanner:
-    def __init__(self, templates: Sequence[tuple[str, str]] = TEMPLATES, phrases: Sequence[tuple[str, str]] = PHRASES):
+    def __init__(self, wanted: Sequence[tuple[str, str]] | None = None, phrases: Sequence[tuple[str, str]] = PHRASES):
         self.phrases = [(b" " + p.encode() + b" ", label, len(p.split())) for p, label in phrases]
-        self.automata = [Automaton.compile(label, t) for label, t in templates]
+        self.automata = [Automaton.compile(label, t) for label, t in (templates() if wanted is None else wanted)]
         self.by_first: dict[bytes, list[Automaton]] = defaultdict(list)
         for a in self.automata:
             firsts = a.firsts()
@@ -179,7 +209,7 @@ class Scanner:
                 places.append((index, index + n, label))
                 at = joined.find(phrase, at + 1)
         regions = []
-        if any(w in joined for w in self.needs):
+        if not self.needs.isdisjoint(words):
             for i, w in enumerate(words):
                 for auto in self.by_first.get(w, ()):
                     if end := auto.match(words, i):
@@ -187,19 +217,20 @@ class Scanner:
         return len(words), sorted(places), regions
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES, phrases: Sequence[tuple[str, str]] = PHRASES) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wanted: Sequence[tuple[str, str]] | None = None, phrases: Sequence[tuple[str, str]] = PHRASES) -> DataFrame:
     """``(id, n_words, places, regions, score)``, a row for each row of ``docs``.
 
     ``places``: where a phrase's words stand consecutively (first word, end, label).  ``regions``:
     what the templates accept, the longest from each first word (first word, end, label, mandatory
-    words).  ``score`` is m / (m + 2) for the most mandatory words m that a region or phrase has, 0
-    if there is none.  Null and empty texts have no words; words count from 0; whole texts are read.
+    words).  Each label found is sure by m / (m + 2), m the most mandatory words that a region or
+    phrase of it has; ``score`` is the chance that at least one is right, 0 if none is found.  Null and empty texts have no words; words count from 0; whole texts are read.
     Repeated rows and null ids are kept; other columns are left out; no rows give no rows.
     """
     id_type = dict(docs.dtypes)[id_col]
+    wanted = templates() if wanted is None else tuple(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, phrases)
+        scanner = Scanner(wanted, phrases)
         place = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("label", pa.string())]))
         region = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("mandatory", pa.int64())]))
         for batch in batches:
@@ -207,11 +238,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             for at in range(0, batch.num_rows, 256):
                 for text in batch.column(1).slice(at, 256).to_pylist():
                     n, p, r = scanner.scan(text)
-                    most = max([b - a for a, b, _ in p] + [m for *_, m in r], default=0)
+                    most: dict[str, int] = defaultdict(int)
+                    for label, m in [(x, b - a) for a, b, x in p] + [(x, m) for _, _, x, m in r]:
+                        most[label] = max(most[label], m)
                     sizes.append(n)
                     places.append([{"first": a, "end": b, "label": x} for a, b, x in p])
                     regions.append([{"first": a, "end": b, "label": x, "mandatory": m} for a, b, x, m in r])
-                    scores.append(most / (most + 2))
+                    scores.append(1 - prod(2 / (m + 2) for m in most.values()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(places, place), pa.array(regions, region), pa.array(scores, pa.float64())], ["id", "n_words", "places", "regions", "score"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
