@@ -153,13 +153,22 @@ def _close(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def met(key: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that the close ones of each key are linked by: pairs in small groups, stars in larger ones.  ``key`` is sorted."""
+    """Rows that the close ones of each key are linked by: a star at the first of a group, and what it does not reach by pairs in small groups, by further stars in larger ones.
+
+    Rows are sorted by key and then SimHash, so that the groups of one text's many keys have few
+    different centres.
+    """
     first = np.searchsorted(key, key, side="left")
     size = np.searchsorted(key, key, side="right") - first
-    here, left, right = np.flatnonzero((size > 1) & (size <= PAIRS)), [], []
+    small = (size > 1) & (size <= PAIRS)
+    here = np.flatnonzero(small & (first < np.arange(len(key))))
+    tied = here[_close(h, first[here], here)]
+    left, right, reached = [first[tied]], [tied], np.zeros(len(key), bool)
+    reached[tied] = reached[first[tied]] = True
+    here = np.flatnonzero(small)
     for d in range(1, PAIRS):
         here = here[here - first[here] + d < size[here]]
-        good = here[_close(h, here, here + d)]
+        good = here[_close(h, here, here + d) & ~(reached[here] & reached[here + d])]
         left.append(good)
         right.append(good + d)
     for at in np.unique(first[size > PAIRS]).tolist():
@@ -245,11 +254,11 @@ def coarse_links(marked: DataFrame, width: int) -> DataFrame:
 
     at = marked.select("h1", "h2", "found").dropDuplicates().mapInArrow(spread, "key bigint, h1 bigint, h2 bigint")
     most = HOT
-    first = durable(at.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: whole_groups(b, most, links, hot), schema))
+    first = durable(at.repartition("key").sortWithinPartitions("key", "h1", "h2").mapInArrow(lambda b: whole_groups(b, most, links, hot), schema))
     hots = first.filter("key is not null").select("key", F.col("a1").alias("h1"), F.col("a2").alias("h2"))
     parts = hots.groupBy("key").agg(F.ceil(F.count("*") / HOT).alias("parts"))
     blocks = dealt(hots.join(parts, "key").withColumn("th", F.xxhash64("h1", "h2")), ["key"], "parts", "th").select("key", "h1", "h2")
-    more = blocks.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: whole_groups(b, None, links), schema)
+    more = blocks.repartition("key").sortWithinPartitions("key", "h1", "h2").mapInArrow(lambda b: whole_groups(b, None, links), schema)
     return first.filter("key is null").unionByName(more).select(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")).alias("u"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")).alias("v")).filter("u <> v").distinct()
 
 
@@ -312,7 +321,7 @@ def verified_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 
     parts = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
     placed = dealt(members.join(parts, "root"), ["root"], "parts", "node").select("key", "node", "th").join(sets, "th")
-    return placed.select("key", "node", "shingles").repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: whole_groups(b, None, run), "u bigint, v bigint")
+    return placed.select("key", "node", "shingles").repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda b: whole_groups(b, None, run), "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
