@@ -18,7 +18,7 @@ def ship(spark: SparkSession) -> SparkSession:
         here = Path(__file__).parent
         to = Path(tempfile.mkdtemp(prefix="utterframe-")) / "utterframe.zip"
         with zipfile.ZipFile(to, "w") as z:
-            for p in sorted(here.rglob("*.py")):
+            for p in sorted(p for p in here.rglob("*") if p.suffix in (".py", ".txt")):
                 z.write(p, p.relative_to(here.parent))
         spark.sparkContext.addPyFile(str(to))
         _sent.add(app)
