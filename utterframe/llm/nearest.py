@@ -1,21 +1,28 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Each table cuts DIRECTIONS Gaussian projections into cells of width W; a vector lies in one bucket
-of each table.  A query visits its own bucket and the perturbed ones in the estimated order of
-success: neighbouring cells, one or more at once, by their summed squared distance to the query's
+Each table cuts Gaussian projections into cells of width W; a vector lies in one bucket of each
+table.  A query visits its own bucket and the perturbed ones in the estimated order of success:
+neighbouring cells, one or more at once, by their summed squared distance to the query's
 projections.  Candidates of all tables are merged and ranked by the exact distance.
 
-A bucket is a block join of its vectors and the queries that visit it.  Buckets with many of either
-are dealt out in blocks of bounded size, every block of the one against every block of the other,
-so a bucket that holds a third of all vectors is neither gathered in a task nor cut short.  What
-leaves a task is at most K rows per query and bucket block.
+The number of directions and of probes is fitted on a sample: of the settings that find TARGET of
+the neighbours there, the one that will cost least for as many rows as there are.  More rows ask for
+finer buckets.
+
+Buckets of a table are dealt to groups of about BLOCK_VECTORS vectors.  A query goes to each group
+once, with the buckets that it visits there.  Groups with many vectors or queries are dealt out in
+blocks of bounded size, every block of the one against every block of the other, so a bucket that
+holds a third of all vectors is neither gathered in a task nor cut short.  What leaves a task is at
+most K rows per query and block.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +33,12 @@ from utterframe.durable import durable
 
 K = 10
 TABLES = 10
-DIRECTIONS = 10
+#: Directions that are tried, around the binary logarithm of the number of rows less AROUND.
+DIRECTIONS, AROUND, MOST_DIRECTIONS = (-2, 0, 2, 4), 6, 20
+#: What a copy of a query costs, in comparisons of two vectors.
+COPY_COST = 60
+#: Cells that a probe may change at once, where probes are fitted.
+MOVES = 4
 #: Buckets visited in each table: the fewest that find TARGET of the true neighbours within the fitting sample, at most MOST_PROBES.
 TARGET, MOST_PROBES, FIT_QUERIES = 0.95, 1024, 100
 #: Cell width, in standard deviations of the projections.
@@ -47,7 +59,7 @@ class Hashes:
     width: np.ndarray  # (tables, directions)
 
     @staticmethod
-    def fit(sample: np.ndarray, tables: int = TABLES, directions: int = DIRECTIONS, width: float = WIDTH, seed: int = SEED) -> Hashes:
+    def fit(sample: np.ndarray, directions: int = 10, tables: int = TABLES, width: float = WIDTH, seed: int = SEED) -> Hashes:
         rng = np.random.default_rng(seed)
         a = rng.normal(size=(tables, sample.shape[1], directions))
         centre = sample.mean(axis=0)
@@ -86,16 +98,46 @@ def perturbations(away: np.ndarray, most: int) -> Iterator[list[int]]:
             yield moves
 
 
-def fitted_probes(model: Hashes, sample: np.ndarray, k: int = K) -> int:
-    """Buckets to visit per table, from the rank of the first probe that finds each true neighbour of some sampled vectors.
-
-    These are drawn from the whole sample, among those whose own buckets do not hold all their
+@cache
+def combinations(directions: int, moves: int = MOVES) -> np.ndarray:
+    """All changes of up to ``moves`` cells by one: rows of -1, 0 and 1."""
+    out = [np.zeros((1, directions), np.int8)]
+    for n in range(1, min(moves, directions) + 1):
+        places = np.array(list(itertools.combinations(range(directions), n)))
+        signs = np.array(list(itertools.product((-1, 1), repeat=n)), np.int8)
+        c = np.zeros((len(places), len(signs), directions), np.int8)
+        np.put_along_axis(c, np.broadcast_to(places[:, None, :], (*c.shape[:2], n)), np.broadcast_to(signs[None], (*c.shape[:2], n)), axis=2)
+        out.append(c.reshape(-1, directions))
+    return np.concatenate(out)
+
+
+def probe_ranks(model: Hashes, sample: np.ndarray, asks: np.ndarray, table: int) -> np.ndarray:
+    """For queries ``asks`` of the sample, at which probe of the table each vector of the sample is found: MOST_PROBES if at none."""
+    cells = model.cells(sample, table)
+    own, changes = np.floor(cells), combinations(cells.shape[1])
+    inside = (cells - own)[asks]
+    score = (changes < 0).astype(np.float32) @ (inside**2).T.astype(np.float32) + (changes > 0).astype(np.float32) @ ((1 - inside) ** 2).T.astype(np.float32)
+    most = min(MOST_PROBES, len(changes))
+    top = np.argpartition(score, most - 1, axis=0)[:most]
+    top = np.take_along_axis(top, np.argsort(np.take_along_axis(score, top, axis=0), axis=0, kind="stable"), axis=0).T
+    to, of = bucket(own[asks][:, None, :] + changes[top]), bucket(own)
+    out = np.full((len(asks), len(sample)), MOST_PROBES)
+    for n, row in enumerate(to):
+        order = np.argsort(row, kind="stable")
+        at = np.minimum(np.searchsorted(row[order], of), most - 1)
+        out[n] = np.where(row[order][at] == of, order[at], MOST_PROBES)
+    return out
+
+
+def fitted_probes(model: Hashes, sample: np.ndarray, k: int = K) -> tuple[int, float]:
+    """Buckets to visit per table to find TARGET of the true neighbours of some sampled vectors, and the share of all vectors that these are compared with, summed over the tables.
+
+    The vectors are drawn from the whole sample, among those whose own buckets do not hold all their
     neighbours: a dense group, however large, says nothing about the vectors outside it.
-    Zero if MOST_PROBES buckets a table do not find TARGET of them.
+    Zero probes if MOST_PROBES buckets a table do not find TARGET of them.
     """
     k = min(k, len(sample) - 1)
-    cells = [model.cells(sample, table) for table in range(len(model.directions))]
-    own = np.stack([bucket(np.floor(c)) for c in cells])
+    own = np.stack([bucket(np.floor(model.cells(sample, table))) for table in range(len(model.directions))])
     asks, near = [], []
     for i in np.random.default_rng(SEED).permutation(len(sample)).tolist():
         away = ((sample - sample[i]) ** 2).sum(axis=1)
@@ -106,16 +148,27 @@ def fitted_probes(model: Hashes, sample: np.ndarray, k: int = K) -> int:
             near.append(nearest)
             if len(asks) == FIT_QUERIES:
                 break
-    first = np.full((len(asks), k), MOST_PROBES)
-    for table in range(len(cells)):
-        for n, i in enumerate(asks):
-            order = {int(b): r for r, b in reversed(list(enumerate(bucket(visited(cells[table][i], MOST_PROBES)).tolist())))}
-            first[n] = np.minimum(first[n], [order.get(b, MOST_PROBES) for b in own[table, near[n]].tolist()])
-    found = np.sort(first.ravel())
-    if not len(found):
-        return 1
-    last = int(found[min(len(found) - 1, int(np.ceil(TARGET * len(found))))])
-    return last + 1 if last < MOST_PROBES else 0
+    if not asks:
+        return 1, float(len(own))
+    ranks = np.stack([probe_ranks(model, sample, np.array(asks), table) for table in range(len(own))])
+    first = np.sort(np.take_along_axis(ranks.min(axis=0), np.array(near), axis=1).ravel())
+    last = int(first[min(len(first) - 1, int(np.ceil(TARGET * len(first))))])
+    return (last + 1, float((ranks <= last).mean(axis=(1, 2)).sum())) if last < MOST_PROBES else (0, 0.0)
+
+
+def fitted(sample: np.ndarray, rows: int, k: int = K) -> tuple[Hashes, int]:
+    """The model and number of probes that cost a query least among ``rows`` rows; zero probes if none finds TARGET."""
+    best = None
+    middle = round(np.log2(max(rows, 1024))) - AROUND
+    for d in sorted({min(MOST_DIRECTIONS, max(2, middle + x)) for x in DIRECTIONS}):
+        model = Hashes.fit(sample, d)
+        probes, share = fitted_probes(model, sample, k)
+        cost = share * rows + COPY_COST * probes * TABLES
+        if best is None or probes and (not best[1] or cost < best[2]):
+            best = model, probes, cost
+        elif not probes or cost > 1.5 * best[2]:  # finer buckets still only cost more
+            break
+    return best[0], best[1]
 
 
 def visited(position: np.ndarray, probes: int) -> np.ndarray:
@@ -157,58 +210,75 @@ def _matrix(column: pa.Array, dim: int, kind: str) -> np.ndarray:
 
 
 def block_join(rows: DataFrame, by: list[str], dim: int, k: int = K, kind: str = "<f8") -> DataFrame:
-    """``(query_id, vec_id, score)``: for rows ``(by..., is_query, id, v)`` the k nearest vectors of each query in its block."""
+    """``(query_id, vec_id, score)``: for rows ``(by..., is_query, id, bs, v)`` the k nearest vectors of each query in its block, among those whose bucket is one of the query's ``bs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         held, size = [none], 0
 
-        def search(ids: np.ndarray, is_query: np.ndarray, vectors: np.ndarray) -> None:
+        def search(ids: np.ndarray, is_query: np.ndarray, bs: np.ndarray, vectors: np.ndarray) -> None:
             nonlocal held, size
             q, c = np.flatnonzero(is_query), np.flatnonzero(~is_query)
             if not len(q) or not len(c):
                 return
-            step = max(1, 2_000_000 // (len(c) * dim))
-            for a in range(0, len(q), step):
-                some = q[a : a + step]
-                score = np.sqrt(((vectors[some][:, None, :] - vectors[c][None, :, :]) ** 2).sum(axis=-1))
-                i, j = np.nonzero(ids[some][:, None] != ids[c][None, :])
-                if len(c) > 4 * k:  # an over-full choice first; ties with its last one stay in
-                    bar = np.partition(np.where(ids[some][:, None] != ids[c][None, :], score, np.inf), min(4 * k, len(c) - 1), axis=1)[:, min(4 * k, len(c) - 1)]
-                    i, j = np.nonzero((ids[some][:, None] != ids[c][None, :]) & (score <= bar[:, None]))
-                found = (ids[some][i], ids[c][j], score[i, j])
-                # repeated ids may crowd the choice: then all are looked at
-                near = best(found, k)
-                if len(c) > 4 * k and len(near[0]) < k * len(np.unique(ids[some])):
-                    i, j = np.nonzero(ids[some][:, None] != ids[c][None, :])
-                    near = best((ids[some][i], ids[c][j], score[i, j]), k)
-                held.append(near)
-                size += len(near[0])
+            of = np.frombuffer(b"".join(bs[c]), "<i8")
+            order = np.argsort(of, kind="stable")
+            c, of = c[order], of[order]
+            own, against = ids[c], vectors[c]
+            for i in q.tolist():
+                to = np.frombuffer(bs[i], "<i8")
+                lo, n = np.searchsorted(of, to, side="left"), np.searchsorted(of, to, side="right")
+                n = n - lo
+                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                at = at[own[at] != ids[i]]
+                if not len(at):
+                    continue
+                score = np.sqrt(((vectors[i] - against[at]) ** 2).sum(axis=-1))
+                near = np.arange(len(at))
+                if len(at) > 4 * k:  # an over-full choice first; ties with its last one stay in
+                    near = np.flatnonzero(score <= np.partition(score, 4 * k)[4 * k])
+                found = best((np.full(len(near), ids[i]), own[at[near]], score[near]), k)
+                if len(found[0]) < k and len(near) < len(at):  # repeated ids crowd the choice: then all are looked at
+                    found = best((np.full(len(at), ids[i]), own[at], score), k)
+                held.append(found)
+                size += len(found[0])
             if size > HELD_ROWS:
                 held = [best(tuple(np.concatenate(x) for x in zip(*held, strict=True)), k)]
                 size = len(held[0][0])
 
-        keys = ids = is_query = vectors = None
+        keys = ids = is_query = bs = vectors = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             own = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(len(by))], axis=1)
-            part = (own, batch.column(len(by) + 1).to_numpy(zero_copy_only=False), batch.column(len(by)).to_numpy(zero_copy_only=False).astype(bool), _matrix(batch.column(len(by) + 2), dim, kind))
-            keys, ids, is_query, vectors = part if keys is None else (np.concatenate(x) for x in zip((keys, ids, is_query, vectors), part, strict=True))
+            n = len(by)
+            part = (own, batch.column(n + 1).to_numpy(zero_copy_only=False), batch.column(n).to_numpy(zero_copy_only=False).astype(bool), np.array([*batch.column(n + 2).to_pylist(), None], dtype=object)[:-1], _matrix(batch.column(n + 3), dim, kind))
+            keys, ids, is_query, bs, vectors = part if keys is None else (np.concatenate(x) for x in zip((keys, ids, is_query, bs, vectors), part, strict=True))
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                search(ids[a:b], is_query[a:b], vectors[a:b])
-            keys, ids, is_query, vectors = (x[cuts[-1] :] for x in (keys, ids, is_query, vectors))
+                search(ids[a:b], is_query[a:b], bs[a:b], vectors[a:b])
+            keys, ids, is_query, bs, vectors = (x[cuts[-1] :] for x in (keys, ids, is_query, bs, vectors))
             if size > HELD_ROWS // 2:  # results of many queries leave before they pile up
                 q, v, s = best(tuple(np.concatenate(x) for x in zip(*held, strict=True)), k)
                 yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
                 held, size = [none], 0
         if keys is not None:
-            search(ids, is_query, vectors)
+            search(ids, is_query, bs, vectors)
         q, v, s = best(tuple(np.concatenate(x) for x in zip(*held, strict=True)), k)
         yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
 
-    return rows.select(*by, "is_query", "id", "v").repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    return rows.select(*by, "is_query", "id", "bs", "v").repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+
+
+def dealt(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows ``(by..., is_query, id, bs, v)`` of groups, dealt out to blocks ``nb`` of vectors and ``qb`` of queries; groups without the one or the other go."""
+    load = rows.groupBy(*by).agg(F.count_if(~F.col("is_query")).alias("n"), F.count_if("is_query").alias("m")).filter("n > 0 and m > 0")
+    load = load.select(*by, F.ceil(F.col("n") / BLOCK_VECTORS).cast("int").alias("nb"), F.ceil(F.col("m") / BLOCK_QUERIES).cast("int").alias("qb"))
+    mine = lambda n: F.array(F.pmod(F.xxhash64("id"), F.col(n)).cast("int"))
+    all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    d = rows.join(load, by)
+    d = d.withColumn("nbs", F.when(F.col("is_query"), all_of("nb")).otherwise(mine("nb"))).withColumn("qbs", F.when(F.col("is_query"), mine("qb")).otherwise(all_of("qb")))
+    return d.withColumn("nb", F.explode("nbs")).withColumn("qb", F.explode("qbs"))
 
 
 def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K) -> DataFrame:
@@ -233,11 +303,11 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     sample = np.array([r["v"] for r in rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 31)) < share).collect()]).reshape(-1, dim)
     if not len(sample):
         sample = np.array([rows.first()["v"]])
-    model = Hashes.fit(sample)
-    probes = fitted_probes(model, sample, k)
+    model, probes = fitted(sample, sizes["n"], k)
     shared = spark.sparkContext.broadcast(model)
+    groups = max(1, sizes["n"] // BLOCK_VECTORS)
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch], probes: int = probes) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -245,46 +315,43 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
                 ids, asks = part.column(0).to_numpy(), part.column(1).to_numpy(zero_copy_only=False)
                 x = np.array(part.column(2).to_pylist(), dtype=np.float64).reshape(-1, dim)
                 blobs = [v.tobytes() for v in x.astype(kind)]
-                t, b, q, who = [], [], [], []
-                for table in range(len(model.directions)):
+                t, g, q, who, bs = [], [], [], [], []
+                for table in range(len(model.directions) if probes else 1):
                     cells = model.cells(x, table)
-                    own = bucket(np.floor(cells))
-                    t.append(np.full(len(ids), table))
-                    b.append(own)
-                    q.append(np.zeros(len(ids), bool))
-                    who.append(np.arange(len(ids)))
-                    for i in np.flatnonzero(asks):
-                        to = np.unique(bucket(visited(cells[i], probes)))
-                        t.append(np.full(len(to), table))
-                        b.append(to)
-                        q.append(np.ones(len(to), bool))
-                        who.append(np.full(len(to), i))
-                who = np.concatenate(who)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(t).astype(np.int32)), pa.array(np.concatenate(b)), pa.array(np.concatenate(q)), pa.array(ids[who]), pa.array([blobs[i] for i in who], pa.binary())], ["t", "b", "is_query", "id", "v"])
-
-    found, asked = None, rows.filter("is_query").select("id").distinct()
+                    # without probes all is one bucket, and groups are blocks of vectors that every query visits
+                    own = bucket(np.floor(cells)) if probes else np.zeros(len(ids), np.int64)
+                    t += [table] * len(ids)
+                    g += (own % groups).tolist() if probes else (bucket(ids[:, None]) % groups).tolist()
+                    q += [False] * len(ids)
+                    who += range(len(ids))
+                    bs += [b.tobytes() for b in own.astype("<i8")]
+                    for i in np.flatnonzero(asks).tolist():
+                        if probes:
+                            to = np.unique(bucket(visited(cells[i], probes)))
+                            to = to[np.argsort(to % groups, kind="stable")].astype("<i8")
+                            cuts = [0, *(np.flatnonzero(np.diff(to % groups)) + 1).tolist(), len(to)]
+                            g += (to[cuts[:-1]] % groups).tolist()
+                            bs += [to[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                        else:
+                            cuts = range(groups + 1)
+                            g += range(groups)
+                            bs += [own[:1].astype("<i8").tobytes()] * groups
+                        t += [table] * (len(cuts) - 1)
+                        q += [True] * (len(cuts) - 1)
+                        who += [i] * (len(cuts) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(g, pa.int64()), pa.array(q), pa.array(ids[who]), pa.array(bs, pa.binary()), pa.array([blobs[i] for i in who], pa.binary())], ["t", "g", "is_query", "id", "bs", "v"])
+
+    schema, by = "t int, g bigint, is_query boolean, id bigint, bs binary, v binary", ["t", "g"]
+    # hashed twice, once to count groups and once to deal them out: cheaper than to keep TABLES copies of every vector on disk
+    found = durable(_merged(block_join(dealt(rows.mapInArrow(hashed, schema), by), [*by, "nb", "qb"], dim, k, kind), k))
     if probes:
-        # hashed twice, once to count buckets and once to deal them out: cheaper than to keep TABLES copies of every vector on disk
-        at = rows.mapInArrow(hashed, "t int, b bigint, is_query boolean, id bigint, v binary")
-        load = at.groupBy("t", "b").agg(F.count_if(~F.col("is_query")).alias("n"), F.count_if("is_query").alias("m")).filter("n > 0 and m > 0")
-        load = load.select("t", "b", F.ceil(F.col("n") / BLOCK_VECTORS).cast("int").alias("nb"), F.ceil(F.col("m") / BLOCK_QUERIES).cast("int").alias("qb"))
-        dealt = at.join(load, ["t", "b"])
-        mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-        all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-        dealt = dealt.withColumn("nbs", F.when(F.col("is_query"), all_of("nb")).otherwise(F.array(mine("nb")))).withColumn("qbs", F.when(F.col("is_query"), F.array(mine("qb"))).otherwise(all_of("qb")))
-        dealt = dealt.withColumn("nb", F.explode("nbs")).withColumn("qb", F.explode("qbs"))
-        found = durable(_merged(block_join(dealt, ["t", "b", "nb", "qb"], dim, k, kind), k))
-    short = asked if found is None else asked.join(found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n")), "id", "left").filter(F.coalesce("n", F.lit(0)) < min(k, candidates)).select("id")
-    short = durable(short)
-    if found is None or not short.isEmpty():
-        blocks = max(1, -(-sizes["n"] // BLOCK_VECTORS))
-        pack = F.udf(lambda v: np.array(v, dtype=kind).tobytes(), "binary")
-        asks = rows.filter("is_query").join(short, "id", "left_semi").select(F.lit(True).alias("is_query"), "id", pack("v").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("nb"))
-        qs = max(1, -(-short.count() // BLOCK_QUERIES))
-        asks = asks.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(qs)).cast("int"))
-        every = rows.select(F.lit(False).alias("is_query"), "id", pack("v").alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("nb"), F.explode(F.sequence(F.lit(0), F.lit(qs - 1))).alias("qb"))
-        rest = _merged(block_join(every.unionByName(asks), ["nb", "qb"], dim, k, kind), k)
-        found = rest if found is None else found.join(short.withColumnRenamed("id", "query_id"), "query_id", "left_anti").unionByName(rest)
+        asked = rows.filter("is_query").select("id").distinct()
+        short = durable(asked.join(found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n")), "id", "left").filter(F.coalesce("n", F.lit(0)) < min(k, candidates)).select("id"))
+        if not short.isEmpty():
+            again = rows.filter("not is_query").unionByName(rows.filter("is_query").withColumn("is_query", F.lit(False))).unionByName(rows.filter("is_query").join(short, "id", "left_semi"))
+            every = again.mapInArrow(lambda b: hashed(b, 0), schema)
+            rest = _merged(block_join(dealt(every, by), [*by, "nb", "qb"], dim, k, kind), k)
+            found = found.join(short.withColumnRenamed("id", "query_id"), "query_id", "left_anti").unionByName(rest)
     return found.select("query_id", "rank", "vec_id", "score")
 
 
