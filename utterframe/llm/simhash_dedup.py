@@ -6,12 +6,14 @@ padded to 23 bits, is decoded by the perfect binary Golay code, which maps every
 codeword within three bits; a word and its one-bit neighbours decode to about five codewords.  A
 pair of segments gives a key of two 12-bit codeword indices: one document stands at the key of its
 own codewords, the other at those of its neighbours, so every link within the radius meets in at
-least one key.  An equi-join on the key verifies the true distance; only verified links leave it.
+least one key.  Of more than PAIRED fingerprints too many would share a pair; their keys are all three
+codewords, looked up for every way to spread three errors.  An equi-join on the key verifies the true distance; only verified links leave it.
 Keys that very many fingerprints share are joined in blocks, which connect what they find by stars.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from utterframe.durable import durable
-from utterframe.llm.common import components, slices
+from utterframe.llm.common import components, fresh, slices
 
 SEED = 42
 SHINGLE = 3
@@ -30,6 +32,8 @@ RADIUS = 3
 WIDTHS = (22, 21, 21)
 #: Generator polynomial of the binary Golay code [23, 12, 7]: x^11+x^9+x^7+x^6+x^5+x+1.
 GOLAY = 0b101011100011
+#: Fingerprints up to which keys are pairs of codewords (24 bits); more of them have keys of three (36 bits), with 16 times as many look-ups.
+PAIRED = 1 << 31
 #: Fingerprints that stand at a key above which it is hot: its links are sought in blocks of this size.
 HOT = 1024
 #: Shingle hashes that are spread out to bits at once.
@@ -105,6 +109,27 @@ def keys(fp: int) -> tuple[list[int], list[int]]:
     return [key(p, own[i], own[j]) for p, i, j in pairs], sorted(looked)
 
 
+def triple_keys(fp: int) -> tuple[list[int], list[int]]:
+    """The key of all three own codewords, and the keys of every word that at most RADIUS errors, however spread, may have made of it."""
+    near, at = [], 0
+    for width in WIDTHS:
+        w = fp >> at & ((1 << width) - 1)
+        at += width
+        words = [np.array([w])]
+        for n in range(1, RADIUS + 1):
+            flips = np.array([sum(1 << i for i in c) for c in itertools.combinations(range(width), n)])
+            words.append(w ^ flips)
+        near.append([np.unique(codeword(x)) for x in words])
+    looked = set()
+    for spread in itertools.product(range(RADIUS + 1), repeat=3):
+        if sum(spread) == RADIUS:
+            # errors of one segment up to its share; smaller shares are in other spreads or here
+            a, b, c = (np.unique(np.concatenate(near[s][: e + 1])) for s, e in enumerate(spread))
+            looked.update((a[:, None, None].astype(np.int64) << 24 | b[None, :, None] << 12 | c[None, None, :]).ravel().tolist())
+    own = int(near[0][0][0]) << 24 | int(near[1][0][0]) << 12 | int(near[2][0][0])
+    return [own], sorted(looked)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fp)`` of every row; ``fp`` is the fingerprint as a signed bigint."""
     id_type = dict(docs.dtypes)[id_col]
@@ -125,16 +150,17 @@ def links(fps: DataFrame) -> DataFrame:
 
     Outside hot keys these are exactly the pairs within the radius; hot keys give connections only.
     """
+    find = keys if fps.count() <= PAIRED else triple_keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (part,) in slices(batches):
-            found = [keys(x & (1 << 64) - 1) for x in part]
+            found = [find(x & (1 << 64) - 1) for x in part]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.int64()), pa.array([o for o, _ in found], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.list_(pa.int32()))],
+                [pa.array(part, pa.int64()), pa.array([o for o, _ in found], pa.list_(pa.int64())), pa.array([n for _, n in found], pa.list_(pa.int64()))],
                 ["fp", "own", "near"],
             )
 
-    keyed = durable(fps.select("fp").mapInArrow(run, "fp bigint, own array<int>, near array<int>"))
+    keyed = durable(fps.select("fp").mapInArrow(run, "fp bigint, own array<bigint>, near array<bigint>"))
     at = keyed.select(F.col("fp").alias("u"), F.explode("own").alias("key"))
     seen = keyed.select(F.col("fp").alias("v"), F.explode("near").alias("key"))
     n = at.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT)
@@ -238,11 +264,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ne
     """The rows of ``docs`` with their columns, one of each group of ``near``: the one with the group's smallest id.
 
     Rows without an id represent a group only if the group has no id at all.  Of several rows with
-    that id in the group (repeated rows) one with the smallest text hash stays.
+    that id in the group one with the smallest text hash stays, of these the one whose other columns
+    come first (columns of maps apart).  Null texts are one group with wordless ones; no rows give no rows.
     """
     th = F.xxhash64(F.col(text_col))
+    id_name, h_name, th_name, copy_name = (fresh(c, docs.columns) for c in ("id", "h", "th", "copy"))
     of = near(docs.select(F.struct(F.col(id_col).alias("id"), th.alias("th")).alias("id"), F.col(text_col).alias("text")), "id", "text")
-    kept = of.groupBy("component").agg(F.lit(1).alias("one")).select(F.col("component.id").alias("__id"), F.col("component.th").alias("__th"))
-    joined = docs.withColumn("__h", th).join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left_semi")
-    copy = F.row_number().over(Window.partitionBy(id_col, "__h").orderBy(F.lit(0)))
-    return joined.withColumn("__copy", copy).filter("__copy = 1").drop("__h", "__copy")
+    kept = of.groupBy("component").agg(F.lit(1).alias("one")).select(F.col("component.id").alias(id_name), F.col("component.th").alias(th_name))
+    joined = docs.withColumn(h_name, th).join(kept, F.col(id_col).eqNullSafe(F.col(id_name)) & (F.col(h_name) == F.col(th_name)), "left_semi")
+    by = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    copy = F.row_number().over(Window.partitionBy(id_col, h_name).orderBy(*by))
+    return joined.withColumn(copy_name, copy).filter(F.col(copy_name) == 1).drop(h_name, copy_name)
