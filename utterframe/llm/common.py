@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -36,6 +36,13 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def fresh(name: str, taken: Sequence[str]) -> str:
+    """The name, lengthened until no column has it."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = f"_{name}"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[list[list]]:
     """The columns of each Arrow batch as Python lists, a bounded number of rows at a time."""
     for batch in batches:

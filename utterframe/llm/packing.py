@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from utterframe.durable import durable
+from utterframe.llm.common import fresh
 
 CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k"
@@ -159,15 +160,19 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     ``cut`` is read more than once and must be stable (a table or a checkpoint).  Pieces of a length
     are ranked in ranges of about RANGE_ROWS, so no task holds a length that a third of them have.
+    Columns may have any names but ``sequence_id`` and ``offset``, which are replaced; repeated rows
+    have places of their own; no rows give no rows.
     """
     names = [c for c in cut.columns if c not in ("sequence_id", "offset")]
+    parts_col, salt_col, rank_col = (fresh(c, names) for c in ("parts", "salt", "rank"))
     spark = cut.sparkSession
     histogram = [(r["length"], r["n"]) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()]  # at most ``capacity`` rows
-    ranges = spark.createDataFrame([(size, -(-n // RANGE_ROWS)) for size, n in histogram], "length long, __parts long")
-    deal = F.pmod(F.xxhash64(*[c for c in names if c != "length"]), F.col("__parts")).cast("int")
-    cut = cut.select(*names).join(F.broadcast(ranges), "length").select(*names, deal.alias("__salt"))
-    counts = cut.groupBy("length", "__salt").agg(F.count("*").alias("n"))
-    per = {(r["length"], r["__salt"]): r["n"] for r in counts.collect()}  # a row per range
+    ranges = spark.createDataFrame([(size, -(-n // RANGE_ROWS)) for size, n in histogram], f"length long, `{parts_col}` long")
+    # by place and not by content, so that repeated rows are dealt out too; the places of a stable frame are stable
+    deal = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col(parts_col)).cast("int")
+    cut = cut.select(*names).join(F.broadcast(ranges), "length").select(*names, deal.alias(salt_col))
+    counts = cut.groupBy("length", salt_col).agg(F.count("*").alias("n"))
+    per = {(r["length"], r[salt_col]): r["n"] for r in counts.collect()}  # a row per range
     total: Counter = Counter()
     before: dict[tuple[int, int], int] = {}
     for (size, salt), n in sorted(per.items()):
@@ -175,14 +180,14 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         total[size] += n
     where = spark.sparkContext.broadcast((before, places(combinations(total, capacity))))
     # each (length, salt) is ranked by itself; the order within a length is of no matter, but must not change between attempts
-    order = Window.partitionBy("length", "__salt").orderBy(*[c for c in names if c != "length"])
-    ranked = cut.withColumn("__rank", F.row_number().over(order) - 1)
+    order = Window.partitionBy("length", salt_col).orderBy(*[c for c in names if c != "length"])
+    ranked = cut.withColumn(rank_col, F.row_number().over(order) - 1)
     fields = [f for f in ranked.schema.fields if f.name in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, table = where.value
         for batch in batches:
-            size, salt, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "__salt", "__rank"))
+            size, salt, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", salt_col, rank_col))
             seq, off = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
             for s in np.unique(size):
                 at = np.flatnonzero(size == s)
