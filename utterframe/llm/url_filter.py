@@ -1,7 +1,8 @@
 """URL filtering by hashed host-suffix and path-prefix expressions.
 
-Each url is expanded into ``host suffix + path prefix`` expressions, only of the lengths that some
-rule has, so the expansion is bounded by the rules and not by the url.  Expressions meet the rules
+Each url is expanded into expressions: the suffixes of its host by labels, with the prefixes of its
+path, only of the lengths that some rule has, so the expansion is bounded by the rules and not by the
+url.  Expressions meet the rules
 by an equi-join on the first bytes of their SHA-256, full digests confirm, and the longest rule wins.
 """
 
@@ -26,8 +27,6 @@ DEFAULT = "allow"
 PREFIX = 8
 #: Rules up to this number are broadcast; more are joined by a shuffle.
 BROADCAST_RULES = 100_000
-#: Salts of the shuffled join, for expressions that many urls share.
-SALTS = 16
 
 
 def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -56,24 +55,25 @@ def judge_urls(df: DataFrame, rules: DataFrame, keys: Sequence[str] = ("page_id"
     rules = rules.dropna().select(
         "rule_host", "rule_path", F.lower("rule_verdict").alias("rule_verdict"), F.concat("rule_host", "rule_path").alias("rule")
     ).withColumn("digest", F.sha2("rule", 256)).withColumn("prefix", F.substring("digest", 1, PREFIX))
-    shapes = rules.select(F.length("rule_host").alias("h"), F.length("rule_path").alias("p")).distinct().collect()  # bounded by the longest rule
+    # bounded by the longest rule
+    of = rules.agg(F.max(F.size(F.split("rule_host", r"\."))).alias("labels"), F.collect_set(F.length("rule_host")).alias("hosts"), F.collect_set(F.length("rule_path")).alias("paths")).first()
+    lits = lambda xs: F.array(*map(F.lit, sorted(xs))) if xs else F.array().cast("array<int>")
     rows = split_url(df.groupBy(*keys, url_col).agg(F.count("*").alias("__copies")), url_col)
-    tries = [
-        F.when(
-            (F.length("host") >= r["h"]) & (F.length("path") >= r["p"]) & ((F.length("host") == r["h"]) | (F.substring(F.col("host"), -(r["h"] + 1), 1) == ".")),
-            F.concat(F.expr(f"right(host, {r['h']})"), F.expr(f"left(path, {r['p']})")),
-        )
-        for r in sorted(shapes)
-    ]
-    rows = rows.withColumn("expression", F.explode_outer(F.array_distinct(F.filter(F.array(*tries), lambda x: x.isNotNull())) if tries else F.array().cast("array<string>")))
+    labels = F.sequence(F.lit(1), F.least(F.lit(of["labels"] or 1), F.size(F.split("host", r"\."))))
+    suffixes = F.filter(F.transform(labels, lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n)), lambda h: F.array_contains(lits(of["hosts"]), F.length(h)))
+    prefixes = F.transform(F.filter(lits(of["paths"]), lambda n: n <= F.length("path")), lambda n: F.left(F.col("path"), n))
+    expressions = F.array_distinct(F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p)))))
+    rows = rows.withColumn("expression", F.explode_outer(expressions))
     rows = rows.withColumn("digest", F.sha2("expression", 256)).withColumn("prefix", F.substring("digest", 1, PREFIX))
     rules = rules.withColumnRenamed("digest", "full")
     on = ["prefix"]
     if rules.count() <= BROADCAST_RULES:
         rules = F.broadcast(rules)
     else:
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int"))
-        rules = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        # an expression that many urls share is dealt to as many tasks as the shuffle has
+        salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64(*keys, url_col), F.lit(salts)).cast("int"))
+        rules = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         on += ["salt"]
     fits = (F.col("digest") == F.col("full")) & (F.length("host") >= F.length("rule_host")) & F.endswith("host", "rule_host") & F.startswith("path", "rule_path")
     best = F.when(fits, F.struct(F.length("rule"), F.length("rule_host"), F.col("rule"), F.col("rule_verdict")))
