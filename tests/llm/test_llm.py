@@ -62,7 +62,6 @@ def empty(df):
 def test_leaks_against_brute_force():
     items = [(k, prose(n, 100 + k)) for k, n in enumerate((18, 30, 45, 3, 59))]
     index = decontaminate.Items([*items, (99, None), (98, "..."), (0, items[0][1])])
-    assert RADIUS_COVERED(index)
     for seed in range(40):
         r = random.Random(seed)
         words = prose(150, 1000 + seed).split()
@@ -83,18 +82,27 @@ def test_leaks_against_brute_force():
         assert got == pytest.approx(want)
 
 
-def RADIUS_COVERED(index) -> bool:
-    """The multi-index finds every fingerprint within the radius."""
-    r = random.Random(0)
+def test_multi_index_proposes_all_within_the_radius():
+    r = np.random.default_rng(0)
+    fps = r.integers(0, 2, (30, decontaminate.BITS), dtype=np.uint8)
+    index = decontaminate.MultiIndex(fps)
     for _ in range(300):
-        n = r.randrange(len(index.fps))
-        fp = int(index.fps[n])
-        for b in r.sample(range(64), r.randrange(decontaminate.RADIUS + 1)):
-            fp ^= 1 << b
-        v = np.array([fp], dtype="<u8").view(np.uint8)
-        if not any(index.near[b, v[b], n] for b in range(8)):
-            return False
-    return True
+        n, wrong = int(r.integers(30)), int(r.integers(decontaminate.RADIUS + 1))
+        fp = fps[n].copy()
+        fp[r.choice(decontaminate.BITS, wrong, replace=False)] ^= 1
+        row, number, off = index.within(fp[None, :])
+        assert (n, wrong) in zip(number.tolist(), off.tolist()) and not row.any()
+    # a random fingerprint shares a block with some, and is within the radius of none
+    other = r.integers(0, 2, (500, decontaminate.BITS), dtype=np.uint8)
+    assert 0 < len(index.proposed(other)[0]) < 0.6 * 500 * 30 and not len(index.within(other)[0])
+
+
+def test_leaks_come_from_the_index(monkeypatch):
+    text = prose(60, 1)
+    inside = f"{prose(40, 2)} {text} {prose(40, 3)}"
+    assert len(decontaminate.Items([(1, text)]).leaks(inside)) == 1
+    monkeypatch.setattr(decontaminate.MultiIndex, "proposed", lambda self, fps: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    assert decontaminate.Items([(1, text)]).leaks(inside) == []
 
 
 def test_find_and_drop_leaks(spark, corpus):
@@ -103,6 +111,8 @@ def test_find_and_drop_leaks(spark, corpus):
     assert [(r["id"], r["item_id"], r["similarity"]) for r in found] == [(5, 1, 1.0)]
     kept = decontaminate.drop_leaking(corpus, items)
     assert kept.schema == corpus.schema and kept.count() == corpus.count() - 1
+    twice = items.unionByName(items).selectExpr("cast(item_id as decimal(9,0)) item_id", "text", "1 id")
+    assert [(r["id"], r["item_id"]) for r in decontaminate.find_leaks(corpus, twice).collect()] == [(5, 1), (5, 1)]
     assert decontaminate.find_leaks(corpus, empty(items)).count() == 0
     assert decontaminate.find_leaks(empty(corpus), items).count() == 0
 
@@ -126,6 +136,53 @@ def test_language_rank_distance():
     assert p.predict("a", cache)[1] == pytest.approx(1 - want / (10 * len(top)))
 
 
+def test_only_letters_make_words():
+    cache = language_id.Grams()
+    p = language_id.Profiles({"x": {ord("a"): 0.0}}, size=10)
+    for text in ("\u00bd \u2461", "\u2167 \u00b2\u00b3", "12_3", " "):
+        assert not any(c.isalpha() for c in text) and p.predict(text, cache) == ("und", 0.0)
+    assert language_id.words_of("A\u00bdb a1a") == Counter({"a": 3, "b": 1})
+
+
+def test_fitting_share_at_any_size():
+    assert language_id.share_below(3000, 10) == language_id.HASHES
+    for n in (3001, 10**7, 10**10, 10**13):
+        assert abs(language_id.share_below(3000, n) / language_id.HASHES * n - 3000) < 1
+
+
+def test_language_profiles_against_brute_force(spark):
+    r = random.Random(2)
+    rows = [(i, " ".join("".join(r.choice("abcdeé" if lang == "x" else "defghı") for _ in range(r.randrange(1, 7))) for _ in range(r.randrange(0, 30))), lang, "s", 0) for i in range(60) for lang in [r.choice("xy")]]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in language_id.identify(docs).collect()}
+
+    def grams(text):
+        c = Counter()
+        for w in text.lower().split():
+            p = f"\x01{w}\x01"
+            c.update(w)
+            c.update(p[i : i + 2] for i in range(len(p) - 1))
+            c.update(p[i : i + 3] for i in range(len(p) - 2))
+        return c
+
+    def ranks(c, most):
+        top = sorted(c, key=lambda g: (-c[g], sum(ord(x) << 21 * (len(g) - 1 - i) for i, x in enumerate(g))))[:most]
+        return {g: float(np.mean([i for i, o in enumerate(top) if c[o] == c[g]])) for g in top}
+
+    profiles = {}
+    for lang in "xy":
+        c = Counter()
+        for i, text, own, _, _ in rows:
+            if own == lang and crc32(str(i).encode()) % 5:
+                c += grams(text)
+        profiles[lang] = ranks(c, 400)
+    for i, text, *_ in rows:
+        own = ranks(grams(text), 300)
+        far = {lang: sum(min(abs(p[g] - k), 400) if g in p else 400 for g, k in own.items()) for lang, p in profiles.items()}
+        best = min(far, key=lambda x: (far[x], x))
+        assert got[i] == (("und", 0.0) if not own else (best, pytest.approx(1 - far[best] / (400 * len(own)))))
+
+
 def test_language_id_held_out_accuracy(spark):
     out = registry.op2_language_id(spark, "/root/testdata/sf0.01")
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
@@ -207,8 +264,10 @@ def test_nearest_splits_large_buckets(spark, monkeypatch):
 
 
 def test_nearest_is_exact_where_probes_fall_short(spark, monkeypatch):
-    monkeypatch.setattr(nearest, "MOST_PROBES", 2)
+    monkeypatch.setattr(nearest, "MOST_PROBES", 1)
+    monkeypatch.setattr(nearest, "DIRECTIONS", (8,))
     monkeypatch.setattr(nearest, "BLOCK_QUERIES", 4)
+    monkeypatch.setattr(nearest, "BLOCK_VECTORS", 64)
     r = np.random.default_rng(6)
     rows = [(i, r.normal(size=24).tolist()) for i in range(300)]
     got = defaultdict(list)
@@ -224,7 +283,8 @@ def test_probes_fit_vectors_outside_a_dense_group(share):
     dense = int(share * len(sample))
     sample[:dense] = sample[0] + 1e-4 * r.normal(size=(dense, 12))
     model = nearest.Hashes.fit(sample)
-    probes = nearest.fitted_probes(model, sample)
+    probes, share = nearest.fitted_probes(model, sample)
+    assert 0 < share <= nearest.TABLES
     own = [nearest.bucket(np.floor(model.cells(sample, t))) for t in range(nearest.TABLES)]
     hits = 0
     for i in range(dense, dense + 40):
@@ -235,6 +295,30 @@ def test_probes_fit_vectors_outside_a_dense_group(share):
     assert hits >= 0.88 * 400
 
 
+def test_finer_buckets_for_more_rows():
+    """Of clustered vectors a query is compared with a smaller share when there are more of them."""
+    r = np.random.default_rng(3)
+    sample = (r.normal(size=(60, 16))[r.integers(0, 60, 1500)] + 0.15 * r.normal(size=(1500, 16))).astype(float)
+    shares = []
+    for n in (10**4, 10**7, 10**10):
+        model, probes = nearest.fitted(sample, n)
+        assert probes and nearest.fitted_probes(model, sample)[0] == probes
+        shares.append(nearest.fitted_probes(model, sample)[1])
+    assert shares[0] > shares[2]
+
+
+def test_fit_ranks_probes_as_queries_visit_them():
+    r = np.random.default_rng(4)
+    sample = r.normal(size=(300, 8))
+    model = nearest.Hashes.fit(sample, 4)
+    ranks = nearest.probe_ranks(model, sample, np.array([0, 7]), 2)
+    cells = model.cells(sample, 2)
+    for n, i in enumerate((0, 7)):
+        order = nearest.bucket(nearest.visited(cells[i], 81)).tolist()
+        want = [order.index(b) if b in order else nearest.MOST_PROBES for b in nearest.bucket(np.floor(cells)).tolist()]
+        assert ranks[n].tolist() == want
+
+
 def test_perturbations_come_in_order():
     away = np.array([0.5, 0.1, 0.3, 0.9])
     sets = list(nearest.perturbations(away, 8))
@@ -303,13 +387,61 @@ def test_forward_and_expected_counts():
     m = hmm_lm.Model.initial(np.full(5, 0.2), 3)
     seqs = [r.integers(0, 5, n) for n in (1, 4, 6, 2, 4)]
     b = hmm_lm.Batch(seqs)
-    got, _, _ = b.forward(m)
+    got = b.forward(m)
     assert got == pytest.approx([log10(brute_likelihood(m, s)) for s in seqs])
     starts, moves, emits = b.expected(m)
     assert starts.sum() == pytest.approx(5) and moves.sum() == pytest.approx(sum(len(s) - 1 for s in seqs)) and emits.sum() == pytest.approx(sum(map(len, seqs)))
     assert emits.sum(axis=1) == pytest.approx(np.bincount(np.concatenate(seqs), minlength=5))
 
 
+def test_expected_counts_of_long_texts(monkeypatch):
+    """A text longer than what a worker holds gives the counts that it gives whole."""
+    r = np.random.default_rng(1)
+    m = hmm_lm.Model.initial(np.full(7, 1 / 7), 4)
+    seqs = [r.integers(0, 7, n) for n in (3000, 40, 1, 777)]
+    whole = hmm_lm.Batch(seqs)
+    want = whole.expected(m)
+    for held in (1, 100, 3500):
+        monkeypatch.setattr(hmm_lm, "BATCH_TOKENS", held)
+        parts = hmm_lm.Batch(seqs)
+        for got, x in zip(parts.expected(m), want, strict=True):
+            assert got == pytest.approx(x)
+        assert parts.likelihood == pytest.approx(whole.likelihood)
+
+
+def test_most_frequent_tokens(spark):
+    flat = spark.range(300_000).selectExpr("cast(id as string) token", "5L n").unionByName(spark.range(50).selectExpr("concat('t', id) token", "1000000 + id n"))
+    got = hmm_lm.most_frequent(flat, 200_000)
+    n = got.column("n").to_pylist()
+    assert n[:50] == [1_000_049 - i for i in range(50)] and abs(len(n) - 200_000) < 3000 and set(n[50:]) == {5}
+    assert hmm_lm.most_frequent(flat, 30).column("n").to_pylist() == [1_000_049 - i for i in range(30)]
+    assert len(hmm_lm.most_frequent(flat, 400_000)) == 300_050 and len(hmm_lm.most_frequent(flat.filter("n < 0"), 5)) == 0
+
+
+def test_hmm_scores_against_brute_force(spark, monkeypatch):
+    """Scores with tokens of their own, of the shared class inside and beyond the head, and unseen ones."""
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(r.choices(words, [1 / (i + 1) for i in range(30)], k=r.randrange(0, 12))) for _ in range(60)] + ["never seen", None]
+    g = np.random.default_rng(2)
+    fixed = hmm_lm.Model(*(x / x.sum(axis=a, keepdims=a is not None) for x, a in ((g.random(3), None), (g.random((3, 3)), 1), (g.random((6, 3)), 0))))
+    monkeypatch.setattr(hmm_lm, "train", lambda *_: fixed)
+    out = {x["id"]: x["score"] for x in hmm_lm.score(spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOCS), states=3, emissions=5, head_size=12).collect()}
+    lists = [[*(t or "").split(), ""] for t in texts]
+    train = Counter(w for i, t in enumerate(lists) if crc32(str(i).encode()) % 5 != 1 for w in t)
+    own = ["", *sorted((w for w in train if w), key=lambda w: (-train[w], w))[:4]]
+    rare_n = sum(n for w, n in train.items() if w not in own)
+    rare_v = len(train) - len(own)
+    assert rare_v > 12
+    for i, t in enumerate(lists):
+        codes = np.array([own.index(w) if w in own else 5 for w in t])
+        a, total = fixed.start * fixed.emit[codes[0]], 0.0
+        for c in codes[1:]:
+            a = (a @ fixed.move) * fixed.emit[c]
+        total = log10(a.sum()) + sum(log10((train[w] + 0.5) / (rare_n + 0.5 * (rare_v + 1))) for w in t if w not in own)
+        assert out[i] == pytest.approx(total)
+
+
 def test_hmm_scores(spark, corpus):
     out = hmm_lm.score(corpus, emissions=6, head_size=10, rounds=2).collect()
     rows = corpus.select("doc_id", "text").collect()
@@ -333,19 +465,19 @@ def test_hmm_scores(spark, corpus):
 def test_training_raises_likelihood(spark):
     r = np.random.default_rng(3)
     seqs = [np.array([0, 1] * 10 + [2]) if r.random() < 0.5 else np.array([3, 4] * 10 + [2]) for _ in range(60)]
-    rows = spark.createDataFrame([(s.astype("<u2").tobytes(),) for s in seqs], "codes binary")
+    rows = spark.createDataFrame([(i, s.astype("<u2").tobytes()) for i, s in enumerate(seqs)], "id long, codes binary")
     first = hmm_lm.Model.initial(np.bincount(np.concatenate(seqs), minlength=5) / sum(map(len, seqs)), 4)
-    scores = [hmm_lm.Batch(seqs).forward(m)[0].sum() for m in (first, hmm_lm.train(rows, first, 1), hmm_lm.train(rows, first, 6))]
+    scores = [hmm_lm.Batch(seqs).forward(m).sum() for m in (first, hmm_lm.train(rows, first, 1), hmm_lm.train(rows, first, 6))]
     assert scores[0] < scores[1] < scores[2]
 
 
 def test_training_runs_until_likelihood_stands(spark):
     r = np.random.default_rng(5)
     seqs = [np.concatenate([np.arange(12) % 6 + 6 * k for k in r.integers(0, 2, 3)]) for _ in range(80)]
-    rows = spark.createDataFrame([(s.astype("<u2").tobytes(),) for s in seqs], "codes binary")
+    rows = spark.createDataFrame([(i, s.astype("<u2").tobytes()) for i, s in enumerate(seqs)], "id long, codes binary")
     start = hmm_lm.Model.initial(np.full(12, 1 / 12))
     got = hmm_lm.train(rows, start)
-    mean = lambda m: hmm_lm.Batch(seqs).forward(m)[0].sum() / sum(map(len, seqs))
+    mean = lambda m: hmm_lm.Batch(seqs).forward(m).sum() / sum(map(len, seqs))
     b = hmm_lm.Batch(seqs)
     s, v, e = (x + hmm_lm.SMOOTH for x in b.expected(got))
     again = hmm_lm.Model(s / s.sum(), v / v.sum(axis=1, keepdims=True), e / e.sum(axis=0))
@@ -401,9 +533,40 @@ def test_personal_data(spark, corpus):
     for r in out:
         if r["id"] is not None and r["id"] < 80 and r["base"]:
             assert [(s["kind"], s["a"], s["b"]) for s in r["base"]] == spec_spans(texts[r["id"] % 4]) or r["id"] > 12
+    added = {r["id"]: [(s["kind"], s["a"], s["b"]) for s in r["spans"] if s not in r["base"]] for r in out if r["id"] is not None and 40 <= r["id"] < 80}
+    for i, spans in added.items():
+        if i % 4 == 2:  # the spelled-out address and the number without a plus sign
+            assert [(k, texts[2][a:b]) for k, a, b in spans] == [("email", "jane.doe (at) example (dot) com"), ("phone", "415-555-2671")]
+        elif i % 4 == 3:
+            assert spans == []
+        elif i % 4 == 1:
+            assert not any(texts[1][a:b].startswith(("300.", "1234")) for _, a, b in spans)
     assert pii.find_personal(empty(docs)).count() == 0
 
 
+def test_em_recovers_reliabilities():
+    r = np.random.default_rng(4)
+    sure = [(0.95, 0.9), (0.85, 0.8), (0.75, 0.9), (0.9, 0.7), (0.7, 0.75)]  # P(for | right), P(against | wrong)
+    truth = r.random(40_000) < 0.35
+    cast = Counter()
+    for t in truth:
+        cast["".join(str(pii.ABSTAIN if r.random() < 0.3 else pii.FOR if r.random() < (yes if t else 1 - no) else pii.AGAINST) for yes, no in sure)] += 1
+    prior, table, post = pii.reliabilities(sorted(cast.items()))
+    assert prior == pytest.approx(0.35, abs=0.02)
+    for k, (yes, no) in enumerate(sure):
+        assert table[k, 1, pii.FOR] == pytest.approx(yes, abs=0.03) and table[k, 0, pii.AGAINST] == pytest.approx(no, abs=0.03)
+    assert post["22222"] > 0.99 and post["00000"] < 0.01 and abs(post["11111"] - prior) < 0.01
+
+
+def test_classifier_learns_from_its_own_features():
+    r = np.random.default_rng(8)
+    rows = np.unique(np.stack([r.integers(0, n, 3000) for n in (6, 4, 10, 5)], axis=1), axis=0)
+    labels = np.where(rows[:, 0] < 3, 0.95, 0.05) * np.where(rows[:, 2] == 7, 0.2, 1)
+    weights = pii.classifier(rows, labels, np.full(len(rows), 50.0))
+    p = 1 / (1 + np.exp(-(sum(w[rows[:, i]] for i, w in enumerate(weights[:-1])) + weights[-1][0])))
+    assert np.abs(p - labels).mean() < 0.05 and (p[(rows[:, 0] < 3) & (rows[:, 2] != 7)] > 0.9).all()
+
+
 def test_query_digest(spark):
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     for r in registry.op6_pii(spark, "/root/testdata/sf0.01").collect():
@@ -456,10 +619,10 @@ def brute_components(fps):
     return [find(i) for i in range(len(fps))]
 
 
-@pytest.mark.parametrize("hot", [10_000, 20])
-def test_near_duplicates_against_brute_force(spark, monkeypatch, hot):
-    if hasattr(simhash_dedup, "HOT"):
-        monkeypatch.setattr(simhash_dedup, "HOT", hot)
+@pytest.mark.parametrize("hot, paired", [(10_000, 1 << 31), (20, 1 << 31), (10_000, 0), (5, 0)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, hot, paired):
+    monkeypatch.setattr(simhash_dedup, "PAIRED", paired)
+    monkeypatch.setattr(simhash_dedup, "HOT", hot)
     r = random.Random(4)
     centre = r.getrandbits(64)
     fps = [r.getrandbits(64) for _ in range(60)]
@@ -527,6 +690,19 @@ def test_pairs_at_the_threshold_meet():
     assert pairs == 300 and missed <= 1
 
 
+def test_meeting_in_a_key_links_what_is_close():
+    r = np.random.default_rng(7)
+    for _ in range(30):
+        key = np.sort(r.integers(0, 12, 90))
+        base = r.integers(0, 1 << 63, (4, 2), dtype=np.uint64)
+        h = base[r.integers(0, 4, 90)] ^ (np.uint64(1) << r.integers(0, 64, (90, 2)).astype(np.uint64))
+        i, j = fuzzy_dedup.met(key, h)
+        close = np.bitwise_count(h[:, None] ^ h[None]).sum(-1) <= fuzzy_dedup.RADIUS
+        assert (key[i] == key[j]).all()
+        x, y = np.nonzero(close & (key[:, None] == key[None]))
+        assert (fuzzy_dedup.least_of(90, i, j) == fuzzy_dedup.least_of(90, x, y)).all()
+
+
 def test_similar_pairs_are_exact():
     r = random.Random(6)
     for _ in range(20):
@@ -590,6 +766,54 @@ def test_templates():
         license_scan.Automaton.compile("x", "a [[b")
 
 
+def test_whole_licenses():
+    s = license_scan.Scanner()
+    whole = dict(license_scan.templates())
+    plain = lambda t: re.sub(r"\{\{\d+\}\}", "some name", re.sub(r"\[\[|\]\]", "", t))
+    assert {"apache-2", "bsd-3", "gpl-2", "gpl-3", "isc", "lgpl-2.1", "mit", "mpl-2"} <= set(whole)
+    for name, text in license_scan.templates()[len(license_scan.NOTICES) :]:
+        for given in (plain(text), plain(text).upper(), re.sub(r"\[\[[^\[\]]*\]\]", "", text).replace("]]", "").replace("[[", "").replace("{{", "").replace("}}", "")):
+            n, _, found = s.scan(f"Some words first. {given}\nAnd some after.")
+            assert max(found, key=lambda r: r[3])[2] in (name, "bsd-2" if name == "bsd-3" else name), name
+        words = plain(text).split()
+        mandatory = [i for i, w in enumerate(words) if len(w) > 8 and w.isalpha()]
+        words[mandatory[len(mandatory) // 2]] = "otherwise"
+        assert not any(r[2] == name and r[3] > 90 for r in s.scan(" ".join(words))[2]), name
+
+
+def test_regions_against_brute_force():
+    """An automaton accepts from each place what a regular expression made of the template does."""
+    r = random.Random(12)
+    vocabulary = list("abcd")
+
+    def template(depth: int) -> tuple[str, str]:
+        parts, pattern = [], ""
+        for _ in range(r.randrange(1, 4)):
+            kind = r.random()
+            if kind < 0.55 or depth > 1:
+                w = r.choice(vocabulary)
+                parts.append(w)
+                pattern += f"{w} "
+            elif kind < 0.75:
+                n = r.randrange(1, 3)
+                parts.append(f"{{{{{n}}}}}")
+                pattern += rf"(?:\w+ ){{0,{n}}}"
+            else:
+                t, p = template(depth + 1)
+                parts.append(f"[[{t}]]")
+                pattern += f"(?:{p})?"
+        return " ".join(parts), pattern
+
+    for _ in range(300):
+        t, pattern = template(0)
+        t, pattern = f"a {t}", f"a {pattern}"
+        auto = license_scan.Automaton.compile("x", t)
+        words = r.choices(vocabulary, k=12)
+        for i in range(12):
+            ends = [j for j in range(i, 13) if re.fullmatch(pattern, "".join(f"{w} " for w in words[i:j]))]
+            assert auto.match([w.encode() for w in words], i) == (max(ends) if ends else None), (t, words, i)
+
+
 def test_license_query(spark, corpus):
     rows = {r["doc_id"]: r for r in registry.op8_license_scan(spark, "/root/testdata/sf0.01").collect()}
     for d in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect():
@@ -696,7 +920,7 @@ def brute_lines(rows):
 def test_line_dedup_against_brute_force(spark, corpus):
     r = random.Random(0)
     rows = [(i, "\n".join(r.choice("abc") for _ in range(r.randrange(9)))) for i in range(60)] + [(100, None), (None, "a\nb\na\nb"), (3, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("clash")).withColumn("pos", F.lit(1)).withColumn("h1", F.lit(2)).withColumn("runs", F.lit(3))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("clash")).withColumn("pos", F.lit(1)).withColumn("h1", F.lit(2)).withColumn("runs", F.lit(3)).withColumn("__l", F.lit(4)).withColumn("__dk", F.lit(5)).withColumn("d", F.lit(6))
     want = brute_lines(rows)
     out = line_dedup.dedup_lines(df).collect()
     assert len(out) == len(rows)
