@@ -7,6 +7,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 REPO = Path(__file__).parent.parent
 
 
@@ -17,8 +19,11 @@ def test_entry_runs(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_import_without_the_corpus_operators(tmp_path):
-    for p in ("__spark_entry__.py", "utterframe"):
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_import_without_the_corpus_operators(tmp_path, pipeline):
+    for p in ("__spark_entry__.py", "utterframe", *["corpus_pipeline.py"] * pipeline):
+        if not (REPO / p).exists():
+            continue
         (shutil.copytree if (REPO / p).is_dir() else shutil.copy)(REPO / p, tmp_path / p)
     shutil.rmtree(tmp_path / "utterframe" / "llm", ignore_errors=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 80 and not any(n.startswith('op1') for n in q) and set(e.oracle_sql()) <= set(q)"

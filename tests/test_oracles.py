@@ -32,6 +32,8 @@ def plain(v):
 def test_query_matches_sql(spark, duck, name):
     df = catalogue.queries()[name](spark, SF)
     cols = sorted(df.columns)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
     got = sorted(tuple(plain(r[c]) for c in cols) for r in df.collect())
     r = duck.execute(catalogue.oracle_sql()[name])
     names = [d[0] for d in r.description]

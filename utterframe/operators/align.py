@@ -15,18 +15,17 @@ from utterframe.operators.sequence import islands, order
 def lcs_missing(expected: list[str], actual: list[str]) -> list[int]:
     """Places of ``expected`` outside a longest common subsequence; of equal ways back, a word of ``actual`` is dropped first.
 
-    Common ends are stripped first, so the table covers only what lies between.  Its rows are computed
-    as vectors; every so many of them are kept, and the way back computes those between again, so that
-    memory grows with the square root of the table and not with the table.
+    The way back begins at the end, so a common end is matched as it stands and left out of the table
+    (a common beginning is not: an earlier word may go in place of an equal later one).  Rows of the
+    table are computed as vectors; every so many of them are kept, and the way back computes those
+    between again, so that memory grows with the square root of the table and not with the table.
     """
-    a, b = 0, 0
-    while a < min(len(expected), len(actual)) and expected[a] == actual[a]:
-        a += 1
-    while b < min(len(expected), len(actual)) - a and expected[-1 - b] == actual[-1 - b]:
+    b = 0
+    while b < min(len(expected), len(actual)) and expected[-1 - b] == actual[-1 - b]:
         b += 1
-    x, y = expected[a : len(expected) - b], actual[a : len(actual) - b]
+    x, y = expected[: len(expected) - b], actual[: len(actual) - b]
     if not x or not y:
-        return list(range(a, a + len(x)))
+        return list(range(len(x)))
     number: dict[str, int] = {}
     xs = np.array([number.setdefault(w, len(number)) for w in x])
     ys = np.array([number.setdefault(w, len(number)) for w in y])
@@ -53,10 +52,10 @@ def lcs_missing(expected: list[str], actual: list[str]) -> list[int]:
             i, j = i - 1, j - 1
         elif part[i - 1 - base][j] > part[i - base][j - 1]:
             i -= 1
-            out.append(a + i)
+            out.append(i)
         else:
             j -= 1
-    return sorted(out + [a + k for k in range(i)])
+    return sorted(out + list(range(i)))
 
 
 def _renamed(df: DataFrame, *cols: str) -> DataFrame:

@@ -164,15 +164,8 @@ def merge_gold(missed: DataFrame, restored: DataFrame) -> DataFrame:
     return first.join(expected, at, "left").join(wrong, at, "left").select(*at, "speaker", zero("n_expected"), zero("n_false"))
 
 
-def common_substring(a: str, b: str) -> Column:
-    """Length of the longest common substring of two short texts (quadratic in the shorter)."""
-    return F.expr(
-        f"coalesce(array_max(transform(sequence(1, greatest(length({a}), 1)), i -> coalesce(array_max(transform(sequence(1, greatest(length({a}) - i + 1, 1)), n -> if(n <= length({a}) - i + 1 and contains({b}, substr({a}, i, n)), n, 0))), 0))), 0)"
-    )
-
-
 def common_length(a: str, b: str) -> int:
-    """T1 for texts of any length: one row of the table of common suffixes at a time."""
+    """Length of the longest common substring of texts of any length: one row of the table of common suffixes at a time."""
     x, y = (np.frombuffer(t.encode("utf-32-le"), "<u4") for t in (a, b))
     if len(x) > len(y):
         x, y = y, x
@@ -195,8 +188,8 @@ def with_common(pairs: DataFrame, a: str, b: str, out: str) -> DataFrame:
     return pairs.mapInArrow(run, T.StructType([*pairs.schema.fields, T.StructField(out, T.LongType())]))
 
 
-def match_ladder(a: str, b: str, common: Column | None = None) -> Column:
-    """T4: exact, trimmed, contained, or half in common; else none."""
+def match_ladder(a: str, b: str, common: Column) -> Column:
+    """T4: exact, trimmed, contained, or half in common (``common``: T1); else none."""
     t = lambda x: f"regexp_replace(regexp_replace({x}, '^[[:punct:][:space:]]+', ''), '[[:punct:][:space:]]+$', '')".replace("[:punct:]", "\\\\p{Punct}").replace("[:space:]", "\\\\s")
-    half = 2 * (common_substring(a, b) if common is None else common) >= F.greatest(F.least(F.length(a), F.length(b)), F.lit(1))
+    half = 2 * common >= F.greatest(F.least(F.length(a), F.length(b)), F.lit(1))
     return F.when(F.col(a) == F.col(b), "exact").when(F.expr(f"{t(a)} = {t(b)}"), "trimmed").when(F.contains(a, F.col(b)) | F.contains(b, F.col(a)), "contained").when(half, "common").otherwise("none")

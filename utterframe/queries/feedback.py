@@ -426,27 +426,27 @@ def volume_envelope(spark, sf_dir):
 
 
 T4 = TL + """, n AS (SELECT rec_id, sent_idx, text AS a, lead(text) OVER (PARTITION BY rec_id ORDER BY sent_idx) AS b FROM s),
-c AS (SELECT *, coalesce(list_max(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(a) - i + 2), lambda k: CASE WHEN contains(b, substr(a, i, k)) THEN k ELSE 0 END)))), 0) AS l FROM n WHERE b IS NOT NULL AND length(a) <= 24)
+c AS (SELECT *, coalesce(list_max(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(a) - i + 2), lambda k: CASE WHEN contains(b, substr(a, i, k)) THEN k ELSE 0 END)))), 0) AS l FROM n WHERE b IS NOT NULL)
 SELECT rec_id, sent_idx, CASE WHEN a = b THEN 'exact' WHEN contains(a, b) OR contains(b, a) THEN 'contained' WHEN 2 * l >= least(length(a), length(b)) THEN 'common' ELSE 'none' END AS match, l::BIGINT AS n_common FROM c"""
 
 
 @query(T4)
 def text_match_ladder(spark, sf_dir):
-    # short sentences against the one after them
-    s = sequence.sentences(words(spark, sf_dir)).select("rec_id", "sent_idx", F.col("text").alias("a"), F.lead("text").over(sequence.order("sent_idx")).alias("b"))
-    s = s.filter("b is not null and length(a) <= 24")
-    return s.select("rec_id", "sent_idx", evaluate.match_ladder("a", "b").alias("match"), evaluate.common_substring("a", "b").cast("bigint").alias("n_common"))
-
-
-@query(None)
-def text_match_ladder_all(spark, sf_dir):
-    # sentences of any length, which the SQL of text_match_ladder leaves out
+    # each sentence against the one after it
     s = sequence.sentences(words(spark, sf_dir)).select("rec_id", "sent_idx", F.col("text").alias("a"), F.lead("text").over(sequence.order("sent_idx")).alias("b"))
     s = evaluate.with_common(s.filter("b is not null"), "a", "b", "n_common")
     return s.select("rec_id", "sent_idx", evaluate.match_ladder("a", "b", F.col("n_common")).alias("match"), "n_common")
 
 
-@query(None)
+# what is kept is a part of what was there, so of the longest common words the way back takes the last places: one fold from the end
+LCS = MERGED + KEPT + """, xs AS (SELECT rec_id, list({'i': word_idx, 't': tok} ORDER BY word_idx DESC) AS xs FROM w GROUP BY rec_id), ys AS (SELECT rec_id, list(tok ORDER BY word_idx) AS ys FROM kw GROUP BY rec_id),
+lf AS (SELECT rec_id, list_reduce(xs, lambda a, x: CASE WHEN a.j > 0 AND x.t = coalesce(ys, [])[a.j] THEN {'j': a.j - 1, 'm': a.m} ELSE {'j': a.j, 'm': list_append(a.m, x.i)} END, {'j': len(coalesce(ys, [])), 'm': []::BIGINT[]}).m AS m FROM xs LEFT JOIN ys USING (rec_id)),
+ms AS (SELECT w.* FROM (SELECT rec_id, unnest(m) AS word_idx FROM lf) u JOIN w USING (rec_id, word_idx)),
+mi AS (SELECT *, coalesce(start_ms - lag(end_ms) OVER (PARTITION BY rec_id ORDER BY word_idx) >= 1000, false)::INT AS b FROM ms), mr AS (SELECT *, sum(b) OVER (PARTITION BY rec_id ORDER BY word_idx) AS run FROM mi)
+SELECT rec_id, min(word_idx) AS w_from, max(word_idx) AS w_to, count(*) AS n_words, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM mr GROUP BY rec_id, run HAVING count(*) >= 3"""
+
+
+@query(LCS)
 def lcs_missing_runs(spark, sf_dir):
     w = stored(spark, sf_dir)
     return align.missing_runs(align.missing_words(w, intervals.kept_words(w, intervals.merge(cuts(w)))))
