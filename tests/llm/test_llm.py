@@ -362,6 +362,21 @@ def test_urls(spark):
     assert {r["verdict"] for r in url_filter.judge_urls(df, url_filter.rule_table(spark, [("none", "/", "block")]), default="block").collect()} == {"block"}
 
 
+def test_urls_with_odd_characters(spark):
+    """Host and path by the contract, character by character, whatever the characters are."""
+    r = random.Random(2)
+    urls = ["".join(r.choice("abZÄ.:/?#@ \n\r\t\0é😀") for _ in range(r.randrange(0, 14))) for _ in range(400)]
+    urls = [u if i % 3 else f"x://{u}" for i, u in enumerate(urls)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for x in url_filter.judge_urls(df, url_filter.rule_table(spark)).collect():
+        _, found, rest = urls[x["page_id"]].partition("://")
+        rest = rest if found else ""
+        ends = [i for i, c in enumerate(rest) if c in "/?#"]
+        host = rest[: ends[0]] if ends else rest
+        path = re.split(r"[?#]", rest[len(host) :])[0]
+        assert (x["host"], x["path"]) == ("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), path), urls[x["page_id"]]
+
+
 def test_urls_beyond_broadcast(spark, monkeypatch):
     df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     want = {tuple(r) for r in url_filter.judge_urls(df, url_filter.rule_table(spark)).collect()}
@@ -900,8 +915,10 @@ def test_ranks_give_the_tokenizers_ids(spark):
     texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r["text"]]
     r = random.Random(0)
     texts += ["".join(r.choice("aé \n\t'😀1.sS中") for _ in range(60)) for _ in range(2000)] + ["a" * 20000, " " * 20000, "\n" * 3 + "x\r\n", "\u2028\u00a0 \u3000"]
-    for t in texts:
-        assert fast(t) == tok.encode(t, add_special_tokens=False).ids
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts += ["".join(f"a{c} {c}1" for c in points[i : i + 4096]) for i in range(0, len(points), 4096)]
+    for t, want in zip(texts, tok.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert fast(t) == want.ids
 
 
 # op10
