@@ -984,6 +984,10 @@ def test_pipeline_on_odd_documents(spark, corpus, tmp_path):
 
     spark.createDataFrame([(1, "x y z")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     step = corpus.select("doc_id", "text", "lang", "source", "n_chars")
+    odd = step.drop("n_chars").withColumns({"n_lines": F.lit(7), "h": F.lit(8), "dk": F.lit(9), "a.b": F.lit(1)})
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        out = stage(spark, odd, str(tmp_path))
+        assert out.columns == odd.columns and {(r["n_lines"], r["h"], r["dk"]) for r in out.collect()} == {(7, 8, 9)}
     none = empty(step)
     for _, stage in corpus_pipeline.STAGES:
         step, none = stage(spark, step, str(tmp_path)), stage(spark, none, str(tmp_path))
