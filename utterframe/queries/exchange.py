@@ -86,6 +86,27 @@ def feedback_files(spark, sf_dir):
     return readers.read_feedback(spark, path, "part-*").select(F.from_json("body", "key bigint, n bigint").alias("x")).select("x.*")
 
 
+@query(
+    """SELECT event_id AS key, event_id AS number, event_type AS name, '' AS description, CASE event_id % 5 WHEN 0 THEN 'a,' || event_type ELSE '' END AS theme, CASE event_id % 5 WHEN 1 THEN NULL ELSE 'artist ' || user_id END AS artist, user_id AS n_tracks, CASE event_id % 5 WHEN 0 THEN 'big' ELSE 'small' END AS artwork
+FROM events WHERE event_id % 5 IN (0, 1, 2)"""
+)
+def lookup_profiles(spark, sf_dir):
+    # Answers with all fields, with few, with a result of other names, without a result, and no JSON at all
+    kind, none = F.col("event_id") % 5, F.lit(None).cast("string")
+    of = lambda name, artist, art, genres: F.struct(F.col("event_type").alias(name), artist.alias("artistName"), F.col("user_id").alias("trackCount"), F.lit("small").alias("artworkUrl100"), art.alias("artworkUrl600"), genres.alias("genres"))
+    artist, genres = F.concat(F.lit("artist "), "user_id"), F.array(F.lit("a"), "event_type")
+    body = (
+        F.when(kind == 0, F.to_json(F.struct(F.array(of("collectionName", artist, F.lit("big"), genres)).alias("results"))))
+        .when(kind == 1, F.to_json(F.struct(F.array(of("trackName", none, none, F.lit(None).cast("array<string>"))).alias("results"))))
+        .when(kind == 2, F.to_json(F.struct(F.array(of("trackName", artist, F.lit(""), F.array().cast("array<string>"))).alias("results"))))
+        .when(kind == 3, '{"resultCount": 0, "results": []}')
+        .otherwise("<html>")
+    )
+    answers = table(spark, sf_dir, "events").select(F.col("event_id").alias("key"), F.concat(F.lit("https://example.org/show/id"), "event_id", F.lit("?x=1")).alias("url"), body.alias("body"))
+    p = readers.lookup_profiles(answers)
+    return p.select("key", "number", "name", "description", F.array_join("theme", ",").alias("theme"), "artist", "n_tracks", "artwork")
+
+
 @query("SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL ELSE round(value)::BIGINT END AS score FROM events")
 def salvaged_json(spark, sf_dir):
     # An answer that is JSON, holds a fenced block, is wrapped in prose, or has none

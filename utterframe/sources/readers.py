@@ -120,6 +120,27 @@ def salvage_json(text: Column, schema: str) -> Column:
     return F.coalesce(*[F.when(F.when(F.trim(x).startswith("{"), F.get_json_object(x, "$")).isNotNull(), t) for x, t in zip((text, fenced, braces), tries, strict=True)])
 
 
+PROFILE = "results array<struct<collectionName: string, trackName: string, description: string, genres: array<string>, artistName: string, feedUrl: string, trackCount: bigint, artworkUrl600: string, artworkUrl100: string>>"
+
+
+def lookup_profiles(answers: DataFrame) -> DataFrame:
+    """Answers ``(key, url, body)`` of a look-up service as profiles: the first result's name, description, themes and links, and the number in the url.  Answers without a result are left out."""
+    first = answers.withColumn("r", F.get(F.from_json("body", PROFILE)["results"], 0)).filter("r is not null")
+    some = lambda *cols: F.coalesce(*[F.nullif(F.col(f"r.{c}"), F.lit("")) for c in cols])
+    number = F.regexp_extract("url", r"id(\d+)", 1)
+    return first.select(
+        "key",
+        F.when(number != "", number.cast("bigint")).alias("number"),
+        F.coalesce(some("collectionName", "trackName"), F.lit("")).alias("name"),
+        F.coalesce(some("description"), F.lit("")).alias("description"),
+        F.coalesce("r.genres", F.array().cast("array<string>")).alias("theme"),
+        F.col("r.artistName").alias("artist"),
+        F.col("r.feedUrl").alias("feed_url"),
+        F.col("r.trackCount").alias("n_tracks"),
+        some("artworkUrl600", "artworkUrl100").alias("artwork"),
+    )
+
+
 def page_metadata(pages: DataFrame) -> DataFrame:
     """Platform by host, title (og:title, else <title>), description (og:description, else the meta description), numeric id in the url."""
     one = lambda pattern: F.nullif(F.regexp_extract("html", pattern, 1), F.lit(""))
