@@ -1,13 +1,14 @@
 """Language-model scoring by a hidden Markov model.
 
 Baum-Welch: each partition runs the scaled forward-backward recursion over its texts, expected
-counts are summed across partitions, and the driver re-estimates the model, which has a fixed size,
-until a round raises the training likelihood by less than RISE.
+counts are summed across partitions, and the driver re-estimates the model, which has a fixed size.
+Rounds over shares of the texts come first, then over all, each until the training likelihood stands
+still.
 The EMISSIONS most frequent training tokens have emission probabilities of their own; all others
 share one class, inside which a token has its smoothed relative frequency.  The scaled forward
 recursion gives the exact likelihood of a whole text.
 
-Token counts cover all training texts and stay distributed.  The most frequent ones, up to
+Token counts cover all training texts and stay distributed.  The most frequent ones, about
 HEAD of them, are broadcast; the others are looked up by an equi-join on the token, where the hot
 tokens are already gone.
 """
@@ -18,7 +19,8 @@ import logging
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import log10
+from itertools import count
+from math import ceil, log10
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +35,16 @@ log = logging.getLogger(__name__)
 STATES = 8
 EMISSIONS = 8192
 HEAD = 200_000
-#: The head is whole classes of frequency, so many to a doubling: found by counting, without a global sort.
+#: Frequencies are first counted by class, so many to a doubling, to find the head without a global sort.
 SIZES_AN_OCTAVE = 64
-#: Training ends with the round that raised the log10 likelihood of a training token by less.
-RISE = 1e-4
+#: Shares of the training texts, by a hash of the id, that rounds of Baum-Welch run over in turn; the last is all.  Training goes on to
+#: the next after so many rounds, one upon the other, that each raised the log10 likelihood of a token by less: it rises slowly at first.
+SHARES = ((1 / 32, 3, 2e-4), (1 / 8, 2, 5e-4), (1.0, 1, 1e-3))
 SEED = 7
 #: Added to expected counts, so that no probability is zero.
 SMOOTH = 0.01
-#: Tokens whose forward variables a worker holds at once.
+#: Tokens whose forward variables a worker holds at once; of a longer text it keeps those at every so many tokens and computes the rest again.
 BATCH_TOKENS = 1_000_000
-#: In training, longer texts are cut into sequences of this length; scores are of whole texts.
-TRAIN_LENGTH = 4096
 #: The end of a text; a word is never empty.
 END = b""
 COUNTED_AT_ONCE = 250_000
@@ -65,6 +66,7 @@ class Model:
     move: np.ndarray  # (states, states)
     emit: np.ndarray  # (classes, states); each column sums to 1
     rounds: int = 0
+    frequency: np.ndarray | None = None  # of the classes, which the start is made of
 
     @staticmethod
     def initial(frequency: np.ndarray, states: int = STATES, seed: int = SEED) -> Model:
@@ -72,7 +74,7 @@ class Model:
         rng = np.random.default_rng(seed)
         emit = (frequency[:, None] + 1e-9) * rng.exponential(1, (len(frequency), states)) ** 3
         move = rng.uniform(0.5, 1.5, (states, states))
-        return Model(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+        return Model(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), 0, frequency)
 
 
 class Batch:
@@ -91,58 +93,69 @@ class Batch:
         self.codes = np.empty(len(flat), dtype=np.int64)
         self.codes[self.at[time] + np.repeat(np.arange(len(lengths)), lengths)] = flat
 
-    def forward(self, m: Model, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-        """log10 likelihood of each sequence as given; with ``keep`` the scaled variables and the scales."""
-        total = np.zeros(self.n)
-        alphas = np.empty((len(self.codes), len(m.start))) if keep else None
-        scales = np.empty(len(self.codes)) if keep else None
-        a = None
-        for t, n in enumerate(self.alive.tolist()):
-            lo = self.at[t]
-            e = m.emit[self.codes[lo : lo + n]]
+    def _forward(self, m: Model, first: int, last: int, a: np.ndarray | None, keep: bool) -> tuple:
+        """From time ``first`` to ``last``, after the variables ``a``: log10 likelihoods, the last variables, and with ``keep`` all variables and scales."""
+        total, lo = np.zeros(self.n), self.at[first]
+        kept = int(self.at[last] - lo) if keep else 0
+        alphas, scales = np.empty((kept, len(m.start)), m.emit.dtype), np.empty(kept, m.emit.dtype)
+        for t in range(first, last):
+            n, at = int(self.alive[t]), int(self.at[t])
+            e = m.emit[self.codes[at : at + n]]
             a = e * m.start if t == 0 else (a[:n] @ m.move) * e
             s = a.sum(axis=1)
             a /= s[:, None]
             total[:n] += np.log10(s)
             if keep:
-                alphas[lo : lo + n], scales[lo : lo + n] = a, s
+                alphas[at - lo : at - lo + n], scales[at - lo : at - lo + n] = a, s
+        return total, a, alphas, scales
+
+    def forward(self, m: Model) -> np.ndarray:
+        """log10 likelihood of each sequence, as given."""
         out = np.empty(self.n)
-        out[self.order] = total
-        return out, alphas, scales
+        out[self.order] = self._forward(m, 0, len(self.alive), None, False)[0]
+        return out
 
     def expected(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of starts, moves and emissions."""
-        states = len(m.start)
-        total, gamma, scales = self.forward(m, keep=True)
-        self.likelihood = total.sum()
-        moves, b = np.zeros((states, states)), np.ones((0, states))
-        for t in range(len(self.alive) - 1, -1, -1):
-            n, lo = int(self.alive[t]), self.at[t]
-            beta = np.ones((n, states))
-            if len(b):
-                beta[: len(b)] = b @ m.move.T
-                moves += gamma[lo : lo + len(b)].T @ b
-            here = slice(lo, lo + n)
-            b = m.emit[self.codes[here]] * beta / scales[here, None]
-            gamma[here] *= beta
-        starts = gamma[: self.alive[0]].sum(axis=0) if self.n else np.zeros(states)
-        emits = np.stack([np.bincount(self.codes, gamma[:, k], minlength=len(m.emit)) for k in range(states)], axis=1)
+        """Expected counts of starts, moves and emissions over whole sequences; the log10 likelihood of all is left in ``likelihood``."""
+        states, end = len(m.start), len(self.alive)
+        cuts, entering, a = [0], {0: None}, None
+        while (to := int(np.searchsorted(self.at, self.at[cuts[-1]] + BATCH_TOKENS, side="right")) - 1) < end:
+            to = max(to, cuts[-1] + 1)
+            a = entering[to] = self._forward(m, cuts[-1], to, a, False)[1]
+            cuts.append(to)
+        self.likelihood, starts, moves, emits = 0.0, np.zeros(states), np.zeros((states, states)), np.zeros((len(m.emit), states))
+        b = np.ones((0, states), m.emit.dtype)
+        for first, last in zip(reversed(cuts), reversed([*cuts[1:], end]), strict=True):
+            total, _, gamma, scales = self._forward(m, first, last, entering[first], True)
+            self.likelihood += float(total.sum())
+            base = int(self.at[first])
+            for t in range(last - 1, first - 1, -1):
+                n, lo = int(self.alive[t]), int(self.at[t]) - base
+                beta = np.ones((n, states), m.emit.dtype)
+                if len(b):
+                    beta[: len(b)] = b @ m.move.T
+                    moves += gamma[lo : lo + len(b)].T @ b
+                here = slice(lo, lo + n)
+                b = m.emit[self.codes[base + lo : base + lo + n]] * beta / scales[here, None]
+                gamma[here] *= beta
+            if first == 0 and self.n:
+                starts += gamma[: self.alive[0]].sum(axis=0)
+            codes = self.codes[base : base + len(gamma)]
+            emits += np.stack([np.bincount(codes, gamma[:, k], minlength=len(m.emit)) for k in range(states)], axis=1)
         return starts, moves * m.move, emits
 
 
-def grouped(batches: Iterator[pa.RecordBatch], column: int, cut: int | None = None) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Rows and their codes, about BATCH_TOKENS at once."""
+def grouped(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Rows and their codes, about BATCH_TOKENS at once, texts of like length together."""
     for batch in batches:
-        codes = [np.frombuffer(x.as_py(), dtype="<u2") for x in batch.column(column)]
+        batch = batch.take(pa.array(np.argsort([-len(x.as_buffer()) for x in batch.column(column)], kind="stable"), pa.int64()))
+        codes = [np.frombuffer(x.as_buffer(), dtype="<u2") for x in batch.column(column)]
         at = 0
         while at < len(codes):
             end, size = at, 0
             while end < len(codes) and (end == at or size + len(codes[end]) <= BATCH_TOKENS):
                 size, end = size + len(codes[end]), end + 1
-            part = codes[at:end]
-            if cut:
-                part = [c[i : i + cut] for c in part for i in range(0, len(c), cut)]
-            yield batch.slice(at, end - at), part
+            yield batch.slice(at, end - at), codes[at:end]
             at = end
 
 
@@ -207,36 +220,77 @@ def encode(docs: DataFrame, head: dict[bytes, tuple[int, int]], classes: int, id
 
 
 def train(encoded: DataFrame, model: Model, rounds: int | None = None) -> Model:
-    """Baum-Welch over all rows of ``encoded`` until the likelihood stands still, or for as many rounds as asked; each round sums expected counts across partitions."""
+    """Baum-Welch on ``encoded(id, codes)``: over each of SHARES until the likelihood stands still, or over all rows for as many rounds as asked.
+
+    Each round sums expected counts over whole texts across partitions.
+    """
     states, classes = len(model.start), len(model.emit)
     size = states + states * states + classes * states
-    before = -np.inf
-    while rounds is None or model.rounds < rounds:
-        shared = encoded.sparkSession.sparkContext.broadcast(model)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            m, sums = shared.value, np.zeros(size + 1)
-            for _, part in grouped(batches, 0, TRAIN_LENGTH):
-                b = Batch(part)
-                sums[:size] += np.concatenate([x.ravel() for x in b.expected(m)])
-                sums[size] += b.likelihood
-            full = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(sums[full])], ["i", "v"])
-
-        found = encoded.select("codes").mapInArrow(run, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # at most ``size`` + 1 rows
-        sums = np.zeros(size + 1)
-        sums[found.column("i").to_numpy()] = found.column("v").to_numpy()
-        start, move, emit = sums[:states], sums[states : states + states * states].reshape(states, states), sums[states + states * states : size].reshape(classes, states)
-        mean = sums[size] / max(1.0, emit.sum())
-        start, move, emit = start + SMOOTH, move + SMOOTH, emit + SMOOTH
-        model = Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), model.rounds + 1)
-        if rounds is None and mean - before < RISE:
-            break
-        before = mean
-    log.info("Baum-Welch: %d rounds, log10 likelihood of a training token %.5f before the last", model.rounds, mean if model.rounds else np.nan)
+    hashed = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 20))
+    for share, patience, rise in SHARES if rounds is None else ((1.0, 1, 0.0),):
+        some, before, still = encoded.select("codes"), -np.inf, 0
+        if share < 1:  # laid out by itself, so that a round reads the share and not all
+            some = encoded.filter(hashed < int(share * (1 << 20))).select("codes")
+            some = durable(some.coalesce(max(1, ceil(some.rdd.getNumPartitions() * share))))
+        for done in count(1):
+            if rounds is not None and done > rounds:
+                break
+            shared = encoded.sparkSession.sparkContext.broadcast(Model(*(x.astype(np.float32) for x in (model.start, model.move, model.emit))))
+
+            def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                m, sums = shared.value, np.zeros(size + 1)
+                for _, part in grouped(batches, 0):
+                    b = Batch(part)
+                    sums[:size] += np.concatenate([x.ravel() for x in b.expected(m)])
+                    sums[size] += b.likelihood
+                full = np.flatnonzero(sums)
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(sums[full])], ["i", "v"])
+
+            found = some.mapInArrow(run, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # at most ``size`` + 1 rows
+            sums = np.zeros(size + 1)
+            sums[found.column("i").to_numpy()] = found.column("v").to_numpy()
+            start, move, emit = sums[:states], sums[states : states + states * states].reshape(states, states), sums[states + states * states : size].reshape(classes, states)
+            tokens_read = emit.sum()
+            if not tokens_read:
+                break
+            mean = sums[size] / tokens_read
+            # a share may lack tokens that others have: the start's frequencies count as one token in a hundred
+            lacking = 0.0 if share == 1 else model.frequency[:, None] * tokens_read / states / 100
+            start, move, emit = start + SMOOTH, move + SMOOTH, emit + SMOOTH + lacking
+            model = Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), model.rounds + 1, model.frequency)
+            log.info("Baum-Welch over %.4f of the texts: log10 likelihood of a token %.5f before round %d", share, mean, model.rounds)
+            still = still + 1 if mean - before < rise else 0
+            if rounds is None and still == patience:
+                break
+            before = mean
     return model
 
 
+def most_frequent(words: DataFrame, most: int) -> pa.Table:
+    """About ``most`` rows of ``words(token, n)`` with the largest ``n``, all of them if there are fewer; of equal ones those with smaller hashes.
+
+    Found by counting: classes of frequency, then the frequencies of the class at the border, then
+    of the frequency at the border the tokens whose hash is small enough.
+    """
+    sized = words.withColumn("size", F.floor(F.log2("n") * SIZES_AN_OCTAVE))
+
+    def border(counted: DataFrame, room: int) -> tuple[int | None, int, int]:
+        """The value from which on groups fit into ``room``, what room is left, and the rows of the next smaller value's group."""
+        for r in counted.orderBy(F.desc("x")).collect():  # some thousand classes, or the frequencies of one
+            if r["c"] > room:
+                return r["x"], room, r["c"]
+            room -= r["c"]
+        return None, room, 0
+
+    size, room, _ = border(sized.groupBy(F.col("size").alias("x")).agg(F.count("*").alias("c")), most)
+    if size is None:
+        taken = sized
+    else:
+        n, room, c = border(sized.filter(F.col("size") == size).groupBy(F.col("n").alias("x")).agg(F.count("*").alias("c")), room)
+        taken = sized.filter((F.col("n") > n) | ((F.col("n") == n) & (F.pmod(F.xxhash64("token"), F.lit(1 << 62)) < (1 << 62) * room // c)))
+    return taken.select("token", "n").toArrow().sort_by([("n", "descending"), ("token", "ascending")])
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, emissions: int = EMISSIONS, head_size: int = HEAD, rounds: int | None = None) -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, a row for each row of ``docs``.
 
@@ -250,14 +304,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     size = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n_all, v_all = size["n"] or 0, size["v"]
     ends = counts.filter(F.col("token") == "").agg(F.sum("n").alias("n")).first()["n"] or 0
-    words = counts.filter(F.col("token") != "").withColumn("size", F.floor(F.log2("n") * SIZES_AN_OCTAVE))
-    least, taken = None, 0
-    for r in words.groupBy("size").agg(F.count("*").alias("c")).orderBy(F.desc("size")).collect():  # some thousand sizes at most
-        if taken + r["c"] >= head_size:
-            break
-        least, taken = r["size"], taken + r["c"]
-    # fewer than head_size rows, as Arrow columns and not as a row object each; the end is always an emission of its own
-    top = words.filter(F.lit(False) if least is None else F.col("size") >= least).select("token", "n").toArrow().sort_by([("n", "descending"), ("token", "ascending")])
+    # as Arrow columns and not as a row object each; the end is always an emission of its own
+    top = most_frequent(counts.filter(F.col("token") != ""), max(emissions, head_size))
     numbers = [ends, *top.column("n").to_pylist()]
     head = {END: (0, ends)} | {w.encode(): (k, numbers[k]) for k, w in enumerate(top.column("token").to_pylist(), 1)}
     own = numbers[: min(emissions, 65534)]
@@ -276,7 +324,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for part, codes in grouped(batches, 4):
-            likelihood, _, _ = Batch(codes).forward(m)
+            likelihood = Batch(codes).forward(m)
             rare = np.array([np.count_nonzero(c == len(m.emit) - 1) for c in codes], dtype=np.int64)
             cols = [part.column(i) for i in (0, 1, 2, 3, 5, 6, 7)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(rare), pa.array(likelihood)], ["key", "id", "held_out", "n_tokens", "n_head", "head_sum", "rare_sum", "n_rare", "likelihood"])
