@@ -10,7 +10,7 @@ text shares a codeword with the other's with probability 0.55, so a pair is unse
 keys with probability 0.0002, and less the more alike the texts are.
 
 Texts that meet in a key and differ in few of 128 further SimHash bits are coarsely linked, by a
-star for each group of a key and not by its pairs.  Inside a coarse component every pair is then
+star for each group of a key and not by its pairs; the first tables' components spare the others most links.  Inside a coarse component every pair is then
 verified on the whole sets, in blocks of bounded size, which again leave as stars.
 """
 
@@ -38,6 +38,8 @@ SEGMENT = 23
 NEAREST = 2
 #: Segments of a key, the tables of keys that leave a pair at the threshold unseen with probability 0.0002, and the distinct texts up to which a key is that short.
 PLANS = ((2, 24, 1 << 32), (3, 47, 1 << 62))
+#: Tables that are looked at before the others.
+FIRST_TABLES = 3
 #: Of SKETCH bits, pairs at the threshold differ in 19 on average; more than RADIUS is 4.6 standard deviations off.
 SKETCH, RADIUS = 128, 38
 #: Texts of a key that are compared in one place; keys with more are dealt out in blocks of this size.
@@ -231,35 +233,52 @@ def dealt(rows: DataFrame, key: list[str], parts: str, by: str) -> DataFrame:
     return both.withColumn("key", F.xxhash64(*key, F.least("__block", "__other"), F.greatest("__block", "__other"))).drop("__block", "__other")
 
 
-def coarse_links(marked: DataFrame, width: int) -> DataFrame:
-    """``(u, v)`` between the distinct ``(h1, h2)`` of ``marked(h1, h2, found)``, as structs: connects all that meet in a key within RADIUS bits."""
-    schema = "key bigint, a1 bigint, a2 bigint, b1 bigint, b2 bigint"
+def coarse_links(marked: DataFrame, width: int, first: int, last: int) -> DataFrame:
+    """``(u, v)``: roots that texts ``marked(h1, h2, found, root)`` join which meet in a key of the tables ``first`` to ``last`` within RADIUS bits.
+
+    Texts of one root are connected already and give nothing.
+    """
+    schema, names = "key bigint, h1 bigint, h2 bigint, u bigint, v bigint", ["key", "h1", "h2", "u", "v"]
 
     def links(rows: list[np.ndarray]) -> pa.RecordBatch:
-        key, h = rows[0], np.stack(rows[1:], axis=1).view(np.uint64)
-        i, j = met(key, h)
-        cols = [h[i, 0], h[i, 1], h[j, 0], h[j, 1]]
-        return pa.RecordBatch.from_arrays([pa.nulls(len(i), pa.int64()), *(pa.array(c.view(np.int64)) for c in cols)], ["key", "a1", "a2", "b1", "b2"])
+        key, root = rows[0], rows[3]
+        i, j = met(key, np.stack(rows[1:3], axis=1).view(np.uint64))
+        new = root[i] != root[j]
+        pairs = np.unique(np.sort(np.stack([root[i][new], root[j][new]], axis=1), axis=1), axis=0)
+        none = pa.nulls(len(pairs), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names)
 
     def hot(rows: list[np.ndarray]) -> pa.RecordBatch:
-        none = pa.nulls(len(rows[0]), pa.int64())
-        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in rows), none, none], ["key", "a1", "a2", "b1", "b2"])
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in rows), pa.nulls(len(rows[0]), pa.int64())], names)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                key = keys(np.frombuffer(b"".join(part.column(2).to_pylist()), "<u2").reshape(part.num_rows, -1, NEAREST), width)
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(pa.array(np.repeat(part.column(c).to_numpy(), key.shape[1])) for c in (0, 1))], ["key", "h1", "h2"])
+                key = keys(np.frombuffer(b"".join(part.column(3).to_pylist()), "<u2").reshape(part.num_rows, -1, NEAREST), width)
+                key = key.reshape(part.num_rows, -1, NEAREST**width)[:, first:last].reshape(part.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(pa.array(np.repeat(part.column(c).to_numpy(), key.shape[1])) for c in range(3))], ["key", "h1", "h2", "root"])
 
-    at = marked.select("h1", "h2", "found").dropDuplicates().mapInArrow(spread, "key bigint, h1 bigint, h2 bigint")
+    at = marked.select("h1", "h2", "root", "found").mapInArrow(spread, "key bigint, h1 bigint, h2 bigint, root bigint")
     most = HOT
-    first = durable(at.repartition("key").sortWithinPartitions("key", "h1", "h2").mapInArrow(lambda b: whole_groups(b, most, links, hot), schema))
-    hots = first.filter("key is not null").select("key", F.col("a1").alias("h1"), F.col("a2").alias("h2"))
+    found = durable(at.repartition("key").sortWithinPartitions("key", "h1", "h2").mapInArrow(lambda b: whole_groups(b, most, links, hot), schema))
+    hots = found.filter("key is not null").select("key", "h1", "h2", F.col("u").alias("root"))
     parts = hots.groupBy("key").agg(F.ceil(F.count("*") / HOT).alias("parts"))
-    blocks = dealt(hots.join(parts, "key").withColumn("th", F.xxhash64("h1", "h2")), ["key"], "parts", "th").select("key", "h1", "h2")
+    blocks = dealt(hots.join(parts, "key").withColumn("th", F.xxhash64("h1", "h2")), ["key"], "parts", "th").select("key", "h1", "h2", "root")
     more = blocks.repartition("key").sortWithinPartitions("key", "h1", "h2").mapInArrow(lambda b: whole_groups(b, None, links), schema)
-    return first.filter("key is null").unionByName(more).select(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")).alias("u"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")).alias("v")).filter("u <> v").distinct()
+    return found.filter("key is null").unionByName(more).select("u", "v").distinct()
+
+
+def coarse_tree(signed: DataFrame, width: int, tables: int) -> DataFrame:
+    """``(node, root)`` over the numbers of the SimHashes of ``signed(h1, h2, found)``: what the tables coarsely link.
+
+    The first tables connect most of what belongs together; from the others come only links between
+    what is still apart, so that a large group does not give a link for each text and table.
+    """
+    marked = durable(signed.select("h1", "h2", "found").dropDuplicates().withColumn("s", F.xxhash64("h1", "h2")))
+    tree = durable(components(coarse_links(marked.withColumn("root", F.col("s")), width, 0, FIRST_TABLES)))
+    rest = coarse_links(roots(marked, "s", tree), width, FIRST_TABLES, tables)
+    return components(tree.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(rest))
 
 
 def similar_pairs(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -336,8 +355,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = durable(signatures(docs, width, tables, id_col, text_col))
     nodes = durable(signed.groupBy("node", "h1", "h2", "n").agg(F.min(least_id(signed)).alias("first"), F.min("th").alias("th")))
     # coarse components, over numbers of the SimHashes (equal ones are one, as are those that happen to share a number)
-    number = lambda c: F.xxhash64(f"{c}.h1", f"{c}.h2").alias(c)
-    coarse = roots(nodes.withColumn("s", F.struct("h1", "h2")).select("node", "first", "th", "n", number("s")), "s", components(coarse_links(signed, width).select(number("u"), number("v"))))
+    coarse = roots(nodes.withColumn("s", F.xxhash64("h1", "h2")).select("node", "first", "th", "n", "s"), "s", coarse_tree(signed, width, tables))
     crowd = coarse.groupBy("root").agg(F.count("*").alias("c")).filter("c > 1").select("root")
     members = durable(coarse.join(crowd, "root", "left_semi").select("root", "node", "th", "n"))
     tree = components(verified_links(members, _whole_sets(docs, members.select("th").distinct(), text_col)))
