@@ -748,6 +748,32 @@ def test_pipeline_joins_similar_texts(spark, monkeypatch, hot, block):
     assert kept == sorted(want) and len(want) < len(texts) - 20
 
 
+def test_forests_keep_every_connection(spark):
+    r = np.random.default_rng(9)
+    u, v = r.integers(0, 900, (2, 1000))
+    links = spark.createDataFrame([(int(a), int(b)) for a, b in zip(u, v)], "u long, v long")
+    want = fuzzy_dedup.least_of(900, u, v)
+    for tasks, most in ((1, 1 << 18), (3, 1 << 18), (2, 8)):
+        got = np.array([(x["u"], x["v"]) for x in fuzzy_dedup.forest(links, tasks, most).collect()])
+        assert (fuzzy_dedup.least_of(900, got[:, 0], got[:, 1]) == want).all()
+        assert most == 8 or len(got) <= tasks * 900
+    assert fuzzy_dedup.forest(links.filter("u < 0"), 2).count() == 0
+
+
+def test_a_large_group_gives_a_link_for_each_text(spark, monkeypatch):
+    sent, base = [], prose(100, 3).split()
+    r = random.Random(4)
+    texts = [" ".join(w if r.random() < 0.97 else "new" + w for w in base) for _ in range(120)]
+    given = lambda links: sent.append(links.count()) or common.components(links)
+    monkeypatch.setattr(fuzzy_dedup, "components", given)
+    monkeypatch.setattr(fuzzy_dedup, "BLOCK_TEXTS", 20)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {x["id"]: x["component"] for x in fuzzy_dedup.near_duplicates(docs).collect()}
+    root = brute_similar(texts)
+    assert all(found[i] == root.index(root[i]) for i in range(120))
+    assert len(sent) == 2 and all(30 < n < 120 for n in sent)
+
+
 def test_near_duplicates_edges(spark, corpus):
     out = simhash_dedup.near_duplicates(corpus).collect()
     assert len(out) == corpus.count()

@@ -53,6 +53,8 @@ CHUNK = 255
 COLUMNS = 2048
 #: Texts that are decoded at once.
 DECODED = 32
+#: Links of which a task keeps no more than a forest, and texts for each such task.
+FOREST, FOREST_TEXTS = 1 << 18, 1 << 20
 #: Bits of the filter that keeps texts without a coarse link out of the shuffle: this many for each that has one, and at most so many.
 FILTER_SHARE, FILTER_MOST = 16, 1 << 28
 
@@ -148,6 +150,38 @@ def least_of(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
+def thinned(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stars that connect what the links u to v connect: one for each group, at its smallest node."""
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    label = least_of(len(nodes), place[: len(u)], place[len(u) :])
+    tied = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[tied], nodes[label[tied]]
+
+
+def forest(links: DataFrame, tasks: int, most: int = FOREST) -> DataFrame:
+    """``(u, v)``: connects what ``links(u, v)`` (both bigint) connect, with fewer links.
+
+    A text of a large group is linked once for each key or block that it is in.  Links are dealt evenly
+    to ``tasks``, and each folds those that it has into stars as they come, so a node keeps at most one
+    of them.  Where the stars themselves come to more than half of ``most`` they leave and the task
+    starts afresh, so memory is bounded; then a node may keep several, but no connection is lost.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give = lambda *cols: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["u", "v"])
+        u = v = np.zeros(0, np.int64)
+        for batch in batches:
+            u, v = (np.concatenate([a, batch.column(c).to_numpy()]) for c, a in enumerate((u, v)))
+            if len(u) >= most:
+                u, v = thinned(u, v)
+                if len(u) > most // 2:
+                    yield give(u, v)
+                    u = v = np.zeros(0, np.int64)
+        yield give(*thinned(u, v))
+
+    return links.select("u", "v").repartition(tasks).mapInArrow(run, "u bigint, v bigint")
+
+
 def _close(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(h[a] ^ h[b]).sum(axis=-1) <= RADIUS
 
@@ -337,10 +371,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = durable(signed.groupBy("node", "h1", "h2", "n").agg(F.min(least_id(signed)).alias("first"), F.min("th").alias("th")))
     # coarse components, over numbers of the SimHashes (equal ones are one, as are those that happen to share a number)
     number = lambda c: F.xxhash64(f"{c}.h1", f"{c}.h2").alias(c)
-    coarse = roots(nodes.withColumn("s", F.struct("h1", "h2")).select("node", "first", "th", "n", number("s")), "s", components(coarse_links(signed, width).select(number("u"), number("v"))))
+    tasks = 1 + n // FOREST_TEXTS
+    met_in = components(forest(coarse_links(signed, width).select(number("u"), number("v")), tasks))
+    coarse = roots(nodes.withColumn("s", F.struct("h1", "h2")).select("node", "first", "th", "n", number("s")), "s", met_in)
     crowd = coarse.groupBy("root").agg(F.count("*").alias("c")).filter("c > 1").select("root")
     members = durable(coarse.join(crowd, "root", "left_semi").select("root", "node", "th", "n"))
-    tree = components(verified_links(members, _whole_sets(docs, members.select("th").distinct(), text_col)))
+    tree = components(forest(verified_links(members, _whole_sets(docs, members.select("th").distinct(), text_col)), tasks))
     rooted = roots(nodes.select("node", "first"), "node", tree)
     named = rooted.groupBy("root").agg(F.min("first").alias("component"))
     of = rooted.join(named, "root").select("node", "component")
